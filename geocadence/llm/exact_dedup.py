@@ -19,6 +19,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -67,15 +68,17 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sa
         return keys.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     state = staged(spark, advance(spark, keys_path, schema, workspace(spark, "dedup-state")), "dedup-groups")
 
-    # Full bytes of the hits: members, dealt over salts, meet the text of their keeper, once for each salt.
+    # Full bytes of the hits, fetched once: members, dealt over salts, meet the text of their keeper, once for each salt.
     hits = state.where("group_size > 1").select("digest", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.locator").alias("keep_locator"), F.ceil(F.col("group_size") / salt_rows).cast("int").alias("salts"))
+    suspects = keys.join(hits, "digest").select("digest", F.col("doc_id").alias("m"), F.col("locator").alias("ml"), "keep_id", "keep_locator", "salts").distinct()
     texts = docs.select(F.col("doc_id").alias("d"), F.col("locator").alias("l"), "text")
-    keepers = hits.join(texts, F.col("keep_id").eqNullSafe(F.col("d")) & (F.col("keep_locator") == F.col("l"))).where(digest(F.col("text")) == F.col("digest"))
-    keepers = keepers.groupBy("digest", "salts").agg(F.max("text").alias("keep_text")).select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "keep_text")
-    suspects = keys.join(hits.select("digest", "salts"), "digest").select("digest", "doc_id", "locator", "salts")
-    salt = F.pmod(F.xxhash64("doc_id", "locator"), F.col("salts")).cast("int")
-    members = suspects.distinct().select("digest", F.col("doc_id").alias("m"), F.col("locator").alias("ml"), salt.alias("salt")).join(texts, F.col("m").eqNullSafe(F.col("d")) & (F.col("ml") == F.col("l"))).where(digest(F.col("text")) == F.col("digest"))
-    compared = members.join(keepers, ["digest", "salt"]).where(F.col("text") != F.col("keep_text"))
+    found = suspects.join(texts, F.col("m").eqNullSafe(F.col("d")) & (F.col("ml") == F.col("l"))).where(digest(F.col("text")) == F.col("digest"))
+    salt = F.pmod(F.xxhash64("m", "ml"), F.col("salts")).cast("int")
+    keeps = F.col("m").eqNullSafe(F.col("keep_id")) & (F.col("ml") == F.col("keep_locator"))
+    found = staged(spark, found.select("digest", "salts", salt.alias("salt"), keeps.alias("keeps"), "text"), "dedup-hits")
+    keepers = found.where("keeps").groupBy("digest", "salts").agg(F.max("text").alias("keep_text"))
+    keepers = keepers.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "keep_text")
+    compared = found.select("digest", "salt", "text").join(keepers, ["digest", "salt"]).where(F.col("text") != F.col("keep_text"))
     clashes = staged(spark, compared.select("digest").distinct(), "dedup-clashes")
 
     proven = keys.join(state.select("digest", F.col("keeper.doc_id").alias("keep_id"), "group_size"), "digest")
