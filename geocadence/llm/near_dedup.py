@@ -6,9 +6,9 @@ batches of the signature: it goes as soon as the posterior probability of reachi
 under the chosen miss probability. What survives is verified on the full sets of words.
 
 A bucket is first compared with one of its members only (a star); once the links found so far are
-joined, only buckets that still span several components give further pairs: all of them where that is
-few, else those of one more member, which then leaves the bucket. So no bucket is expanded into all its
-pairs while a linear number settles it, and none is cut short.
+joined, only buckets that still span several components go on: members outside the largest part meet
+all others in blocks of signatures where they are ``few``, else one more member is compared with them and
+leaves the bucket. No pair is emitted before its signatures agree, and no bucket is cut short.
 """
 
 from __future__ import annotations
@@ -134,13 +134,54 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> It
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(spark: SparkSession, pairs: DataFrame, members: DataFrame, percent: int, width: int, miss: float) -> DataFrame:
-    """The pairs (u, v) of nodes that are similar."""
-    side = lambda s, *c: members.select(F.col("node").alias("u" if s == "a" else "v"), *(F.col(x).alias(y + s) for x, y in c))
-    signed = pairs.join(side("a", ("n_shingles", "n"), ("signature", "s")), "u").join(side("b", ("n_shingles", "n"), ("signature", "s")), "v")
-    likely = staged(spark, signed.mapInArrow(partial(_plausible, percent=percent, miss=miss), "u long, v long"), "likely")
-    texts = likely.join(side("a", ("text", "t")), "u").join(side("b", ("text", "t")), "v")
-    return staged(spark, texts.mapInArrow(partial(_verified, percent=percent, width=width), "u long, v long"), "links")
+def _side(members: DataFrame, end: str, s: str, columns: dict[str, str]) -> DataFrame:
+    return members.select(F.col("node").alias(end), *(F.col(c).alias(short + s) for c, short in columns.items()))
+
+
+def _likely(pairs: DataFrame, members: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Pairs (u, v) of nodes that their signatures do not rule out."""
+    about = {"n_shingles": "n", "signature": "s"}
+    signed = pairs.join(_side(members, "u", "a", about), "u").join(_side(members, "v", "b", about), "v")
+    return signed.mapInArrow(partial(_plausible, percent=percent, miss=miss), "u long, v long")
+
+
+def _similar(pairs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs whose full sets are similar."""
+    texts = pairs.join(_side(members, "u", "a", {"text": "t"}), "u").join(_side(members, "v", "b", {"text": "t"}), "v")
+    return staged(members.sparkSession, texts.mapInArrow(partial(_verified, percent=percent, width=width), "u long, v long"), "links")
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], percent: int, width: int, miss: float) -> Iterator[pa.RecordBatch]:
+    """Links between the members of two blocks of a bucket, of different components so far. A pair is looked
+    at in the first of the bands that it shares only, and a member no more once it has met a component."""
+    seen, fewest = least_matches(percent / 100, ROWS * BANDS, STEP, miss)
+    for batch in batches:
+        for pos, left, right in zip(batch.column("pos").to_pylist(), batch.column("l"), batch.column("r"), strict=True):
+            (ln, lr, lc, ls, lt), (rn, rr, rc, rs, rt) = (tuple(zip(*((x["node"], x["root"], x["n"], x["signature"], x["text"]) for x in side.as_py()), strict=True)) for side in (left, right))
+            a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (ls, rs))
+            lc, rc = np.array(lc)[:, None], np.array(rc)[None]
+            i, j = np.nonzero((np.array(lr)[:, None] != np.array(rr)[None]) & (100 * np.minimum(lc, rc) >= percent * np.maximum(lc, rc)))
+            same = a[i] == b[j]
+            first = same.reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) == pos
+            matches = np.cumsum(same, axis=1)[:, seen - 1]
+            go = np.flatnonzero(first & (matches >= fewest).all(axis=1))
+            own = lru_cache(None)(lambda side, at, text: shingle_set(text, width))
+            met, links = set(), []
+            for x, y in zip(i[go].tolist(), j[go].tolist(), strict=True):
+                if (x, rr[y]) in met:
+                    continue
+                p, q = own(0, x, lt[x]), own(1, y, rt[y])
+                both = len(p & q)
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    met.add((x, rr[y]))
+                    links.append((max(ln[x], rn[y]), min(ln[x], rn[y])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def _blocks(rows: DataFrame, count: str, size: int, name: str) -> DataFrame:
+    """The rows of each bucket in lists of about ``size``."""
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / size)).alias("block")
+    return rows.groupBy("band", "pos", block).agg(F.collect_list(F.struct("node", "root", F.col("n_shingles").alias("n"), "signature", "text")).alias(name)).drop("block")
 
 
 def _classes(docs: DataFrame, width: int, percent: int, miss: float, few: int) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +190,7 @@ def _classes(docs: DataFrame, width: int, percent: int, miss: float, few: int) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = staged(spark, docs.withColumn("node", F.monotonically_increasing_id()).mapInArrow(partial(_sign, width=width), _SIGNED), "signed")
     classes = staged(spark, signed.where("n_shingles > 0").groupBy("cls").agg(F.min("node").alias("node"), F.min("doc_id").alias("least")), "classes")
-    banded = signed.select("node", "bands").join(classes.select("node"), "node").select(F.explode("bands").alias("band"), "node")
+    banded = signed.select("node", "bands").join(classes.select("node"), "node").select(F.posexplode("bands").alias("pos", "band"), "node")
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub != most").select("band", "hub")
     buckets = staged(spark, banded.join(shared, "band"), "buckets")
     wanted = signed.select("node", "doc_id", "text_hash", "n_shingles", "signature").join(buckets.select("node").distinct(), "node")
@@ -157,28 +198,32 @@ def _classes(docs: DataFrame, width: int, percent: int, miss: float, few: int) -
     members = staged(spark, found.select("node", "n_shingles", "signature", "text").dropDuplicates(["node"]), "members")
 
     pairs = buckets.where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    roots = components(spark, _links(spark, pairs, members, percent, width, miss))
+    roots = components(spark, _similar(staged(spark, _likely(pairs, members, percent, miss), "likely"), members, percent, width))
     # A member that has met all of its bucket leaves it.
-    buckets = buckets.where("node != hub").select("band", "node")
+    buckets = buckets.where("node != hub").select("band", "pos", "node")
     while True:
-        now = buckets.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        spans = now.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), F.min("node").alias("hub")).where("a != b")
-        open_ = staged(spark, now.join(spans.select("band", "n", "hub"), "band"), "open")
+        now = buckets.join(roots, "node", "left").select("band", "pos", "node", F.coalesce("root", "node").alias("root"))
+        parts = now.groupBy("band", "root").agg(F.count("*").alias("n"), F.min("node").alias("hub"))
+        spans = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "root", "hub")).alias("major"))
+        spans = spans.where("parts > 1").select("band", "n", F.col("major.root").alias("major"), F.col("major.hub").alias("hub"), (F.col("n") - F.col("major.n")).alias("rest"))
+        open_ = staged(spark, now.join(spans, "band"), "open")
         if open_.isEmpty():
             break
-        small = open_.where(F.col("n") <= few)
-        all_pairs = small.alias("x").join(small.alias("y"), "band").where("x.node > y.node and x.root != y.root").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-        hub_roots = open_.where("node = hub").select("band", F.col("root").alias("hub_root"))
-        stars = open_.where(F.col("n") > few).join(hub_roots, "band").where("node != hub and root != hub_root").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-        links = _links(spark, all_pairs.unionByName(stars).distinct(), members, percent, width, miss)
+        # Members outside the largest part of a bucket meet all others, block by block.
+        whole = open_.where(F.col("rest") <= few).select("band", "pos", "node", "root", "major", F.col("n").alias("most"), "rest").join(members, "node")
+        blocks = _blocks(whole.where("root != major"), "rest", 64, "l").join(_blocks(whole, "most", 64, "r"), ["band", "pos"])
+        links = blocks.mapInArrow(partial(_block_links, percent=percent, width=width, miss=miss), "u long, v long")
+        stars = open_.where((F.col("rest") > few) & (F.col("root") != F.col("major"))).select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+        if not stars.isEmpty():
+            links = links.unionByName(_similar(staged(spark, _likely(stars, members, percent, miss), "likely"), members, percent, width))
         roots = components(spark, links.unionByName(roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        buckets = staged(spark, open_.where(F.col("n") > few).where("node != hub").select("band", "node"), "buckets")
+        buckets = staged(spark, open_.where((F.col("rest") > few) & (F.col("node") != F.col("hub"))).select("band", "pos", "node"), "buckets")
     rooted = classes.join(roots, "node", "left").select("cls", "node", "least", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return signed, rooted.join(lowest, "root").select("cls", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS, few: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS, few: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (``doc_id``, ``text``).
 
     Texts are linked when 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles
@@ -193,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     return some.select("doc_id", "n_shingles", "component_id").unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def representatives(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS, few: int = 32) -> DataFrame:
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS, few: int = 2048) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns: of each component the one with the smallest doc_id
     (then text hash), and every row whose text has no words."""
     signed, classes = _classes(docs, width, percent, miss, few)
