@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, near_dedup, nearest, packing, token_files
+from . import exact_dedup, language_model, licenses, mixing, near_dedup, nearest, packing, token_files
 from .common import workspace
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,3 +67,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
+@query
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir), folds=7, held=2)
