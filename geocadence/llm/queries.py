@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_model, licenses, mixing, near_dedup, nearest, packing, token_files
+from . import exact_dedup, language_id, language_model, licenses, mixing, near_dedup, nearest, packing, token_files
 from .common import workspace
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,3 +72,8 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(documents(spark, sf_dir), folds=7, held=2)
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir), folds=5, held=0)
