@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, language_model, licenses, mixing, near_dedup, nearest, packing, token_files
+from . import exact_dedup, language_id, language_model, licenses, mixing, near_dedup, nearest, packing, token_files, toxicity
 from .common import workspace
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,3 +77,8 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir), folds=5, held=0)
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=3, held=1)
