@@ -93,8 +93,10 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sa
 
 def unique_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; a repeated row stays once."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha")).distinct()
-    digest = sha256(ascii_lower(F.coalesce(F.col("text"), F.lit(""))))
-    rows = docs.withColumn("_sha", digest)
-    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_kept"]) & (rows["_sha"] == kept["_sha"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_key")).agg(F.count("*").alias("_n"))
+    kept = staged(docs.sparkSession, kept, "dedup-kept")
+    rows = docs.withColumn("_sha", sha256(ascii_lower(F.coalesce(F.col("text"), F.lit("")))))
+    stay = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_key")), "left_semi")
+    if not kept.where("_n > 1").isEmpty():
+        stay = stay.dropDuplicates(["doc_id", "_sha"])
+    return stay.drop("_sha")

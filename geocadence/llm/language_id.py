@@ -201,22 +201,35 @@ def train(docs: DataFrame, per_lang: int = 400, rounds: int = 3, splits: int = 8
     return field
 
 
+def _predicted(texts: pa.Array, field: Field | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, words) of each text."""
+    words, index, counts, chains = _chains(texts.to_pylist())
+    pred, score = ["und"] * len(counts), np.zeros(len(counts))
+    if field and len(index):
+        found, _ = field.posteriors(field.emissions(*features(words))[index], chains)
+        total = np.cumsum(np.vstack([np.zeros(len(field.langs)), found]), axis=0)
+        ends = np.cumsum(counts)
+        mean = (total[ends] - total[ends - counts]) / np.maximum(counts, 1)[:, None]
+        best = mean.argmax(axis=1)
+        pred = [field.langs[b] if n else "und" for b, n in zip(best.tolist(), counts.tolist(), strict=True)]
+        score = np.where(counts > 0, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
+    return pred, score, counts
+
+
 def _predict(batches: Iterator[pa.RecordBatch], field: Field | None) -> Iterator[pa.RecordBatch]:
     field = Field(field.langs, field.lexicon, field.flat) if field else None
     for batch in small_batches(batches, "text", 2 << 20):
-        words, index, counts, chains = _chains(batch.column("text").to_pylist())
-        pred, score = ["und"] * len(counts), np.zeros(len(counts))
-        if field and len(index):
-            found, _ = field.posteriors(field.emissions(*features(words))[index], chains)
-            total = np.cumsum(np.vstack([np.zeros(len(field.langs)), found]), axis=0)
-            ends = np.cumsum(counts)
-            mean = (total[ends] - total[ends - counts]) / np.maximum(counts, 1)[:, None]
-            best = mean.argmax(axis=1)
-            pred = [field.langs[b] if n else "und" for b, n in zip(best.tolist(), counts.tolist(), strict=True)]
-            score = np.where(counts > 0, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
+        pred, score, counts = _predicted(batch.column("text"), field)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred), pa.array(score), pa.array(counts)], [x.split()[0] for x in _OUT.split(", ")])
 
 
+def _accepted(batches: Iterator[pa.RecordBatch], field: Field | None, least: float) -> Iterator[pa.RecordBatch]:
+    field = Field(field.langs, field.lexicon, field.flat) if field else None
+    for batch in small_batches(batches, "text", 2 << 20):
+        pred, score, _ = _predicted(batch.column("text"), field)
+        yield batch.filter(pa.array((np.array(pred) != "und") & (score >= least)))
+
+
 def identify(docs: DataFrame, folds: int = 5, held: int = 0, **fit: float) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_words: one row per row of ``docs`` (doc_id, text, lang).
 
@@ -228,3 +241,9 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, **fit: float) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", (remainder(F.col("doc_id"), folds) == held).alias("held_out"))
     field = train(docs.where("not held_out"), **fit)
     return docs.select("doc_id", "held_out", "text").mapInArrow(partial(_predict, field=field), _OUT)
+
+
+def accepted(docs: DataFrame, least: float = 0.5, folds: int = 5, held: int = 0, **fit: float) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more, with all columns."""
+    field = train(docs.where(remainder(F.col("doc_id"), folds) != held), **fit)
+    return docs.mapInArrow(partial(_accepted, field=field, least=least), docs.schema)

@@ -243,8 +243,13 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     (then text hash), and every row whose text has no words."""
     signed, classes = _classes(docs, width, percent, miss, few)
     some = signed.select("doc_id", "text_hash", "n_shingles", "cls").where("n_shingles > 0").join(classes.select("cls", "root"), "cls")
-    first = some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r")).select(F.col("r.doc_id").alias("_d"), F.col("r.text_hash").alias("_h"))
+    first = some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r")).select("r.doc_id", "r.text_hash")
+    bare = signed.where("n_shingles = 0").select("doc_id", "text_hash")
+    # A row without words stands for itself; of equal rows with words one stays.
+    first = staged(docs.sparkSession, first.unionByName(bare.distinct()).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")), "near-kept")
     keyed = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    stay = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_d"]) & (keyed["_t"] == first["_h"]), "left_semi").dropDuplicates(["doc_id", "_t"])
-    bare = keyed.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return stay.unionByName(bare).drop("_t")
+    stay = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_d"]) & (keyed["_t"] == first["_h"]), "left_semi")
+    if not some.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        empty = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        stay = stay.where(~empty).dropDuplicates(["doc_id", "_t"]).unionByName(stay.where(empty))
+    return stay.drop("_t")
