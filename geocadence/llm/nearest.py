@@ -38,36 +38,44 @@ class Block:
         placed = (whole @ self.directions).T
         self.order = np.argsort(placed, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(placed, self.order, axis=1)
+        self.place = np.empty(self.order.shape, np.uint16 if len(self.vectors) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, self.order, np.broadcast_to(np.arange(len(self.vectors), dtype=self.place.dtype), self.order.shape), axis=1)
         self.scale = np.sqrt(squares.max())
 
-    def search(self, query: np.ndarray, own: int, k: int, threshold: float, share: float, widen: float) -> tuple[list[int], list[float]]:
+    def windows(self, at: np.ndarray, radius: float) -> np.ndarray:
+        """First and last place of every query's window in every sorted array (projections x 2 x queries)."""
+        return np.array([np.searchsorted(row, (x - radius, x + radius)) for row, x in zip(self.sorted, at, strict=True)])
+
+    def search(self, queries: np.ndarray, own: list[int], k: int, threshold: float, share: float, start: float, widen: float) -> Iterator[tuple[list[int], list[float]]]:
         m, n = self.order.shape
-        wanted = min(n, max(16 * k, int(np.ceil(share * n))))
-        # The nearest of equal norms lie in the query's direction: search from its point on the sphere.
-        norm = np.sqrt((query**2).sum())
-        at = (np.append(query, 0.0) * (self.scale / norm)) @ self.directions
-        need, counts = int(np.ceil(threshold * m)), np.zeros(n, np.int16)
-        radius, edges = 0.8 * self.scale / np.sqrt(len(self.directions)), None
-        while True:
-            now = [np.searchsorted(row, (x - radius, x + radius)).tolist() for row, x in zip(self.sorted, at, strict=True)]
-            for j, (a, b) in enumerate(now):
-                if edges is None:
-                    counts[self.order[j, a:b]] += 1
+        wanted, need = min(n, max(16 * k, int(np.ceil(share * n)))), int(np.ceil(threshold * m))
+        # Norms are equal now, so the nearest lie where the query points: search from its place on the sphere.
+        norms = np.sqrt((queries**2).sum(axis=1, keepdims=True))
+        at = (np.column_stack([queries, np.zeros(len(queries))]) * (self.scale / norms) @ self.directions).T
+        radius, steps = start * self.scale / np.sqrt(len(self.directions)), []
+        for q, (query, me) in enumerate(zip(queries, own, strict=True)):
+            counts, edges, step = np.zeros(n, np.int16), None, 0
+            while True:
+                if step == len(steps):  # one radius more, for all queries at once
+                    steps.append(self.windows(at, radius * widen**step))
+                now = steps[step][:, :, q]
+                if edges is None:  # places from the window's first, wrapping round below it, fall in where they are under its width
+                    first, width = now.astype(self.place.dtype).T[:, :, None]
+                    counts += np.add.reduce((self.place - first) < (width - first), axis=0, dtype=np.int16)
                 else:
-                    counts[self.order[j, a : edges[j][0]]] += 1
-                    counts[self.order[j, edges[j][1] : b]] += 1
-            edges = now
-            hits = np.flatnonzero(counts >= need)
-            if len(hits) >= wanted or all(a == 0 and b == n for a, b in now):
-                break
-            radius *= widen
-        scores = self.vectors[hits] @ query
-        if len(hits) > k + 1:
-            best = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
-            hits, scores = hits[best], scores[best]
-        rows = [(-s, i) for h, s in zip(hits.tolist(), scores.tolist(), strict=True) for i in self.ids[self.first[h] : min(self.first[h + 1], self.first[h] + k + 1)].tolist() if i != own]
-        rows = sorted(rows)[:k]
-        return [i for _, i in rows], [-s for s, _ in rows]
+                    for order, (a, b), was in zip(self.order, now.tolist(), edges.tolist(), strict=True):
+                        counts[order[a : was[0]]] += 1
+                        counts[order[was[1] : b]] += 1
+                edges, step = now, step + 1
+                hits = np.flatnonzero(counts >= need)
+                if len(hits) >= wanted or (now[:, 0] == 0).all() and (now[:, 1] == n).all():
+                    break
+            scores = self.vectors[hits] @ query
+            if len(hits) > k + 1:
+                best = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
+                hits, scores = hits[best], scores[best]
+            rows = sorted((-s, i) for h, s in zip(hits.tolist(), scores.tolist(), strict=True) for i in self.ids[self.first[h] : min(self.first[h + 1], self.first[h] + k + 1)].tolist() if i != me)[:k]
+            yield [i for _, i in rows], [-s for s, _ in rows]
 
 
 def _search_blocks(batches: Iterator[pa.RecordBatch], projections: int, **how: float) -> Iterator[pa.RecordBatch]:
@@ -81,11 +89,11 @@ def _search_blocks(batches: Iterator[pa.RecordBatch], projections: int, **how: f
                 if block is None:
                     block = Block(ids, vectors, projections)
                 else:
-                    out = [(i, *block.search(v, i, **how)) for i, v in zip(ids.tolist(), vectors, strict=True)]
+                    out = [(i, *found) for i, found in zip(ids.tolist(), block.search(vectors, ids.tolist(), **how), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())))], ["query_id", "vec_ids", "scores"])
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, projections: int = 64, threshold: float = 0.6, share: float = 0.15, widen: float = 1.1, rows: int = 8192, queries: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, projections: int = 64, threshold: float = 0.7, share: float = 0.1, start: float = 1.33, widen: float = 1.06, rows: int = 8192, queries: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found by inner product of each query.
 
     Queries are the rows of ``vectors`` (``vec_id``, ``embedding``) whose vec_id is divisible by ``every``;
@@ -102,7 +110,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, projections: int =
     deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     data = good.groupBy("dim", deal(n_data, 1).alias("block")).agg(packed.alias("data")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
     asked = good.where(F.col("vec_id") % every == 0).groupBy("dim", deal(n_queries, 2).alias("part")).agg(packed.alias("queries")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))))
-    found = data.join(asked, ["dim", "block", "part"]).mapInArrow(partial(_search_blocks, projections=projections, k=k, threshold=threshold, share=share, widen=widen), _FOUND)
+    found = data.join(asked, ["dim", "block", "part"]).mapInArrow(partial(_search_blocks, projections=projections, k=k, threshold=threshold, share=share, start=start, widen=widen), _FOUND)
     each = found.select("query_id", F.explode(F.arrays_zip(F.col("vec_ids").alias("vec_id"), F.col("scores").alias("score"))).alias("x")).select("query_id", "x.vec_id", "x.score")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
