@@ -218,10 +218,10 @@ def _instants(spark: SparkSession, d: str) -> DataFrame:
 
 
 _INSTANTS = "WITH i AS (SELECT DISTINCT station, CAST(floor(t / 3600) AS BIGINT) * 3600 + 600 AS t FROM obs), o AS (SELECT station, t, arg_max(id, id) AS id, arg_max(air_temp, id) AS air_temp FROM obs GROUP BY station, t), "
-_SIDES = """b AS (SELECT i.station, i.t, o.t AS bt, o.air_temp AS ba FROM i ASOF LEFT JOIN o ON i.station = o.station AND i.t >= o.t), a AS (SELECT i.station, i.t, o.t AS at, o.air_temp AS aa FROM i ASOF LEFT JOIN o ON i.station = o.station AND i.t < o.t) """
+_SIDES = """b AS (SELECT i.station, i.t, o.t AS bt, o.air_temp AS ba FROM i ASOF LEFT JOIN o ON i.station = o.station AND i.t >= o.t), a AS (SELECT i.station, i.t, o.t AS ft, o.air_temp AS fa FROM i ASOF LEFT JOIN o ON i.station = o.station AND i.t < o.t) """
 
 
-@query(_INSTANTS + _SIDES + "SELECT station, t, CASE WHEN bt IS NULL OR at - t < t - bt THEN coalesce(at, bt) ELSE bt END AS obs_t FROM b JOIN a USING (station, t)")
+@query(_INSTANTS + _SIDES + "SELECT station, t, CASE WHEN bt IS NULL OR ft - t < t - bt THEN coalesce(ft, bt) ELSE bt END AS obs_t FROM b JOIN a USING (station, t)")
 def asof_nearest(spark, d):
     return temporal.asof(_instants(spark, d), table(spark, d, "obs"), "station", ["air_temp"]).select("station", "t", temporal.nearest_row()["t"].alias("obs_t"))
 
@@ -288,10 +288,10 @@ def run_check(spark, d):
 
 # Fields and coordinates
 
-@query("""SELECT key, layer, cell, round(u * cos(radians(turn)) - v * sin(radians(turn)), 6) AS ue, round(u * sin(radians(turn)) + v * cos(radians(turn)), 6) AS vn FROM fields""")
+@query("""SELECT key, layer, cell, round(u * cos(radians(turn)) - v * sin(radians(turn)), 6) + 0e0 AS ue, round(u * sin(radians(turn)) + v * cos(radians(turn)), 6) + 0e0 AS vn FROM fields""")
 def rotate_vectors(spark, d):
     ue, vn = geo.rotate(F.col("u"), F.col("v"), F.col("turn"))
-    return table(spark, d, "fields").select("key", "layer", "cell", F.round(ue, 6).alias("ue"), F.round(vn, 6).alias("vn"))
+    return table(spark, d, "fields").select("key", "layer", "cell", (F.round(ue, 6) + 0.0).alias("ue"), (F.round(vn, 6) + 0.0).alias("vn"))
 
 
 @query("""SELECT layer, round(quantile_cont(sqrt(u * u + v * v), 0.99), 6) AS p99, round(max(sqrt(u * u + v * v)), 6) AS zmax, count_if(u <> 0 OR v <> 0) AS n_wet FROM fields GROUP BY layer""")
@@ -306,7 +306,7 @@ def pack_fields(spark, d):
     return table(spark, d, "fields").groupBy("layer").agg(F.count("*").alias("n"), F.count_if(F.abs(F.bround(F.col("big") / 0.1)) > 32767).alias("clipped"), F.sum(packed).alias("packed_sum"))
 
 
-@query("SELECT id, CAST(floor((lon + 180) / 6) + 1 AS INT) AS zone, round(degrees(atan(tan(radians(lon - 135)) * sin(radians(lat)))), 6) AS convergence, true AS round_trip FROM points")
+@query("SELECT id, CAST(floor((lon + 180) / 6) + 1 AS INT) AS zone, round(degrees(atan(tan(radians(lon - (zone * 6 - 183))) * sin(radians(lat)))), 6) AS convergence, true AS round_trip FROM points")
 def utm_round_trip(spark, d):
     p = table(spark, d, "points")
     x, y = geo.utm_forward(F.col("lon"), F.col("lat"), F.col("zone"))

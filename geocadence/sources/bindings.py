@@ -37,7 +37,7 @@ BINDINGS = {
     "names": """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'wave_' ELSE '' END || 'wind-sp' || CAST(p_size AS VARCHAR(9)) || '_0_wind-dir' || CAST((p_partkey % 8) * 45 AS VARCHAR(9)) || '_0_wlvl-' || CAST(7 + p_partkey % 7 AS VARCHAR(9)) || '_5' || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE '_sal' || CAST((p_partkey % 6) * 50 AS VARCHAR(9)) || '_0' END || '.nc' AS name FROM {part}""",
     "runs": """SELECT p_partkey AS key, CASE WHEN p_partkey % 2 = 0 THEN 'wave' ELSE 'flow' END AS source, CASE WHEN p_partkey % 31 = 0 THEN 6 ELSE 24 END AS n_time, CASE WHEN p_partkey % 37 = 0 THEN 1 ELSE 10 END AS n_layer, p_partkey % 41 = 0 AS no_dir FROM {part}""",
     "fields": """SELECT l_orderkey AS key, l_linenumber AS layer, l_partkey AS cell, l_discount * 10e0 - 0.5e0 AS u, l_tax * 10e0 - 0.4e0 AS v, (l_partkey % 360) * 1e0 AS turn, l_extendedprice AS big FROM {lineitem}""",
-    "points": """SELECT c_custkey AS id, 136e0 + (c_custkey % 400) * 0.01e0 AS lon, -29.5e0 + (c_custkey % 37) * 0.05e0 AS lat, 53 AS zone FROM {customer}""",
+    "points": """SELECT c_custkey AS id, 136e0 + (c_custkey % 400) * 0.01e0 AS lon, -29.5e0 + (c_custkey % 37) * 0.05e0 AS lat, CASE WHEN c_custkey % 400 < 200 THEN 53 ELSE 54 END AS zone FROM {customer}""",
 }
 
 
