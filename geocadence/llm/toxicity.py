@@ -156,7 +156,7 @@ def _columns(marks: pa.ListArray, base: int) -> np.ndarray:
 
 def fit_linear(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 25) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps."""
-    w, ridge = np.zeros(x.shape[1]), decay * len(x) * np.eye(x.shape[1])
+    w, ridge = np.zeros(x.shape[1]), decay * max(1, len(x)) * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
