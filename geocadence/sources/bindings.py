@@ -18,7 +18,7 @@ BINDINGS = {
         15e0 + user_id % 10 AS air_temp, CASE WHEN event_id % 20 = 0 THEN 'demo' ELSE 'bom' END AS src, event_id % 2 AS fresh FROM {events}""",
     "levels": """SELECT o_custkey % 2 AS site, o_orderkey AS file, 1700000000 + (o_orderkey % 720) * 3600 AS t,
         -14e0 + (CAST(floor(o_totalprice) AS BIGINT) % 200) / 100e0 + CASE WHEN o_orderkey % 97 = 0 THEN 8e0 WHEN o_orderkey % 89 = 0 THEN -6e0 ELSE 0e0 END AS wse FROM {orders}""",
-    "granules": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 29 = 0 THEN '._' ELSE '' END || 'SWOT_Raster_' || CASE WHEN o_orderkey % 3 = 0 THEN '250m' ELSE '100m' END || '_020_'
+    "granules": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 29 = 0 THEN '._' ELSE '' END || 'L2_Raster_' || CASE WHEN o_orderkey % 3 = 0 THEN '250m' ELSE '100m' END || '_020_'
         || CASE WHEN o_orderkey % 2 = 0 THEN '394' ELSE '435' END || '_' || CASE WHEN o_orderkey % 5 < 2 THEN '102F' ELSE '103F' END || '_20250' || CAST(1 + o_orderkey % 9 AS VARCHAR(9)) || '1' || CAST(o_orderkey % 9 AS VARCHAR(9)) || 'T17020' || CAST(o_orderkey % 10 AS VARCHAR(9)) || '_01.nc' AS name,
         o_orderkey % 1000 + 1 AS size, 52 + o_orderkey % 4 AS utm_zone, o_custkey % 3 AS cached FROM {orders}""",
     "cells": """SELECT g.granule, g.granule % 7 AS day, y.v AS iy, x.v AS ix, 137e0 + x.v * 0.01e0 AS lon, -28.8e0 - y.v * 0.01e0 AS lat, s.water_frac, coalesce(s.qual, 0) AS qual, s.water_area, s.uncert, s.wse
