@@ -31,10 +31,11 @@ _ODD = re.compile(r" (?:\s|\Z|(?<=\s )|(?<=\A ))")
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
-def encoder(path: str) -> "PieceEncoder":
-    """The encoder of this Python worker; its cache lives on through later tasks of the worker."""
+def encoder(path: str, limit: int = 800_000) -> "PieceEncoder":
+    """The encoder of this Python worker; its cache, of ``limit`` entries, lives on through later tasks of the worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
+    _ENCODERS[path].limit = limit
     return _ENCODERS[path]
 
 
@@ -49,7 +50,7 @@ class PieceEncoder(dict):
     """Encodes lists of texts to little-endian unsigned 32-bit ids.
 
     As a dict it maps a piece, or a run of pieces between two blanks, to its ids, and encodes what is
-    missing. ``limit`` bounds the entries (about 200 bytes each); runs of over ``longest`` characters are
+    missing. ``limit`` bounds the entries (about 400 bytes each); runs of over ``longest`` characters are
     not kept. A tokenizer of another kind encodes whole texts without a cache.
     """
 

@@ -91,7 +91,8 @@ class Packer:
 def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int, windows: int, least_gap: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    enc, packer, rows = encoder(tokenizer), Packer(capacity, windows, least_gap), []
+    # A small cache: in a pipeline the worker keeps it while other stages need the memory.
+    enc, packer, rows = encoder(tokenizer, 200_000), Packer(capacity, windows, least_gap), []
     first = sequence = TaskContext.get().partitionId() << 32
 
     def put(pieces: list[tuple], sid: int) -> None:
