@@ -153,16 +153,18 @@ def _similar(pairs: DataFrame, members: DataFrame, percent: int, width: int) ->
 
 def _block_links(batches: Iterator[pa.RecordBatch], percent: int, width: int, miss: float) -> Iterator[pa.RecordBatch]:
     """Links between the members of two blocks of a bucket, of different components so far. A pair is looked
-    at in the first of the bands that it shares only, and a member no more once it has met a component."""
+    at in the first of the bands that it shares only, by the hashes that made the buckets (the bytes of the
+    signature may agree by chance), and a member no more once it has met a component."""
     seen, fewest = least_matches(percent / 100, ROWS * BANDS, STEP, miss)
     for batch in batches:
         for pos, left, right in zip(batch.column("pos").to_pylist(), batch.column("l"), batch.column("r"), strict=True):
-            (ln, lr, lc, ls, lt), (rn, rr, rc, rs, rt) = (tuple(zip(*((x["node"], x["root"], x["n"], x["signature"], x["text"]) for x in side.as_py()), strict=True)) for side in (left, right))
+            (ln, lr, lc, ls, lt), (rn, rr, rc, rs, rt) = (tuple(side.values.field(c).to_pylist() for c in ("node", "root", "n", "signature", "text")) for side in (left, right))
             a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (ls, rs))
+            p, q = (side.values.field("bands").flatten().to_numpy().reshape(-1, BANDS) for side in (left, right))
             lc, rc = np.array(lc)[:, None], np.array(rc)[None]
             i, j = np.nonzero((np.array(lr)[:, None] != np.array(rr)[None]) & (100 * np.minimum(lc, rc) >= percent * np.maximum(lc, rc)))
             same = a[i] == b[j]
-            first = same.reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) == pos
+            first = (p[i] == q[j]).argmax(axis=1) == pos
             matches = np.cumsum(same, axis=1)[:, seen - 1]
             go = np.flatnonzero(first & (matches >= fewest).all(axis=1))
             own = lru_cache(None)(lambda side, at, text: shingle_set(text, width))
@@ -181,7 +183,7 @@ def _block_links(batches: Iterator[pa.RecordBatch], percent: int, width: int, mi
 def _blocks(rows: DataFrame, count: str, size: int, name: str) -> DataFrame:
     """The rows of each bucket in lists of about ``size``."""
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / size)).alias("block")
-    return rows.groupBy("band", "pos", block).agg(F.collect_list(F.struct("node", "root", F.col("n_shingles").alias("n"), "signature", "text")).alias(name)).drop("block")
+    return rows.groupBy("band", "pos", block).agg(F.collect_list(F.struct("node", "root", F.col("n_shingles").alias("n"), "signature", "bands", "text")).alias(name)).drop("block")
 
 
 def _classes(docs: DataFrame, width: int, percent: int, miss: float, few: int) -> tuple[DataFrame, DataFrame]:
@@ -193,9 +195,9 @@ def _classes(docs: DataFrame, width: int, percent: int, miss: float, few: int) -
     banded = signed.select("node", "bands").join(classes.select("node"), "node").select(F.posexplode("bands").alias("pos", "band"), "node")
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub != most").select("band", "hub")
     buckets = staged(spark, banded.join(shared, "band"), "buckets")
-    wanted = signed.select("node", "doc_id", "text_hash", "n_shingles", "signature").join(buckets.select("node").distinct(), "node")
+    wanted = signed.select("node", "doc_id", "text_hash", "n_shingles", "signature", "bands").join(buckets.select("node").distinct(), "node")
     found = wanted.join(docs.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "text"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-    members = staged(spark, found.select("node", "n_shingles", "signature", "text").dropDuplicates(["node"]), "members")
+    members = staged(spark, found.select("node", "n_shingles", "signature", "bands", "text").dropDuplicates(["node"]), "members")
 
     pairs = buckets.where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     roots = components(spark, _similar(staged(spark, _likely(pairs, members, percent, miss), "likely"), members, percent, width))

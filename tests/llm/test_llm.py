@@ -5,6 +5,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geocadence.llm import components, encode, exact_dedup, language_id, language_model, licenses, mixing, near_dedup, nearest, packing, token_files, toxicity
@@ -120,6 +121,17 @@ def test_open_buckets_are_settled_by_blocks_and_by_stars(spark):
         assert got == root
 
 
+def test_bytes_that_agree_by_chance_do_not_hide_a_shared_band():
+    text = "a b c d e f"
+    bands = [list(range(i, i + near_dedup.BANDS)) for i in (0, 1000)]
+    bands[1][3] = bands[0][3]  # the only band shared; the bytes of the signatures agree in bands 0 to 2, too
+    member = lambda node, b: {"node": node, "root": node, "n": 5, "signature": bytes(near_dedup.ROWS * near_dedup.BANDS), "bands": b, "text": text}
+    fields = pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64())), ("text", pa.string())]))
+    batch = lambda pos: pa.RecordBatch.from_arrays([pa.array([pos], pa.int32()), pa.array([[member(1, bands[0])]], fields), pa.array([[member(2, bands[1])]], fields)], ["pos", "l", "r"])
+    links = [r for b in near_dedup._block_links([batch(3)], 80, 2, near_dedup.MISS) for r in b.to_pylist()]
+    assert links == [{"u": 2, "v": 1}]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(40, 30), (30, 35)], "u long, v long")
     assert {(r.node, r.root) for r in components.components(spark, edges).collect()} == {(i, 0) for i in range(21)} | {(i, 30) for i in (30, 35, 40)}
