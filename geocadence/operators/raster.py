@@ -81,3 +81,11 @@ def merged_area(cells: DataFrame, mask: str) -> DataFrame:
 
 def cos_mean(lat: float) -> float:
     return math.cos(math.radians(lat))
+
+
+def window_stats(cells: DataFrame, centres: DataFrame, key: list[str], value: str, reach: int) -> DataFrame:
+    """cy, cx, ``key``, mean and n of ``value`` over the cells within ``reach`` rows and columns of each
+    distinct centre (``cy``, ``cx``): centres are spread over their cells and joined on these."""
+    step = lambda c: F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach))
+    spread = centres.select("cy", "cx").distinct().withColumn("iy", step("cy")).withColumn("ix", step("cx"))
+    return cells.join(spread, ["iy", "ix"]).groupBy("cy", "cx", *key).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import geo
@@ -25,19 +32,81 @@ def parameter_scales(scenarios: DataFrame) -> DataFrame:
     return s.withColumn("scale", span)
 
 
+def _bins(scenarios: DataFrame, parts: int = 16) -> DataFrame:
+    """``scenarios`` with ``cell``: a coarse cell of speed, direction and level, ``parts`` to each at most."""
+    used = ("wind_speed", "wlvl")
+    span = scenarios.agg(*(f(p).alias(f"{f.__name__}_{p}") for p in used for f in (F.min, F.max))).first()
+    cell = F.coalesce(F.floor(F.pmod(F.col("wind_dir"), F.lit(360.0)) / (360 / parts)), F.lit(-1))
+    for p in used:
+        lo, hi = span[f"min_{p}"], span[f"max_{p}"]
+        width = (hi - lo) / parts if lo is not None and hi > lo else 1.0
+        own = F.least(F.floor((F.col(p) - F.lit(lo)) / width), F.lit(parts - 1))
+        cell = cell * (parts + 1) + F.coalesce(own, F.lit(-1)) + 1
+    return scenarios.withColumn("cell", cell.cast("long"))
+
+
+def _near_cells(batches: Iterator[pa.RecordBatch], boxes: pa.Table, scales: dict[str, float], k: int, cap_level: bool, lowest: float | None) -> Iterator[pa.RecordBatch]:
+    """(row of a target, cell) for the cells that can hold one of its ``k`` nearest.
+
+    Cells wholly within some distance hold ``k`` candidates or more; a cell that begins farther off has
+    none of the nearest. A null parameter of either side adds nothing to a distance."""
+    cells, count = boxes["cell"].to_numpy(), boxes["n"].to_numpy()
+    if not len(cells):
+        return
+    box = {p: tuple(boxes[f"{f}_{p}"].to_numpy().astype(float)[None] for f in ("lo", "hi", "nulls")) for p in PARAMS}
+    for batch in batches:
+        for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+            near, far = np.zeros((part.num_rows, len(cells))), np.zeros((part.num_rows, len(cells)))
+            for p in PARAMS:
+                lo, hi, nulls = box[p]
+                t = pc.fill_null(part.column(f"t_{p}").cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)[:, None]
+                if p == "wind_dir":
+                    t = t % 360
+                    a, b = (np.abs((e - t + 180) % 360 - 180) for e in (lo, hi))
+                    least = np.where((lo <= t) & (t <= hi), 0, np.minimum(a, b))
+                    back = (t + 180) % 360
+                    most = np.where((lo <= back) & (back <= hi), 180, np.maximum(a, b))
+                else:
+                    least, most = np.maximum(np.maximum(lo - t, t - hi), 0), np.maximum(np.abs(lo - t), np.abs(hi - t))
+                near += np.where(nulls > 0, 0, np.nan_to_num(least / scales[p])) ** 2
+                far += np.nan_to_num(most / scales[p]) ** 2
+            near, far = np.sqrt(near), np.sqrt(far)
+            some = sure = np.ones(near.shape, bool)
+            if cap_level:
+                level = pc.fill_null(part.column("t_wlvl").cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)[:, None] + 1e-6
+                none = level < (np.nan if lowest is None else lowest)
+                some, sure = none | (box["wlvl"][0] <= level), none | ((box["wlvl"][1] <= level) & (box["wlvl"][2] == 0))
+            order = np.argsort(np.where(sure, far, np.inf), axis=1)
+            held = np.cumsum(np.take_along_axis(np.where(sure, count[None], 0), order, axis=1), axis=1)
+            last = np.take_along_axis(np.where(sure, far, np.inf), order, axis=1)
+            limit = np.where(held[:, -1] >= k, last[np.arange(len(last)), (held >= k).argmax(axis=1)], np.inf)
+            row, col = np.nonzero(some & (near <= limit[:, None] * (1 + 1e-9) + 1e-9))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in part.schema.names), pa.array(cells[col])], [*part.schema.names, "cell"])
+
+
 def match(targets: DataFrame, scenarios: DataFrame, scales: dict[str, float], k: int = 5, cap_level: bool = True) -> DataFrame:
     """The ``k`` nearest scenarios of each target: rank, key, dist, capped, level flag.
 
-    With ``cap_level`` only levels at or below the target are candidates, unless there are none. The side
-    of targets is dealt out; scenarios are a catalogue of model runs, sent to all tasks where the
-    optimizer finds them small enough.
+    With ``cap_level`` only levels at or below the target are candidates, unless there are none. Of equal
+    scenarios the ``k`` smallest keys are enough. They lie in coarse cells, some thousand at most at every
+    size, whose bounds tell for each target which cells can hold one of its nearest; targets meet the
+    scenarios of these by an equi-join on the cell.
     """
-    t = targets.select("target", *(F.col(p).alias(f"t_{p}") for p in PARAMS))
     low = scenarios.agg(F.min("wlvl").alias("lowest"), F.max("wlvl").alias("highest"))
-    t = t.crossJoin(low)  # one row
+    of = Window.partitionBy(*PARAMS).orderBy("key")
+    few = scenarios.select("key", *PARAMS).withColumn("_i", F.row_number().over(of)).where(F.col("_i") <= k).drop("_i")
+    few = _bins(few)
+    turned = lambda p: F.pmod(F.col(p), F.lit(360.0)) if p == "wind_dir" else F.col(p)
+    bounds = [f(turned(p)).alias(f"{n}_{p}") for p in PARAMS for n, f in (("lo", F.min), ("hi", F.max))] + [F.count_if(F.col(p).isNull()).alias(f"nulls_{p}") for p in PARAMS]
+    boxes = few.groupBy("cell").agg(F.count("*").alias("n"), *bounds).toArrow()
+    t = targets.select("target", *(F.col(p).cast("double").alias(f"t_{p}") for p in PARAMS))
+    lowest = low.first()["lowest"]
+    schema = T.StructType([*t.schema.fields, T.StructField("cell", T.LongType())])
+    near = t.mapInArrow(partial(_near_cells, boxes=boxes, scales=scales, k=k, cap_level=cap_level, lowest=lowest), schema)
+    near = near.crossJoin(low)  # one row
     fits = F.col("wlvl") <= F.col("t_wlvl") + 1e-6
     none = F.col("t_wlvl") + 1e-6 < F.col("lowest")
-    pairs = t.join(scenarios, fits | none if cap_level else F.lit(True))
+    pairs = near.join(few, "cell").where(fits | none if cap_level else F.lit(True))
     terms = [F.coalesce(((geo.circular_delta(F.col(p), F.col(f"t_{p}")) if p == "wind_dir" else F.col(p) - F.col(f"t_{p}")) / scales[p]) ** 2, F.lit(0.0)) for p in PARAMS]
     dist = F.sqrt(terms[0] + terms[1] + terms[2] + terms[3])
     ranked = pairs.withColumn("dist", dist).withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("dist", "key"))).where(F.col("rank") <= k)

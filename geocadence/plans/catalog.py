@@ -78,15 +78,15 @@ def incremental_reassemble(spark, d):
 
 @query("""SELECT s.site, c.granule, round(c.wse, 6) AS wse, c.qual FROM sites s JOIN cells c ON c.iy = s.cy AND c.ix = s.cx WHERE c.wse IS NOT NULL AND c.qual <= 1""")
 def extract_point(spark, d):
-    s, c = F.broadcast(table(spark, d, "sites")), table(spark, d, "cells")  # five sites at every scale
+    s, c = table(spark, d, "sites"), table(spark, d, "cells")
     return c.join(s, (c.iy == s.cy) & (c.ix == s.cx)).where(c.wse.isNotNull() & (c.qual <= 1)).select("site", "granule", r6("wse"), "qual")
 
 
 @query("""SELECT s.site, c.granule, round(avg(c.wse), 6) AS wse, count(c.wse) AS n FROM sites s JOIN cells c ON abs(c.iy - s.cy) <= 2 AND abs(c.ix - s.cx) <= 2 GROUP BY s.site, c.granule""")
 def extract_window(spark, d):
-    s, c = F.broadcast(table(spark, d, "sites")), table(spark, d, "cells")  # five sites at every scale
-    near = c.join(s, c.iy.between(s.cy - 2, s.cy + 2) & c.ix.between(s.cx - 2, s.cx + 2))
-    return near.groupBy("site", "granule").agg(F.round(F.avg("wse"), 6).alias("wse"), F.count("wse").alias("n"))
+    s = table(spark, d, "sites")
+    around = raster.window_stats(table(spark, d, "cells"), s, ["granule"], "wse", 2)
+    return s.join(around, ["cy", "cx"]).select("site", "granule", r6("mean", "wse"), "n")
 
 
 @query("""SELECT day, round(100.0e0 * count_if(qual = 0) / count(*), 6) AS q0, round(100.0e0 * count_if(qual = 1) / count(*), 6) AS q1, round(100.0e0 * count_if(qual = 2) / count(*), 6) AS q2, round(100.0e0 * count_if(qual = 3) / count(*), 6) AS q3 FROM cells GROUP BY day""")

@@ -30,10 +30,10 @@ BINDINGS = {
         ON g.granule = s.granule AND y.v = s.iy AND x.v = s.ix""",
     "boundary": """SELECT 137e0 + x.v * 0.01e0 AS lon, -28.8e0 - y.v * 0.01e0 AS lat FROM {grid} y CROSS JOIN {grid} x
         WHERE (y.v - 12) * (y.v - 12) + (x.v - 12) * (x.v - 12) <= 90 AND y.v % 2 = 0 AND x.v % 2 = 0""",
-    "sites": """SELECT s_suppkey AS site, 8 + s_suppkey % 9 AS cy, 8 + (s_suppkey * 5) % 9 AS cx FROM {supplier} WHERE s_suppkey <= 5""",
+    "sites": """SELECT s_suppkey AS site, 8 + s_suppkey % 9 AS cy, 8 + (s_suppkey * 5) % 9 AS cx FROM {supplier}""",
     "scenarios": """SELECT p_partkey AS key, CAST(p_size AS DOUBLE) AS wind_speed, (p_partkey % 8) * 45e0 AS wind_dir, -14e0 + (p_partkey % 16) * 0.5e0 AS wlvl, (p_partkey % 6) * 50e0 AS salinity FROM {part}""",
     "design": """SELECT CAST(p_size AS DOUBLE) AS wind_speed, (p_partkey % 8) * 45e0 AS wind_dir, -14e0 + ((p_partkey + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END) % 16) * 0.5e0 AS wlvl, (p_partkey % 6) * 50e0 AS salinity FROM {part}""",
-    "targets": """SELECT c_custkey AS target, abs(c_acctbal) / 180e0 AS wind_speed, c_nationkey * 14.4e0 AS wind_dir, -16e0 + (c_custkey % 40) * 0.25e0 AS wlvl, CAST(NULL AS DOUBLE) AS salinity FROM {customer} WHERE c_custkey % 10 = 0""",
+    "targets": """SELECT c_custkey AS target, abs(c_acctbal) / 180e0 AS wind_speed, c_nationkey * 14.4e0 AS wind_dir, -16e0 + (c_custkey % 40) * 0.25e0 AS wlvl, CAST(NULL AS DOUBLE) AS salinity FROM {customer}""",
     "names": """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'wave_' ELSE '' END || 'wind-sp' || CAST(p_size AS VARCHAR(9)) || '_0_wind-dir' || CAST((p_partkey % 8) * 45 AS VARCHAR(9)) || '_0_wlvl-' || CAST(7 + p_partkey % 7 AS VARCHAR(9)) || '_5' || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE '_sal' || CAST((p_partkey % 6) * 50 AS VARCHAR(9)) || '_0' END || '.nc' AS name FROM {part}""",
     "runs": """SELECT p_partkey AS key, CASE WHEN p_partkey % 2 = 0 THEN 'wave' ELSE 'flow' END AS source, CASE WHEN p_partkey % 31 = 0 THEN 6 ELSE 24 END AS n_time, CASE WHEN p_partkey % 37 = 0 THEN 1 ELSE 10 END AS n_layer, p_partkey % 41 = 0 AS no_dir FROM {part}""",
     "fields": """SELECT l_orderkey AS key, l_linenumber AS layer, l_partkey AS cell, l_discount * 10e0 - 0.5e0 AS u, l_tax * 10e0 - 0.4e0 AS v, (l_partkey % 360) * 1e0 AS turn, l_extendedprice AS big FROM {lineitem}""",

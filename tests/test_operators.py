@@ -1,9 +1,11 @@
 """Small exact cases."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from geocadence.functions import geo
 from geocadence.operators import raster, scenarios, series, temporal, weather
+from geocadence.sources.bindings import table
 
 
 def test_outliers(spark):
@@ -42,3 +44,30 @@ def test_asof_tie_goes_to_the_earlier(spark):
     at = spark.createDataFrame([("a", 5), ("a", 6), ("a", 20), ("b", 1)], "station string, t long")
     got = temporal.asof(at, obs, "station", ["x"]).select("station", "t", temporal.nearest_row()["x"].alias("x"))
     assert {(r.station, r.t): r.x for r in got.collect()} == {("a", 5): 1.0, ("a", 6): 2.0, ("a", 20): 2.0, ("b", 1): None}
+
+
+def test_all_customers_and_suppliers_are_targets_and_sites(spark):
+    d = "/root/testdata/sf0.001"
+    for name, own in (("targets", "customer"), ("sites", "supplier")):
+        assert table(spark, d, name).count() == spark.read.parquet(f"{d}/{own}.parquet").count()
+
+
+def test_match_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    pick = lambda values, p=0.1: None if rng.random() < p else float(rng.choice(values))
+    rows = lambda n, p: [(i, pick(rng.normal(20, 9, 40).round(1), p), pick(np.arange(-360, 720, 7.5), p), pick(np.arange(-14, -6, 0.5), p), pick([0, 50, 100], p)) for i in range(n)]
+    names, scales = "wind_speed double, wind_dir double, wlvl double, salinity double", {"wind_speed": 10.0, "wind_dir": 180.0, "wlvl": 4.0, "salinity": 100.0}
+    s, t = rows(300, 0.05), [*rows(60, 0.1), (60, 20.0, 10.0, -15.0, None)]
+    for cap in (False, True):
+        df = scenarios.match(spark.createDataFrame(t, "target long, " + names), spark.createDataFrame(s + [(1000 + r[0], *r[1:]) for r in s], "key long, " + names), scales, cap_level=cap)
+        got = {(r.target, r.rank): (r.key, r.dist) for r in df.collect()}
+        want = {}
+        for i, *a in t:
+            near = []
+            for j, *b in s:
+                if cap and not (a[2] is not None and a[2] + 1e-6 < -14 or None not in (a[2], b[2]) and b[2] <= a[2] + 1e-6):
+                    continue
+                delta = [0 if None in (x, y) else ((y - x + 180) % 360 - 180 if p == "wind_dir" else y - x) / scales[p] for p, x, y in zip(scales, a, b)]
+                near += [(round(sum(x * x for x in delta) ** 0.5, 9), k) for k in (j, 1000 + j)]
+            want |= {(i, n + 1): (k, round(dist, 3)) for n, (dist, k) in enumerate(sorted(near)[:5])}
+        assert got.keys() == want.keys() and all(abs(got[x][1] - want[x][1]) <= 0.0011 for x in want)
