@@ -1,4 +1,4 @@
-"""License scan: whole texts, paragraphs and lines against license templates by Dice over word bigrams."""
+"""License scan: texts, paragraphs, lines and runs of words against license templates by Dice over word bigrams."""
 
 from __future__ import annotations
 
@@ -60,7 +60,7 @@ class Scanner:
         self.known = frozenset().union(*(t[2] for t in self.templates))
 
     def best(self, segment: str) -> tuple[float, str, str] | None:
-        if len(segment) < 2 * self.bounds[0] or segment.count(" ") > 40 * self.bounds[1]:
+        if len(segment) < 2 * self.bounds[0]:
             return None
         own = bigrams(segment)
         n, hits = len(own), None
@@ -75,6 +75,60 @@ class Scanner:
         return hits
 
 
+    def scan(self, text: str) -> list[tuple[float, str, str, str]]:
+        """(dice, name, kind, segment) of the segments that match, and of the best runs of words of templates
+        (first the closest, none overlapping another) that beat the segments they lie in or hold.
+
+        No part of a text has more bigrams of a template than the whole, so most texts go at once."""
+        low = text.lower()
+        w = _WORD.findall(low)
+        hits = self.known.intersection(zip(w, w[1:], strict=False))
+        likely = [t for t in self.templates if len(hits & t[2]) > len(t[2]) * self.least / (2 - self.least) - 1e-9]
+        if not likely:
+            return []
+        found = [(*hit, s) for s in segments(text) if (hit := self.best(s))]
+        pairs = list(zip(w, w[1:], strict=False))
+        runs = sorted((-run[0], name, kind, run[1], run[2]) for name, kind, grams in likely if (run := self.run(pairs, grams)))
+        if runs:
+            places, source = [m.span() for m in _WORD.finditer(low)], text if len(text) == len(low) else low
+            taken: list[tuple[int, int]] = []
+            plain = list(found)
+            for dice, name, kind, a, b in runs:
+                if any(a <= y and x <= b for x, y in taken):
+                    continue
+                taken.append((a, b))
+                run = source[places[a][0] : places[b + 1][1]]
+                if not any(f[0] >= -dice and (run in f[3] or f[3] in run) for f in plain):
+                    found.append((-dice, name, kind, run))
+        return found
+
+    def run(self, pairs: list[tuple[str, str]], grams: frozenset) -> tuple[float, int, int] | None:
+        """(dice, first, last bigram) of the run of words closest to a template, if close enough.
+
+        It begins and ends with bigrams of the template; where its first bigram comes again, the run
+        without the first is as good. So a bigram is looked at from 1.5 times the template's distinct ones at most."""
+        best, n = None, len(grams)
+        for a in (i for i, g in enumerate(pairs) if g in grams):
+            seen, both = set(), 0
+            for b in range(a, len(pairs)):
+                g = pairs[b]
+                if g in seen:
+                    if g == pairs[a]:
+                        break
+                    continue
+                seen.add(g)
+                if len(seen) > n * (2 - self.least) / self.least:
+                    break
+                if g in grams:
+                    both += 1
+                    dice = 2 * both / (len(seen) + n)
+                    if dice >= self.least and (best is None or dice > best[0]):
+                        best = (dice, a, b)
+                    if both == n:
+                        break
+        return best
+
+
 def segments(text: str) -> Iterator[str]:
     """The whole text, its paragraphs and its lines, each once."""
     yield text
@@ -91,7 +145,7 @@ def _scan(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
     for batch in small_batches(batches, "text"):
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            found = [(*hit, s) for s in segments(text) if (hit := scanner.best(s))]
+            found = scanner.scan(text)
             dice, name, kind, segment = min(found, key=lambda h: (-h[0], h[1], h[2], h[3]), default=(None, None, None, None))
             rows.append((doc_id, name, kind, dice, segment, len({h[3] for h in found})))
         types = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int64())
@@ -101,9 +155,10 @@ def _scan(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
 def license_scan(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, license, kind, dice, segment, n_segments: a row per row of ``docs`` (``doc_id``, ``text``).
 
-    The best template of the best segment (whole text, paragraph or line) with a Dice coefficient of
-    ``least`` or more; null license where there is none, as for null and empty texts. Ties go to the name
-    first in order. n_segments counts distinct matching segments. Other columns are ignored.
+    The best template of the best segment (whole text, paragraph, line, or any run of words where that is
+    closer) with a Dice coefficient of ``least`` or more; null license where there is none, as for null and empty texts. Ties go to the name
+    first in order. n_segments counts distinct matching segments, of runs
+    the best of each template. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return docs.mapInArrow(partial(_scan, least=least), _FOUND)

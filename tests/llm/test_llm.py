@@ -183,6 +183,17 @@ def test_licenses(docs, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_licenses_within_other_text(spark):
+    other = " ".join(f"word{i}" for i in range(300))
+    notice = licenses.NOTICES["GPL-3.0"]
+    texts = [f"{other}\n\n" + t.replace("\n", "\n\n") + f"\n\n{other}" for t in licenses.TEXTS.values()]
+    wrapped = notice.replace("GNU ", "GNU\n")
+    texts += [f"{other} {wrapped} {other}", f"{other} {notice} {other}", other, "\n".join([notice] * 3)]
+    rows = sorted(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [r.license for r in rows] == [*licenses.TEXTS, "GPL-3.0", "GPL-3.0", None, "GPL-3.0"]
+    assert all(r.dice > 0.99 and r.segment in texts[r.doc_id] for r in rows if r.license) and rows[-1].n_segments == 2
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 8))
