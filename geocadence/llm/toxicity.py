@@ -35,26 +35,30 @@ def terms(text: str) -> tuple[set[str], list[str]]:
     return words | {w[:k] + "*" for k in BEGINNINGS for w in words if len(w) > k}, list(words)
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
     for batch in small_batches(batches, "text"):
-        for text in batch.column("text").to_pylist():
-            own, _ = terms(text)
-            counts.update(own if only is None else own & only)
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+        for text, known in zip(batch.column("text").to_pylist(), batch.column("known").to_pylist(), strict=True):
+            counts[known].update(terms(text)[0])
+    for known, own in enumerate(counts):
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([known] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], ["term", "known", "n"])
 
 
-def mine(sample: DataFrame, weight: float, most: int, least: int, precision: float = 0.95) -> list[str]:
-    """Up to ``most`` terms found in ``least`` toxic rows or more, ``precision`` of them toxic.
+def mine(sample: DataFrame, weight: float, share: float, least: int = 6, precision: float = 0.95, chance: float = 0.05) -> list[str]:
+    """All terms found in ``least`` toxic rows or more, ``precision`` of them toxic, that are no chance finds.
 
-    ``weight``: clean rows that a clean row of the sample stands for, over the same of toxic rows."""
-    count = lambda label, only: sample.where(F.col("known") == label).select("text").mapInArrow(partial(_count_terms, only=only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    common = count(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(20_000).collect()
-    if not common:
+    ``weight``: clean rows that a clean row of the sample stands for, over the same of toxic rows; ``share``:
+    of toxic rows in the sample. A term's rows must be toxic more often than that, by Chernoff's bound with
+    ``chance`` divided by the number of terms tested: a floor that does not grow with the sample."""
+    if not 0 < share < 1:
         return []
-    rest = {r["term"]: r["n"] * weight for r in count(0, frozenset(r["term"] for r in common)).collect()}
-    ranked = sorted((-r["n"], r["term"]) for r in common if r["n"] >= precision * (r["n"] + rest.get(r["term"], 0)))
-    return [t for _, t in ranked[:most]]
+    of = lambda known: F.sum(F.when(F.col("known") == known, F.col("n")).otherwise(0))
+    counted = sample.mapInArrow(_count_terms, "term string, known int, n long").groupBy("term").agg(of(1).alias("n"), of(0).alias("c")).where(F.col("n") >= least)
+    counted = staged(sample.sparkSession, counted, "toxic-terms")
+    own = F.col("n") / (F.col("n") + F.col("c"))
+    bound = F.col("n") * F.log(own / F.lit(share)) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - own) / (1 - share))).otherwise(0.0)
+    kept = counted.where((F.col("n") >= precision * (F.col("n") + F.col("c") * weight)) & (own > share) & (bound >= float(np.log(max(1, counted.count()) / chance))))
+    return [r["term"] for r in kept.orderBy(F.desc("n"), "term").select("term").collect()]
 
 
 def _mark(batches: Iterator[pa.RecordBatch], vocabulary: list[str]) -> Iterator[pa.RecordBatch]:
@@ -144,23 +148,43 @@ def label_model(marked: DataFrame, how: Votes, prior: float, rates: np.ndarray,
     return prior, rates, share
 
 
-def _columns(marks: pa.ListArray, base: int) -> np.ndarray:
-    """One column per term and pattern, and the number of terms by its logarithm."""
-    n = np.diff(marks.offsets.to_numpy())
-    out, row, mark = np.zeros((len(marks), base + 5)), np.repeat(np.arange(len(marks)), n), marks.flatten().to_numpy(zero_copy_only=False)
-    out[row, mark] = 1
-    out[:, base + 3] = np.log1p(out[:, : base + 1].sum(axis=1))
-    out[:, base + 4] = 1
-    return out
+class Columns:
+    """Sparse: a column per term and pattern; dense: the number of terms by its logarithm, and one."""
+
+    def __init__(self, marks: pa.ListArray, base: int):
+        n = np.diff(marks.offsets.to_numpy())
+        self.n, self.width = len(n), base + 3
+        self.row, self.mark = np.repeat(np.arange(self.n), n), marks.flatten().to_numpy(zero_copy_only=False)
+        self.dense = np.stack([np.log1p(np.bincount(self.row[self.mark <= base], minlength=self.n)), np.ones(self.n)], axis=1)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.mark], minlength=self.n) + self.dense @ w[self.width :]
+
+    def back(self, v: np.ndarray, power: int = 1) -> np.ndarray:
+        return np.concatenate([np.bincount(self.mark, v[self.row], minlength=self.width), (self.dense**power).T @ v])
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps."""
-    w, ridge = np.zeros(x.shape[1]), decay * max(1, len(x)) * np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-6
+def fit_linear(x: Columns, y: np.ndarray, decay: float = 1e-3, steps: int = 25) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps, each solved by conjugate gradients."""
+    w = np.zeros(x.width + 2)
+    ridge = np.full(len(w), decay * max(1, x.n))
+    ridge[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
+        d = p * (1 - p) + 1e-9
+        scale, left, step = x.back(d, 2) + ridge, x.back(y - p) - ridge * w, np.zeros(len(w))
+        z = left / scale
+        way, size = z, left @ z
+        goal = 1e-16 * size
+        for _ in range(500):
+            if size <= goal or size == 0:
+                break
+            ahead = x.back(d * x.times(way)) + ridge * way
+            far = size / (way @ ahead)
+            step, left = step + far * way, left - far * ahead
+            z = left / scale
+            was, size = size, left @ z
+            way = z + size / was * way
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -169,15 +193,15 @@ def fit_linear(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 2
 
 def _score(batches: Iterator[pa.RecordBatch], base: int, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        score = np.concatenate([1 / (1 + np.exp(-np.clip(_columns(batch.slice(i, 2048).column("marks"), base) @ weights, -30, 30))) for i in range(0, batch.num_rows, 2048)] or [np.zeros(0)])
+        score = 1 / (1 + np.exp(-np.clip(Columns(batch.column("marks"), base).times(weights), -30, 30)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.7).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, most: int = 12_000, vocabulary: int = 512, voters: int = 96) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, most: int = 12_000, voters: int = 96) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of ``docs`` (doc_id, text).
 
     Labels (doc_id, toxic) are used for documents whose crc32 of the id's decimal text modulo ``folds`` is
-    not ``held``; null labels and ids are not. Terms are mined from up to ``most`` labelled documents of
+    not ``held``; null labels and ids are not. All terms that are no chance finds are mined from up to ``most`` labelled documents of
     each class, those of the smallest hashes; the label model reads the votes on all documents, and the
     classifier is fitted on up to ``most`` rows. Null texts count as empty and are scored as such; without
     any toxic label every score is 0. Repeated rows each get a row; other columns are ignored.
@@ -191,10 +215,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
         return docs.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     few = lambda c: usable.where(F.col("known") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = staged(spark, few(1).unionByName(few(0)), "toxic-sample")  # at most 2 * most rows: sent to all tasks
-    labelled = staged(spark, docs.where("not held_out").join(F.broadcast(sample), "doc_id").select("text", "known"), "toxic-texts")
+    labelled = staged(spark, docs.where("not held_out").join(F.broadcast(sample), "doc_id").select("text", "known").distinct(), "toxic-texts")
     toxic, clean = min(most, classes[1]), min(most, classes.get(0, 0))
-    # A term of six toxic rows and no clean one is hardly chance, among 20,000 terms, at a toxic rate of a tenth.
-    words = mine(labelled, (classes.get(0, 0) / max(clean, 1)) / (classes[1] / toxic), vocabulary, max(6, toxic * 15 // 1000))
+    texts = {r["known"]: r["n"] for r in labelled.groupBy("known").agg(F.count("*").alias("n")).collect()}  # copies tell nothing new
+    words = mine(labelled, (classes.get(0, 0) / max(clean, 1)) / (classes[1] / toxic), texts.get(1, 0) / max(1, sum(texts.values())))
     with_labels = docs.join(F.broadcast(sample), "doc_id", "left")
     marked = staged(spark, with_labels.mapInArrow(partial(_mark, vocabulary=words), _MARKED), "toxic-marks")
 
@@ -214,5 +238,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
     picked = [marked.where(kind).select("marks", F.xxhash64("doc_id", "marks").alias("h")).orderBy("h").limit(most // 2).select("marks") for kind in (any_mark, ~any_mark)]
     rows = picked[0].unionByName(picked[1]).toArrow()["marks"].combine_chunks()
     odds = log_odds(how.table(rows), prior, rates, share)
-    weights = fit_linear(_columns(rows, len(words)), 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+    weights = fit_linear(Columns(rows, len(words)), 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
     return marked.mapInArrow(partial(_score, base=len(words), weights=weights), "doc_id long, held_out boolean, score double, predicted int")

@@ -163,6 +163,17 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_rare_toxic_terms_are_mined_from_many_labels(spark):
+    rng, rows = np.random.default_rng(4), []
+    for i in range(4200):
+        filler = " ".join(f"{'klmnprst'[j % 8]}{'aeiou'[j // 8]}" for j in rng.integers(0, 40, 12))
+        rows.append((i, filler + ("" if i % 2 else " zorblat" if i % 140 == 0 else " quixnor"), 1, 1 - i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int").cache()
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic")).collect() if r.held_out}
+    rare = [got[i] for i in got if i % 140 == 0]
+    assert len(rare) > 5 and all(rare) and all(got[i] == 1 - i % 2 for i in got)
+
+
 def test_mixing(docs, empty):
     tokens = {"a": 900, "b": 50, "c": 50}
     a = mixing.bisect_exponent(tokens, 1000, 0.97, 2.0)
