@@ -16,12 +16,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import shared_fs, shards, small_batches, staged
-from .encode import encoder
+from .encode import encoder, vocabulary
 
 _PLACED = "doc_id long, shard int, file string, ordinal long, start_in_shard long, n_tokens long, offset long, size int"
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
@@ -38,22 +38,25 @@ def _samples(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, wid
         yield pa.RecordBatch.from_arrays([pa.array([_narrow(x, end_id, width) for x in enc.encode(batch.column("text").to_pylist())], pa.binary())], ["ids"])
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample: int = 800, longest: int = 8000, size: int = 65536) -> bytes:
-    """A zstandard dictionary fitted on the ids of ``sample`` whole documents of up to ``longest`` characters.
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample: int = 800, longest: int = 8000, size: int = 65536) -> tuple[bytes, int]:
+    """(a zstandard dictionary fitted on the ids of ``sample`` whole documents of up to ``longest`` characters,
+    bytes of all texts).
 
     The sample takes the smallest hashes of the text, so it is the same at every run. Too few documents
     for training give a plain content dictionary, no documents an empty one.
     """
     import zstandard
 
-    picked = docs.where(F.length("text") <= longest).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample).select("text")
+    seen = Observation()
+    picked = docs.observe(seen, F.sum(F.octet_length("text")).alias("bytes")).where(F.length("text") <= longest).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample).select("text")
     samples = [bytes(r.ids) for r in picked.mapInArrow(partial(_samples, tokenizer=tokenizer, end_id=end_id, width=width), "ids binary").collect()]
+    whole, plain = seen.get["bytes"] or 0, b"".join(samples)[-size:]
     if sum(map(len, samples)) < 100 * 256:
-        return b"".join(samples)[-size:]
+        return plain, whole
     try:
-        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 10), samples).as_bytes()
+        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 10), samples).as_bytes(), whole
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return plain, whole
 
 
 def _write_shard(batches: Iterator[pa.RecordBatch], store: str, tokenizer: str, end_id: int, width: int, dictionary: bytes, level: int) -> Iterator[pa.RecordBatch]:
@@ -84,24 +87,27 @@ def _write_shard(batches: Iterator[pa.RecordBatch], store: str, tokenizer: str,
             out.close()
 
 
-def write_token_files(docs: DataFrame, store: str, tokenizer: str, end_id: int, level: int = 3, vocabulary: int = 50_257) -> DataFrame:
-    """Encodes ``doc_id, text`` and writes the store in ascending order of (doc_id, text); returns its index.
+def write_token_files(docs: DataFrame, store: str, tokenizer: str, end_id: int, level: int = 3, shard_bytes: int = 64 << 20) -> DataFrame:
+    """Encodes ``doc_id, text`` and writes the store in ascending order of doc_id; returns its index.
 
+    Rows of one doc_id come in the order of their texts' hashes, and are split over shards like all others.
     Null texts count as empty (one id: the end). Repeated rows each get a frame. A null doc_id comes
-    first. An empty table gives an empty store. Other columns are ignored, whatever their names.
+    first. An empty table gives an empty store. Other columns are ignored, whatever their names. There is
+    a shard for each ``shard_bytes`` of text, and at least one for each shuffle partition.
     Index: doc_id, start (ids of all documents before), n_tokens, file, offset, size, dictionary (sha256).
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    width = 2 if vocabulary <= 1 << 16 else 4
-    dictionary = train_dictionary(docs, tokenizer, end_id, width)
+    width = 2 if max(vocabulary(tokenizer) - 1, end_id) < 1 << 16 else 4
+    dictionary, size = train_dictionary(docs, tokenizer, end_id, width)
     fs, root = shared_fs(store)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/dictionary.zdict") as f:
         f.write(dictionary)
-    ordered = docs.repartitionByRange(shards(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed, n = docs.withColumn("h", F.xxhash64("text")), max(shards(spark), -(-size // shard_bytes))
+    ordered = keyed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     placed = staged(spark, ordered.mapInArrow(partial(_write_shard, store=store, tokenizer=tokenizer, end_id=end_id, width=width, dictionary=dictionary, level=level), _PLACED), "placed")
-    # One row for each shard: as many as shuffle partitions, whatever the rows.
+    # One row for each shard.
     totals = placed.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     index = placed.join(before, "shard").select(

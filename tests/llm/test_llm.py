@@ -18,7 +18,7 @@ BASE = " ".join(f"w{i}" for i in range(60))
 ROWS = [
     (1, "The and of in", "en", "a", 0, "", 0), (2, None, None, None, 0, "", 0), (3, "", "en", "a", 0, "", 0), (4, "THE AND of in", "en", "b", 0, "", 0), (5, "der die und das", "de", "b", 0, "", 0),
     (5, "der die und das", "de", "b", 0, "", 0), (6, "word", "en", "a", 0, "", 0), (7, BASE, "en", "a", 0, "", 0), (8, BASE.replace("w30", "x"), "en", "c", 0, "", 0), (9, BASE * 50, "en", "c", 0, "", 0),
-    (10, " \n\t ", "en", "a", 0, "", 0), (None, "no id here", "en", "a", 0, "", 0), (11, "Released under the MIT License.\nthe idiot and the moron", "en", "a", 0, "", 0), (12, "12 34 !!", None, "a", 0, "", 0),
+    (10, " \n\t ", "en", "a", 0, "", 0), (None, "no id here", "en", "a", 0, "", 0), (11, "Released under the MIT License.\nthe idiot and the moron", "en", "a", 0, "", 0), (12, "12 34 !!", None, "a", 0, "", 0), (13, "q<|endoftext|>r", "en", "a", 0, "", 0), (14, "½ ² Ⅷ", "en", None, 0, "", 0),
 ]
 
 
@@ -32,10 +32,19 @@ def empty(spark):
     return spark.createDataFrame([], COLUMNS)
 
 
+def plain_ids(texts):
+    """The library's own call, by a tokenizer that nothing else uses."""
+    from tokenizers import Tokenizer
+
+    return [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_encoder_equals_library():
-    enc = encode.PieceEncoder(BPE)
-    texts = ["a  b", " x", "x \n y", "q<|endoftext|>r", "", "don't we've", "a²b é́ жx", "%%%'ll x%%%", "a\n\nb\n c\n", "12ab 3.5 ٣x", BASE]
-    assert enc.encode(texts) == enc.whole(texts) == enc.encode(texts)
+    enc, rng = encode.PieceEncoder(BPE), np.random.default_rng(0)
+    parts = ["a", "B", " ", "  ", "\n", "é", "ж", "1", "٣", "½", "'s", "!", "<|endoftext|>", "\t", "ß", "中", "_", "\u0301", "\r\n", "<|", "x1", "\x1c", "\x85"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(0, 30, 3000)]
+    texts += ["a  b", " x", "x \n y", "q<|endoftext|>r", "", "don't we've", "a²b é́ жx", "%%%'ll x%%%", "a\n\nb\n c\n", "12ab 3.5 ٣x", BASE]
+    assert enc.encode(texts) == plain_ids(texts) == enc.encode(texts)
 
 
 def test_token_files_round_trip(spark, docs, empty):
@@ -43,7 +52,7 @@ def test_token_files_round_trip(spark, docs, empty):
     token_files.write_token_files(docs, store, BPE, 2)
     got = sorted(token_files.read_token_files(spark, store).collect(), key=lambda r: r.start)
     want = sorted(((-1 if r[0] is None else r[0]), r[1] or "") for r in ROWS)
-    raw = encode.encoder(BPE).whole([t for _, t in want])
+    raw = plain_ids([t for _, t in want])
     start = 0
     for r, (doc_id, _), ids in zip(got, want, raw, strict=True):
         ids += b"\2\0\0\0"
@@ -57,19 +66,37 @@ def test_token_files_round_trip(spark, docs, empty):
 
 def test_packing_covers_every_id_once(docs, empty):
     rows = packing.pack(docs, BPE).collect()
-    by = {}
+    by, own = {}, {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append(r)
+        own.setdefault(r.doc_id, []).append(r)
     for pieces in by.values():
         at = 0
         for p in sorted(pieces, key=lambda p: p.offset):
             assert p.offset == at
             at += p.length
         assert at <= 1024
-    assert sum(r.length for r in rows) == sum(len(x) // 4 + 1 for x in encode.encoder(BPE).whole([r[1] or "" for r in ROWS]))
+    texts = {r[0]: r[1] or "" for r in ROWS}
+    for doc_id, raw in zip(texts, plain_ids(list(texts.values())), strict=True):
+        ids, copies, at = np.append(np.frombuffer(raw, "<u4"), np.uint32(0)), sum(r[0] == doc_id for r in ROWS), 0
+        assert sum(p.length for p in own[doc_id]) == copies * len(ids)
+        for p in sorted(own[doc_id], key=lambda p: p.start):
+            assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
+            at = p.start if copies > 1 else at
+            assert p.start == at
+            at += p.length
     assert packing.pack(empty, BPE).count() == 0
 
 
+def test_packing_leaves_little_padding(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, "w " * int(rng.integers(1, 2500))) for i in range(400)], "doc_id long, text string").repartition(3)
+    size = {}
+    for r in packing.pack(df, BPE).collect():
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
+    assert max(size.values()) <= 1024 and sum(1024 - n for n in size.values()) <= 0.02 * sum(size.values())
+
+
 def test_exact_dedup(docs, empty):
     rows = exact_dedup.exact_dedup(docs).collect()
     assert len(rows) == len(ROWS)
