@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOCAL: list[str] = []
+_STAGED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -33,7 +36,54 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, with its lineage cut."""
     path = workspace(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STAGED[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of ``staged`` frames that nothing reads any more."""
+    for frame in frames:
+        if path := _STAGED.pop(frame, None):
+            fs, place = shared_fs(path)
+            fs.delete_dir(place)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as make it differ from all ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, by: list[str], most: int = 4096, small: int = 65_536) -> DataFrame:
+    """Inner join with ``right``, which has a row for each key and, in ``count``, how many rows of ``left`` have it.
+
+    A ``right`` of up to ``small`` rows is broadcast. Else rows of keys with over ``most`` of them are dealt
+    over salts by a hash of ``by`` and meet a copy of the key's row in each; if there are up to ``small``
+    such keys they are broadcast to mark their rows, else all keys have 16 salts. ``right`` should be
+    staged, as it is read several times.
+    """
+    rows, hot, top = right.agg(F.count("*"), F.count_if(F.col(count) > most), F.max(count)).first()
+    if rows <= small:
+        return left.join(F.broadcast(right), key)
+    if not hot:
+        return left.join(right, key)
+    marked = hot <= small
+    salt, is_hot = unused([*left.columns, *right.columns], "_salt", "_hot")
+    salts = min(1024, math.ceil(top / most)) if marked else 16
+    turn, all_salts = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"), F.sequence(F.lit(0), F.lit(salts - 1))
+    if marked:
+        keys = right.where(F.col(count) > most).select(key, F.lit(True).alias(is_hot))
+        left = left.join(F.broadcast(keys), key, "left").withColumn(salt, F.when(F.col(is_hot), turn).otherwise(0)).drop(is_hot)
+        all_salts = F.when(F.col(count) > most, all_salts).otherwise(F.array(F.lit(0)))
+    else:
+        left = left.withColumn(salt, turn)
+    return left.join(right.withColumn(salt, F.explode(all_salts)), [key, salt]).drop(salt)
 
 
 def shared_fs(uri: str) -> tuple[pafs.FileSystem, str]:

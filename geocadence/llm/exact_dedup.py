@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shards, staged, workspace
+from .common import ascii_lower, discard, shared_fs, spread_join, staged, unused, workspace
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -66,13 +66,19 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sa
     keys = spark.read.schema(schema).parquet(keys_path)
     if keys.isEmpty():
         return keys.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    state = staged(spark, advance(spark, keys_path, schema, workspace(spark, "dedup-state")), "dedup-groups")
+    state_path = workspace(spark, "dedup-state")
+    state = staged(spark, advance(spark, keys_path, schema, state_path), "dedup-groups")
+    facts = state.select("digest", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.locator").alias("keep_locator"), "group_size")
+    proven = staged(spark, spread_join(keys, facts, "digest", "group_size", ["doc_id", "locator"], salt_rows), "dedup-proven")
+    for path in (keys_path, state_path):
+        fs, place = shared_fs(path)
+        fs.delete_dir(place)
 
     # Full bytes of the hits, fetched once: members, dealt over salts, meet the text of their keeper, once for each salt.
-    hits = state.where("group_size > 1").select("digest", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.locator").alias("keep_locator"), F.ceil(F.col("group_size") / salt_rows).cast("int").alias("salts"))
-    suspects = keys.join(hits, "digest").select("digest", F.col("doc_id").alias("m"), F.col("locator").alias("ml"), "keep_id", "keep_locator", "salts").distinct()
-    texts = docs.select(F.col("doc_id").alias("d"), F.col("locator").alias("l"), "text")
-    found = suspects.join(texts, F.col("m").eqNullSafe(F.col("d")) & (F.col("ml") == F.col("l"))).where(digest(F.col("text")) == F.col("digest"))
+    salts = F.ceil(F.col("group_size") / salt_rows).cast("int")
+    suspects = proven.where("group_size > 1").select("digest", F.col("doc_id").alias("m"), F.col("locator").alias("ml"), "keep_id", "keep_locator", salts.alias("salts")).distinct()
+    texts = docs.select(F.col("doc_id").alias("d"), F.col("locator").alias("l"), digest(F.col("text")).alias("g"), "text")
+    found = suspects.join(texts, (F.col("digest") == F.col("g")) & F.col("m").eqNullSafe(F.col("d")) & (F.col("ml") == F.col("l")))
     salt = F.pmod(F.xxhash64("m", "ml"), F.col("salts")).cast("int")
     keeps = F.col("m").eqNullSafe(F.col("keep_id")) & (F.col("ml") == F.col("keep_locator"))
     found = staged(spark, found.select("digest", "salts", salt.alias("salt"), keeps.alias("keeps"), "text"), "dedup-hits")
@@ -80,8 +86,8 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sa
     keepers = keepers.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "keep_text")
     compared = found.select("digest", "salt", "text").join(keepers, ["digest", "salt"]).where(F.col("text") != F.col("keep_text"))
     clashes = staged(spark, compared.select("digest").distinct(), "dedup-clashes")
+    discard(state, found)
 
-    proven = keys.join(state.select("digest", F.col("keeper.doc_id").alias("keep_id"), "group_size"), "digest")
     row = [F.col("doc_id"), F.col("keep_id"), F.col("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("text_sha256")]
     if clashes.isEmpty():
         return proven.select(*row)
@@ -92,11 +98,18 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sa
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; a repeated row stays once."""
-    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_key")).agg(F.count("*").alias("_n"))
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Of each group of equal texts (A-Z lower-cased, null as empty) the row with the largest doc_id stays, a
+    null doc_id only if there is no other; of rows that repeat both doc_id and text one stays, any of them.
+    An empty table gives no rows.
+    """
+    kept_id, key, n, sha = unused(docs.columns, "_kept", "_key", "_n", "_sha")
+    decided = exact_dedup(docs)
+    kept = decided.where("kept").groupBy(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(key)).agg(F.count("*").alias(n))
     kept = staged(docs.sparkSession, kept, "dedup-kept")
-    rows = docs.withColumn("_sha", sha256(ascii_lower(F.coalesce(F.col("text"), F.lit("")))))
-    stay = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_key")), "left_semi")
-    if not kept.where("_n > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id", "_sha"])
-    return stay.drop("_sha")
+    rows = docs.withColumn(sha, sha256(ascii_lower(F.coalesce(F.col("text"), F.lit("")))))
+    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(key)), "left_semi")
+    if not kept.where(F.col(n) > 1).isEmpty():
+        stay = stay.dropDuplicates(["doc_id", sha])
+    return stay.drop(sha)
