@@ -55,8 +55,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(documents(spark, sf_dir))
-    return mixed.selectExpr("doc_id", "source", "_repetition AS repetition", "_block AS block", "_tokens AS n_tokens")
+    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "source", "repetition", "block", "position", "n_tokens")
 
 
 @query

@@ -7,8 +7,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from geocadence.llm import components, encode, exact_dedup, language_id, language_model, licenses, mixing, near_dedup, nearest, packing, token_files, toxicity
+from geocadence.llm import common, components, encode, exact_dedup, language_id, language_model, licenses, mixing, near_dedup, nearest, packing, token_files, toxicity
 from geocadence.llm.common import workspace
 from geocadence.llm.queries import BPE
 from geocadence.llm.words import words
@@ -128,7 +129,7 @@ def test_near_duplicates_equal_brute_force(docs, empty, width):
     assert set(near_dedup.representatives(docs, width=2).columns) == set(docs.columns)
 
 
-def test_open_buckets_are_settled_by_blocks_and_by_stars(spark):
+def test_open_buckets_are_settled_by_blocks(spark):
     rng = np.random.default_rng(1)
     texts = []
     for i in range(60):
@@ -137,8 +138,8 @@ def test_open_buckets_are_settled_by_blocks_and_by_stars(spark):
             w[j] = f"x{rng.integers(1 << 30)}"
         texts.append((i, " ".join(w)))
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for few in (0, 2048):
-        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, width=2, few=few).collect()}
+    for blocks in ((7, 5), (1024, 64)):
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, width=2, blocks=blocks).collect()}
         sets = {i: near_dedup.shingle_set(t, 2) for i, t in texts}
         edges = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
         root = {k: k for k in sets}
@@ -159,6 +160,39 @@ def test_bytes_that_agree_by_chance_do_not_hide_a_shared_band():
     assert links == [{"u": 2, "v": 1}]
 
 
+def test_each_member_meets_a_component_until_it_is_linked():
+    """The likeliest partner may fail; the blocks of texts then go on."""
+    words_of = lambda n, own: " ".join([f"c{i}" for i in range(n)] + own)
+    texts = [words_of(40, []), words_of(30, [f"x{i}" for i in range(10)]), words_of(36, ["y1", "y2"])]
+    sets = [near_dedup.shingle_set(t, 2) for t in texts]
+    bands = [list(range(near_dedup.BANDS))] * 3
+    fields = pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64())), ("text", pa.string())]))
+    rows = [{"node": i, "root": min(i, 1) * 9, "n": len(sets[i]), "signature": bytes(near_dedup.ROWS * near_dedup.BANDS), "bands": bands[i], "text": t} for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([rows[:1]], fields), pa.array([rows], fields)], ["pos", "l", "r"])
+    links = [tuple(r.values()) for b in near_dedup._block_links([batch], 80, 2, near_dedup.MISS) for r in b.to_pylist()]
+    best = [r for b in near_dedup._block_best([batch], 80, near_dedup.MISS) for r in b.to_pylist() if r["y"] is not None]
+    assert links == [(2, 0)] and len(best) == 1 and best[0]["x"] == 0 and best[0]["other"] == 9
+
+
+@pytest.mark.parametrize("small", [0, 65_536])
+def test_spread_join_equals_a_plain_join(spark, small):
+    left = spark.range(5000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 50 END AS k")
+    right = left.groupBy("k").count().where("k != 3").selectExpr("k", "count AS n", "k * 2 AS twice")
+    for most in (10, 1500, 10_000):
+        got = common.spread_join(left, right, "k", "n", ["id"], most=most, small=small)
+        assert got.columns == ["k", "id", "n", "twice"]
+        assert sorted(got.collect()) == sorted(left.join(right, "k").collect())
+
+
+def test_a_stream_resumes_with_new_files(spark):
+    keys, check = workspace(spark, "keys"), workspace(spark, "state")
+    schema = "doc_id long, digest string, locator string, text_sha256 string"
+    for rows in ([(1, "a"), (2, "b"), (3, "a")], [(4, "b"), (0, "c")], []):
+        spark.createDataFrame([(i, d, "f", d) for i, d in rows], schema).write.mode("append").parquet(keys)
+        state = {r.digest: (r.keeper.doc_id, r.group_size) for r in exact_dedup.advance(spark, keys, schema, check).collect()}
+    assert state == {"a": (3, 2), "b": (4, 2), "c": (0, 1)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(40, 30), (30, 35)], "u long, v long")
     assert {(r.node, r.root) for r in components.components(spark, edges).collect()} == {(i, 0) for i in range(21)} | {(i, 30) for i in (30, 35, 40)}
@@ -201,15 +235,60 @@ def test_rare_toxic_terms_are_mined_from_many_labels(spark):
     assert len(rare) > 5 and all(rare) and all(got[i] == 1 - i % 2 for i in got)
 
 
-def test_mixing(docs, empty):
-    tokens = {"a": 900, "b": 50, "c": 50}
-    a = mixing.bisect_exponent(tokens, 1000, 0.97, 2.0)
-    w = mixing.tempered(tokens, a)
-    assert max(w[s] * 1000 / tokens[s] for s in tokens) <= 2.0 + 1e-6 and sum(w.values()) == pytest.approx(1)
-    assert mixing.entropy(mixing.tempered(tokens, mixing.bisect_exponent(tokens, 1000, 0.9, 1e9))) == pytest.approx(0.9 * math.log(3))
-    taken = mixing.mix_sources(docs).groupBy("source").sum("_tokens").collect()
-    assert sum(r[1] for r in taken) <= sum(len(words(r[1] or "")) for r in ROWS)
-    assert mixing.mix_sources(empty).count() == 0
+def _sums(tokens):
+    total = sum(tokens.values())
+    shares = [n / total for n in tokens.values() if n]
+    return lambda tried: [(sum(p**a for p in shares), sum(p**a * math.log(p) for p in shares)) for a in tried]
+
+
+def _weights(tokens, a):
+    raw = {s: (n / sum(tokens.values())) ** a for s, n in tokens.items() if n}
+    return {s: x / sum(raw.values()) for s, x in raw.items()}
+
+
+def test_mixing_exponent():
+    tokens = {"a": 900, "b": 50, "c": 50, "none": 0}
+    a = mixing.find_exponent(_sums(tokens), 3, 0.05, 1.0, 0.97, 2.0)
+    w = _weights(tokens, a)
+    assert max(w[s] * 1000 / tokens[s] for s in w) == pytest.approx(2.0) and sum(w.values()) == pytest.approx(1)
+    w = _weights(tokens, mixing.find_exponent(_sums(tokens), 3, 0.05, 1.0, 0.9, 1e9))
+    assert -sum(x * math.log(x) for x in w.values()) == pytest.approx(0.9 * math.log(3))
+    assert mixing.find_exponent(_sums({"a": 5, "b": 5}), 2, 0.5, 1.0, 0.97, 2.0) == 1.0
+
+
+@pytest.mark.parametrize("rows_per_block", [4, 1024])
+def test_mixing_realises_the_weights(spark, rows_per_block):
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.integers(0, 60)), "abcd"[min(3, int(rng.exponential(0.9)))]) for i in range(600)] + [(900, "w " * 4000, "d"), (901, None, "a"), (902, "w w", None)]
+    tokens, longest = {}, {}
+    for _, t, s in rows:
+        n = len((t or "").split())
+        tokens[s], longest[s] = tokens.get(s, 0) + n, max(longest.get(s, 0), n)
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), rows_per_block=rows_per_block).collect()
+    total, a = sum(tokens.values()), None
+    a = mixing.find_exponent(_sums(tokens), len(tokens), min(tokens.values()) / total, 1.0, 0.97, 2.0)
+    for s, w in _weights(tokens, a).items():
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.n_tokens for r in own) - w * total) <= longest[s] / 2 + 1e-6
+        full = int(w * total / tokens[s] + 1e-12)
+        assert all(sum(r.repetition == i for r in own) == sum(x[2] == s for x in rows) for i in range(full))
+        # a block is taken whole or not at all, but for the one block in which the last pass ends; blocks keep together
+        last = {}
+        for r in own:
+            last.setdefault((r.repetition, r.block), set()).add(round(r.position, 12))
+        assert all(len(x) == 1 for x in last.values()) and all(0 <= r.position <= 1 for r in own)
+
+
+def test_mixing_long_documents_and_odd_columns(spark, docs, empty):
+    df = spark.createDataFrame([(1, "w " * 300_000, "long"), (2, "a b c d e f", "short")], "doc_id long, text string, source string")
+    assert {(r.doc_id, r.repetition) for r in mixing.mix_sources(df).collect()} == {(1, 0), (2, 0), (2, 1)}
+    names = ["_s", "_d", "_n", "_q", "_h", "_g", "_t", "_sha", "_kept", "_key", "_rows", "_plan", "_salt", "_hot", "_tokens", "_block", "block", "Position", "repetition", "n_tokens", "digest", "node"]
+    odd = docs.select("doc_id", "text", "lang", "source", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for out in (mixing.mix_sources(odd), exact_dedup.unique_documents(odd), near_dedup.representatives(odd), language_id.accepted(odd)):
+        assert out.columns[: len(odd.columns)] == odd.columns
+        assert all(tuple(r)[4 : 4 + len(names)] == tuple(range(len(names))) for r in out.collect())
+    assert mixing.mix_sources(odd).columns[-4:] == ["repetition_", "block_", "position_", "n_tokens_"]
+    assert mixing.mix_sources(empty).count() == 0 and mixing.mix_sources(docs).count() > 0
 
 
 def test_licenses(docs, empty):
