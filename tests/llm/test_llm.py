@@ -326,3 +326,10 @@ def test_nearest(spark):
         hits += len({r.vec_id for r in own} & set(want))
         assert [r.rank for r in own] == list(range(1, 21)) and all(r.score == pytest.approx(scores[r.vec_id]) for r in own)
     assert {r.query_id for r in got} == set(range(0, 300, 20)) and hits >= 0.9 * 15 * 20
+
+
+def test_nearest_with_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (2, [0.1, 1.0])]
+    got = sorted((r.rank, r.vec_id, round(r.score, 9)) for r in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect())
+    assert got == sorted([(1, 1, 1.0), (2, 2, 0.1), (3, 2, 0.1), (1, 2, 1.0), (2, 2, 1.0), (3, 1, 0.1)])
+    assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
