@@ -211,11 +211,51 @@ def test_language_model_adds_up(docs, empty):
 
 def test_language_id(spark, docs, empty):
     rows = {r.doc_id: r for r in language_id.identify(docs).collect()}
-    assert rows[2].lang_pred == rows[12].lang_pred == rows[10].lang_pred == "und" and rows[1].lang_pred == "en" and 0 <= rows[1].score <= 1
+    assert rows[2].lang_pred == rows[12].lang_pred == rows[10].lang_pred == rows[14].lang_pred == "und" and rows[1].lang_pred == "en" and 0 <= rows[1].score <= 1
     assert language_id.identify(empty).count() == 0
     assert language_id.accepted(docs).columns == docs.columns
 
 
+def test_forward_backward_equals_enumeration(monkeypatch):
+    """Chains of one and of several stretches against all label sequences."""
+    from itertools import product
+
+    monkeypatch.setattr(language_id, "STRETCH", 3)
+    rng = np.random.default_rng(6)
+    field = language_id.Field(["a", "b"], np.zeros((language_id.LEXICON, 2)))
+    field.moves[:] = rng.normal(size=(2, 2))
+    chains = np.array([8, 1, 3, 4])
+    emissions = rng.normal(size=(chains.sum(), 2))
+    found, moves = field.posteriors(emissions, chains, moves=True)
+    want, went, at = np.zeros_like(emissions), np.zeros((2, 2)), 0
+    for n in chains:
+        own, total, pairs = np.zeros((n, 2)), 0.0, np.zeros((2, 2))
+        for labels in product((0, 1), repeat=int(n)):
+            p = math.exp(sum(emissions[at + i, x] for i, x in enumerate(labels)) + sum(field.moves[a, b] for a, b in zip(labels, labels[1:])))
+            total += p
+            for i, x in enumerate(labels):
+                own[i, x] += p
+            for a, b in zip(labels, labels[1:]):
+                pairs[a, b] += p
+        want[at : at + n], went, at = own / total, went + pairs / total, at + n
+    assert np.allclose(found, want) and np.allclose(moves, went)
+
+
+def test_words_of_mixed_texts_are_labelled(spark):
+    rng = np.random.default_rng(8)
+    make = lambda letters, n: " ".join("".join(rng.choice(list(letters), int(rng.integers(3, 8)))) for _ in range(n))
+    sides = {"xx": "abcdefgh", "yy": "efghijkl"}
+    rows = [(i, make(sides[x], 60), x) for i, x in enumerate(["xx", "yy"] * 60)] + [(1000 + i, rows, "xx") for i, rows in enumerate(["same text abc"] * 600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    field = language_id.train(df, per_lang=50)
+    mixed = spark.createDataFrame([(0, make("abcdefgh", 40) + " " + make("efghijkl", 40)), (1, None), (2, "x" * 60)], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.label_words(mixed, field).collect()}
+    assert sum(a == b for a, b in zip(got[0].langs, ["xx"] * 40 + ["yy"] * 40)) >= 72
+    assert got[1].words == [] and [len(w) for w in got[2].words] == [24, 24, 12]
+    out = language_id.identify(df.where("doc_id < 1000")).where("held_out").join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert len(out) > 10 and all(r.lang_pred == r.lang for r in out)
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(i, 1, int(i == 11)) for i in (1, 4, 5, 6, 7, 11)] + [(None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity(docs, labels).collect()
