@@ -1,14 +1,16 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 Voters are a fixed lexicon, words and word beginnings mined from labelled rows, patterns, and the absence
-of all these. The label model gives each voter its accuracy in either class by expectation maximisation
-over the votes on all documents, held near what the labelled rows say; voters whose votes still agree
-within a class are correlated, and their evidence is divided among them. A logistic regression is then
-trained on the posterior labels, and its probability is the score.
+of all these. The label model is a tree of voters for each class: a voter's vote depends on the class and
+on the vote of the voter that it is most correlated with within the classes, where that correlation is
+beyond chance. Structure, accuracies and correlations are estimated by expectation maximisation over the
+votes on all documents, in which labelled rows keep their labels. A logistic regression is then trained
+on the posterior labels, and its probability is the score.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -96,56 +98,84 @@ class Votes:
         return out
 
 
-def log_odds(votes: np.ndarray, prior: float, rates: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Log odds of the toxic class; ``rates``: chance of each vote in either class (2 x voters)."""
-    yes, no = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-    return np.log(prior / (1 - prior)) + votes @ (share * (yes - no)) + (share * no).sum()
-
-
-def _expect(batches: Iterator[pa.RecordBatch], how: Votes, prior: float, rates: np.ndarray, share: np.ndarray, pairs: bool) -> Iterator[pa.RecordBatch]:
+class Tree:
+    """The label model: ``n`` rows, ``joint`` (2 x voters x voters) votes of pairs (on the diagonal: of one voter)
+    by class, and each voter's parent (-1: none)."""
+
+    def __init__(self, n: np.ndarray, joint: np.ndarray, parent: np.ndarray, smooth: float = 0.5):
+        m = joint.shape[1]
+        self.parent, self.prior = parent, float(np.clip(n[1] / max(n.sum(), 1e-9), 1e-4, 0.5))
+        own, at = np.einsum("cii->ci", joint), np.maximum(parent, 0)
+        both, of_parent = joint[:, np.arange(m), at], own[:, at]
+        rate = (own + 0.05 * smooth) / (n[:, None] + 0.1 * smooth)
+        # Chance of a vote if the parent votes and if it does not, drawn towards the voter's own rate.
+        yes = np.where(parent < 0, rate, (both + smooth * rate) / (of_parent + smooth))
+        no = np.where(parent < 0, rate, (own - both + smooth * rate) / (n[:, None] - of_parent + smooth))
+        yes, no = np.clip(yes, 1e-5, 1 - 1e-5), np.clip(no, 1e-5, 1 - 1e-5)
+        # The log odds are linear in votes, votes of parents and their products.
+        lone, quiet = np.log(no[1] / no[0]), np.log((1 - no[1]) / (1 - no[0]))
+        led, idle = np.log(yes[1] / yes[0]), np.log((1 - yes[1]) / (1 - yes[0]))
+        self.base = float(np.log(self.prior / (1 - self.prior)) + quiet.sum())
+        self.single, self.pair = lone - quiet, np.where(parent < 0, 0, led - idle - lone + quiet)
+        np.add.at(self.single, at[parent >= 0], (idle - quiet)[parent >= 0])
+
+    def log_odds(self, votes: np.ndarray) -> np.ndarray:
+        """Log odds of the toxic class."""
+        led = np.flatnonzero(self.parent >= 0)
+        return self.base + votes @ self.single + (votes[:, led] & votes[:, self.parent[led]]) @ self.pair[led]
+
+
+def structure(n: np.ndarray, joint: np.ndarray, chance: float = 0.01) -> np.ndarray:
+    """Each voter's parent: the spanning forest of most information between votes within the classes, of the
+    pairs whose information is beyond ``chance`` divided by the number of pairs, by the likelihood ratio test."""
+    m, own, info = joint.shape[1], np.einsum("cii->ci", joint), np.zeros(joint.shape[1:])
+    for c in (0, 1):
+        a, b, both, size = own[c][:, None], own[c][None], joint[c], max(n[c], 1e-9)
+        for votes, p, q in ((both, a, b), (a - both, a, size - b), (b - both, size - a, b), (size - a - b + both, size - a, size - b)):
+            votes, even = np.maximum(votes, 0), np.maximum(p * q / size, 1e-12)
+            info += np.where(votes > 1e-9, votes * np.log(np.maximum(votes, 1e-12) / even), 0)
+    # 2 * info is chi-square with two degrees of freedom by chance: its tail is exp(-info).
+    np.fill_diagonal(info, 0)
+    parent, inside, least = np.full(m, -1), np.zeros(m, bool), math.log(max(1, m * (m - 1) / 2) / chance)
+    gain, by = np.zeros(m), np.full(m, -1)
+    for _ in range(m):
+        i = int(np.argmax(np.where(inside, -1.0, gain)))
+        parent[i], inside[i] = by[i], True
+        closer = ~inside & (info[i] > np.maximum(gain, least))
+        gain[closer], by[closer] = info[i][closer], i
+    return parent
+
+
+def _votes(batches: Iterator[pa.RecordBatch], how: Votes, tree: Tree | None) -> Iterator[pa.RecordBatch]:
+    """Sums over rows by class: of ones and of votes in pairs. Labelled rows have their label, others the
+    posterior of ``tree``, or no part without one."""
     m = how.n
-    total = np.zeros(2 + 2 * m + (2 * m * m if pairs else 0))
+    total = np.zeros(2 + 2 * m * m)
     for batch in batches:
-        votes = how.table(batch.column("marks"))
-        p = 1 / (1 + np.exp(-np.clip(log_odds(votes, prior, rates, share), -30, 30)))
-        for c, w in enumerate((1 - p, p)):
-            total[c] += w.sum()
-            total[2 + c * m : 2 + (c + 1) * m] += w @ votes
-            if pairs:
-                total[2 + 2 * m + c * m * m :][: m * m] += ((votes * w[:, None]).T @ votes).reshape(-1)
+        for part in (batch.slice(i, 8192) for i in range(0, batch.num_rows, 8192)):
+            known = part.column("known").fill_null(-1).to_numpy()
+            known = np.where(part.column("held_out").to_numpy(zero_copy_only=False), -1, known)
+            votes = how.table(part.column("marks"))
+            p = np.where(known >= 0, known, 1 / (1 + np.exp(-np.clip(tree.log_odds(votes), -30, 30)))) if tree else (known == 1).astype(float)
+            rest = 1 - p if tree else (known == 0).astype(float)
+            for c, w in enumerate((rest, p)):
+                total[c] += w.sum()
+                total[2 + c * m * m :][: m * m] += ((votes * w[:, None]).T @ votes.astype(float)).reshape(-1)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "x"])
 
 
-def label_model(marked: DataFrame, how: Votes, prior: float, rates: np.ndarray, weight: float, rounds: int = 4) -> tuple[float, np.ndarray, np.ndarray]:
-    """(prior, rates, share of each voter's evidence) after expectation maximisation over all rows.
-
-    Labelled rates count as ``weight`` rows in either class. The last pass also sums votes in pairs: a
-    voter's evidence is divided by one plus its correlations with the others within the classes.
-    """
-    m, share, start = how.n, np.ones(how.n), rates.copy()
-
-    def passed(pairs: bool) -> np.ndarray:
-        out = np.zeros(2 + 2 * m + 2 * m * m)
-        summed = marked.select("marks").mapInArrow(partial(_expect, how=how, prior=prior, rates=rates, share=share, pairs=pairs), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-        out[summed["at"].to_numpy()] = summed["x"].to_numpy()
-        return out
-
-    def again(total: np.ndarray) -> tuple[float, np.ndarray]:
-        n, votes = total[:2], total[2 : 2 + 2 * m].reshape(2, m)
-        return float(np.clip((n[1] + weight * prior) / (n.sum() + weight), 1e-4, 0.5)), np.clip((votes + weight * start) / (n[:, None] + weight), 1e-5, 1 - 1e-5)
-
-    for i in range(rounds):
-        total = passed(i == 0)
-        if i == 0 and total[:2].min() > 0:
-            joint = total[2 + 2 * m :].reshape(2, m, m) / total[:2, None, None]
-            mean = np.einsum("cii->ci", joint)
-            spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
-            correlation = (joint - mean[:, :, None] * mean[:, None, :]) / (spread[:, :, None] * spread[:, None, :])
-            tied = np.clip(correlation.max(axis=0), 0, 1) * (1 - np.eye(m))
-            share = 1 / (1 + np.where(tied > 0.1, tied, 0).sum(axis=1))
-        prior, rates = again(total)
-    return prior, rates, share
+def label_model(marked: DataFrame, how: Votes, rounds: int = 4) -> Tree:
+    """The tree after expectation maximisation over all rows of ``marked``; it starts from the labelled rows,
+    and its structure is found again in every round. The driver gets the sums of each round: 2 + 2 * voters^2."""
+    m, tree = how.n, None
+    for _ in range(rounds + 1):
+        total = np.zeros(2 + 2 * m * m)
+        summed = marked.select("marks", "known", "held_out").mapInArrow(partial(_votes, how=how, tree=tree), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        total[summed["at"].to_numpy()] = summed["x"].to_numpy()
+        n, joint = total[:2], total[2:].reshape(2, m, m)
+        tree = Tree(n, joint, structure(n, joint))
+    return tree
 
 
 class Columns:
@@ -202,9 +232,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
 
     Labels (doc_id, toxic) are used for documents whose crc32 of the id's decimal text modulo ``folds`` is
     not ``held``; null labels and ids are not. All terms that are no chance finds are mined from up to ``most`` labelled documents of
-    each class, those of the smallest hashes; the label model reads the votes on all documents, and the
-    classifier is fitted on up to ``most`` rows. Null texts count as empty and are scored as such; without
-    any toxic label every score is 0. Repeated rows each get a row; other columns are ignored.
+    each class, those of the smallest hashes. The ``voters`` most frequent of them vote one by one in the
+    label model, the others only in its voter for the absence of all; the model reads the votes on all
+    documents. The classifier has a weight for every term and is fitted on up to ``most`` rows. Null texts
+    count as empty and are scored as such; without any toxic label every score is 0. Repeated rows each get
+    a row; an empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (remainder(F.col("doc_id"), folds) == held).alias("held_out"))
@@ -223,20 +255,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
     marked = staged(spark, with_labels.mapInArrow(partial(_mark, vocabulary=words), _MARKED), "toxic-marks")
 
     how = Votes(len(words), voters)
-    rates = np.full((2, how.n), 0.5)
-    known = marked.where("known IS NOT NULL AND not held_out")
-    for c in (0, 1):
-        got = known.where(F.col("known") == c).select("marks").mapInArrow(partial(_expect, how=how, prior=0.5, rates=rates, share=np.zeros(how.n), pairs=False), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-        votes = np.zeros(2 + 2 * how.n)
-        votes[got["at"].to_numpy()] = got["x"].to_numpy()  # even odds: half of each count in either class
-        rates[c] = (2 * votes[2 : 2 + how.n] + 0.05) / (2 * votes[0] + 0.1)
-    prior = float(np.clip(classes[1] / sum(classes.values()), 1e-3, 0.5))
-    prior, rates, share = label_model(marked, how, prior, np.clip(rates, 1e-5, 1 - 1e-5), weight=float(toxic + clean))
+    tree = label_model(marked, how)
 
     # Rows for the classifier: the smallest hashes with and without any mark, so that both kinds are there.
     any_mark = F.size("marks") > 0
     picked = [marked.where(kind).select("marks", F.xxhash64("doc_id", "marks").alias("h")).orderBy("h").limit(most // 2).select("marks") for kind in (any_mark, ~any_mark)]
     rows = picked[0].unionByName(picked[1]).toArrow()["marks"].combine_chunks()
-    odds = log_odds(how.table(rows), prior, rates, share)
+    odds = tree.log_odds(how.table(rows))
     weights = fit_linear(Columns(rows, len(words)), 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
     return marked.mapInArrow(partial(_score, base=len(words), weights=weights), "doc_id long, held_out boolean, score double, predicted int")

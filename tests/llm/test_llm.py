@@ -264,6 +264,44 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_label_tree_equals_a_plain_loop():
+    """Structure and posteriors of correlated voters against counting row by row."""
+    rng = np.random.default_rng(9)
+    y = rng.random(4000) < 0.2
+    a = np.where(y, rng.random(4000) < 0.8, rng.random(4000) < 0.1)
+    b = np.where(rng.random(4000) < 0.9, a, rng.random(4000) < 0.5)  # follows a
+    c = np.where(y, rng.random(4000) < 0.6, rng.random(4000) < 0.2)
+    votes = np.column_stack([a, b, c])
+    n = np.array([(~y).sum(), y.sum()], float)
+    joint = np.stack([votes[y == k].T.astype(float) @ votes[y == k] for k in (0, 1)])
+    parent = toxicity.structure(n, joint)
+    assert sorted(parent.tolist()) == [-1, -1, 0] and parent[1] == 0 or parent.tolist() == [1, -1, -1]
+    tree = toxicity.Tree(n, joint, parent)
+    for row in votes[:50]:
+        odds = math.log(tree.prior / (1 - tree.prior))
+        for i, p in enumerate(parent):
+            chance = []
+            for k in (0, 1):
+                own = votes[(y == k)]
+                rate = (own[:, i].sum() + 0.025) / (len(own) + 0.05)
+                like = own if p < 0 else own[own[:, p] == row[p]]
+                q = rate if p < 0 else (like[:, i].sum() + 0.5 * rate) / (len(like) + 0.5)
+                chance.append(q if row[i] else 1 - q)
+            odds += math.log(chance[1] / chance[0])
+        assert tree.log_odds(row[None])[0] == pytest.approx(odds)
+    loop = np.zeros((2, 3, 3))
+    p = 1 / (1 + np.exp(-tree.log_odds(votes)))
+    for row, w in zip(votes, p, strict=True):
+        loop += np.array([1 - w, w])[:, None, None] * np.outer(row, row)
+    how = toxicity.Votes(0, 0)
+    how.n, how.table = 3, lambda marks: votes
+    batch = pa.RecordBatch.from_arrays([pa.array([[0]] * 4000), pa.nulls(4000, pa.int32()), pa.array([False] * 4000)], ["marks", "known", "held_out"])
+    total = np.zeros(20)
+    for out in toxicity._votes([batch.slice(0, 4000)], how, tree):
+        total[out.column("at").to_numpy()] = out.column("x").to_numpy()
+    assert np.allclose(total[2:].reshape(2, 3, 3), loop)
+
+
 def test_rare_toxic_terms_are_mined_from_many_labels(spark):
     rng, rows = np.random.default_rng(4), []
     for i in range(4200):
