@@ -192,7 +192,7 @@ class Shards:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], store: str, pairs: list, n: int) -> Iterator[pa.RecordBatch]:
-    counts, gather = Shards(store, pairs, n, {"count": "<f4"}), Gather("word", n, 5)
+    counts, gather = Shards(store, pairs, n, {"count": "<f8"}), Gather("word", n, 5)
     for batch in small_batches(batches, "text", 4 << 20, 8192):
         tokens, before, _ = _tokens(batch)
         keys, back = np.unique(_pair(before, tokens), return_inverse=True)
@@ -219,7 +219,7 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 
 def _plain(kind: str, shard: int, keys: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
-    return {"keys": keys.astype("<u8"), "count": np.rint(data[:, 0]).astype("<f4")}
+    return {"keys": keys.astype("<u8"), "count": np.rint(data[:, 0]).astype("<f8")}
 
 
 def _finished(kind: str, shard: int, keys: np.ndarray, data: np.ndarray, d: tuple[float, float, float]) -> dict[str, np.ndarray]:
@@ -229,7 +229,7 @@ def _finished(kind: str, shard: int, keys: np.ndarray, data: np.ndarray, d: tupl
 
 
 def _score(batches: Iterator[pa.RecordBatch], store: str, words: list, pairs: list, n: int, m: dict) -> Iterator[pa.RecordBatch]:
-    word, pair = Shards(store, words, n, {"count": "<f8", "spared": "<f4", "ends": "<f8"}), Shards(store, pairs, n, {"count": "<f4"})
+    word, pair = Shards(store, words, n, {"count": "<f8", "spared": "<f4", "ends": "<f8"}), Shards(store, pairs, n, {"count": "<f8"})
     for batch in small_batches(batches, "text", 4 << 20, 8192):
         tokens, before, lengths = _tokens(batch)
         keys, back = np.unique(np.concatenate([tokens, before]), return_inverse=True)
@@ -246,17 +246,20 @@ def _score(batches: Iterator[pa.RecordBatch], store: str, words: list, pairs: li
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCORE.split(", ")])
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held: int = 2, shard_bytes: int = 64 << 20) -> DataFrame:
     """Log10 probabilities of all texts under a model of those whose fold is not ``held``.
 
     The fold of a document is the crc32 of its id's decimal text modulo ``folds``; a null id has none and
     is learned from. Returns doc_id, held_out, n_tokens (with the end), n_known, train_tokens, base_score
     (add-one unigram) and score, one row per row. Null texts count as empty: the end alone. Repeated rows
     count each time. With nothing to learn from every token is equally unlikely. Other columns are ignored.
+    An empty table gives no rows. The model has a file of each kind for each ``shard_bytes`` of text, and at
+    least as many as there are shuffle partitions.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (remainder(F.col("doc_id"), folds) == held).alias("held_out"))
-    train, store, n = docs.where("not held_out").select("text"), workspace(spark, "model"), shards(spark)
+    train, store = docs.where("not held_out").select("text"), workspace(spark, "model")
+    n = max(shards(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
     files = _write(spark, train.mapInArrow(partial(_count, n=n), _PART), store, _plain, n, "model-files")
     pairs = [(r["shard"], r["file"]) for r in files if r["kind"] == "pair"]
     of = lambda kind, column, rows: sum(r[column] for r in rows if r["kind"] == kind)
