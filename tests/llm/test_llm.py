@@ -209,6 +209,36 @@ def test_language_model_adds_up(docs, empty):
     assert language_model.score(empty).count() == 0
 
 
+def test_language_model_equals_brute_force(spark):
+    """Scores of all texts against interpolated modified Kneser-Ney counted in plain dictionaries."""
+    from collections import Counter
+
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 40)) if x < 200)) for i in range(150)] + [(200, None)]
+    got = {r.doc_id: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    texts = {i: [*(t or "").split(), "$"] for i, t in rows}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    one = Counter(w for t in train for w in t)
+    two = Counter(p for t in train for p in zip(["^", *t], t))
+    ends, starts = Counter(b for _, b in two), Counter()
+    for (a, _), c in two.items():
+        starts[a, min(c, 3)] += 1
+    context = Counter()
+    for (a, _), c in two.items():
+        context[a] += c
+    fit = lambda counts: language_model.discounts(*(sum(c == k for c in counts) for k in (1, 2, 3, 4)))
+    high, low = fit(two.values()), fit(ends.values())
+    off = lambda c, d: 0 if c == 0 else d[min(c, 3) - 1]
+    left = sum(off(c, low) for c in ends.values()) / len(two)
+    for i, t in texts.items():
+        total = 0.0
+        for a, b in zip(["^", *t], t):
+            base = max(ends[b] - off(ends[b], low), 0) / len(two) + left / (len(one) + 1)
+            spared = sum(starts[a, k] * high[k - 1] for k in (1, 2, 3)) / context[a] if context[a] else 1.0
+            total += math.log10((max(two[a, b] - off(two[a, b], high), 0) / context[a] if context[a] else 0) + spared * base)
+        assert got[i].score == pytest.approx(total, abs=1e-5) and got[i].n_known == sum(w in one for w in t)
+
+
 def test_language_id(spark, docs, empty):
     rows = {r.doc_id: r for r in language_id.identify(docs).collect()}
     assert rows[2].lang_pred == rows[12].lang_pred == rows[10].lang_pred == rows[14].lang_pred == "und" and rows[1].lang_pred == "en" and 0 <= rows[1].score <= 1
@@ -375,18 +405,38 @@ def test_licenses(docs, empty):
     scanner = licenses.Scanner(0.8)
     for name, text in licenses.TEXTS.items():
         assert scanner.best(text + " And so on")[1] == name
+        assert max(scanner.scan(f"{text}\n" * 60))[1] == name and max(scanner.scan(text.replace(" ", " " * 300)))[1] == name
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_license_scan_equals_all_templates():
+    """The best of every segment without any pruning, and every run of words of short texts."""
+    scanner, rng = licenses.Scanner(0.8), np.random.default_rng(2)
+    for _ in range(60):
+        name = rng.choice(list(licenses.NOTICES))
+        w = licenses.NOTICES[name].split()
+        for i in rng.integers(0, len(w), rng.integers(0, 3)):
+            w[i] = "zzz"
+        w = [f"a{i}" for i in range(rng.integers(0, 6))] + w + [f"b{i}" for i in range(rng.integers(0, 6))]
+        found, best = scanner.scan(" ".join(w)), 0.0
+        for i in range(len(w)):
+            for j in range(i + 2, len(w) + 1):
+                own = licenses.bigrams(" ".join(w[i:j]))
+                best = max([best, *(2 * len(own & g) / (len(own) + len(g)) for _, _, g in scanner.templates)])
+        assert max((f[0] for f in found), default=0.0) == pytest.approx(best if best >= 0.8 else 0.0)
+
+
 def test_licenses_within_other_text(spark):
     other = " ".join(f"word{i}" for i in range(300))
     notice = licenses.NOTICES["GPL-3.0"]
     texts = [f"{other}\n\n" + t.replace("\n", "\n\n") + f"\n\n{other}" for t in licenses.TEXTS.values()]
     wrapped = notice.replace("GNU ", "GNU\n")
-    texts += [f"{other} {wrapped} {other}", f"{other} {notice} {other}", other, "\n".join([notice] * 3)]
+    both = licenses.NOTICES["MPL-2.0"] + "\n" + licenses.NOTICES["MIT"]
+    texts += [f"{other} {wrapped} {other}", f"{other} {notice} {other}", other, "\n".join([notice] * 3), both]
     rows = sorted(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
-    assert [r.license for r in rows] == [*licenses.TEXTS, "GPL-3.0", "GPL-3.0", None, "GPL-3.0"]
-    assert all(r.dice > 0.99 and r.segment in texts[r.doc_id] for r in rows if r.license) and rows[-1].n_segments == 2
+    assert [r.license for r in rows] == [*licenses.TEXTS, "GPL-3.0", "GPL-3.0", None, "GPL-3.0", "MIT"]
+    assert all(r.dice > 0.99 and r.segment in texts[r.doc_id] for r in rows if r.license) and rows[-2].n_segments == 2
+    assert rows[-1].licenses == ["MIT", "MPL-2.0"] and rows[-3].licenses == []
 
 
 def test_nearest(spark):
