@@ -60,11 +60,11 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, by: list[str], most: int = 4096, small: int = 65_536) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, by: list[str], most: int = 4096, small: int = 0, marks: int = 65_536) -> DataFrame:
     """Inner join with ``right``, which has a row for each key and, in ``count``, how many rows of ``left`` have it.
 
     A ``right`` of up to ``small`` rows is broadcast. Else rows of keys with over ``most`` of them are dealt
-    over salts by a hash of ``by`` and meet a copy of the key's row in each; if there are up to ``small``
+    over salts by a hash of ``by`` and meet a copy of the key's row in each; if there are up to ``marks``
     such keys they are broadcast to mark their rows, else all keys have 16 salts. ``right`` should be
     staged, as it is read several times.
     """
@@ -73,7 +73,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, by: lis
         return left.join(F.broadcast(right), key)
     if not hot:
         return left.join(right, key)
-    marked = hot <= small
+    marked = hot <= marks
     salt, is_hot = unused([*left.columns, *right.columns], "_salt", "_hot")
     salts = min(1024, math.ceil(top / most)) if marked else 16
     turn, all_salts = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"), F.sequence(F.lit(0), F.lit(salts - 1))

@@ -250,8 +250,11 @@ def train(docs: DataFrame, per_lang: int = 400, rounds: int = 3, splits: int = 8
     lexicon = np.log(share / share.sum(axis=1, keepdims=True))
     lexicon -= lexicon.mean(axis=1, keepdims=True)
     keyed = docs.select("text", "lang", F.xxhash64("text").alias("h"))
-    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = keyed.select("lang", "h").distinct().withColumn("i", least).where(F.col("i") <= per_lang).drop("i")
+    texts = staged(spark, keyed.select("lang", "h").distinct(), "language-hashes")
+    # Hashes are even, so the smallest twice per_lang of them lie below this share of their range.
+    counts = texts.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
+    low = texts.join(F.broadcast(counts), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < (2 * per_lang + 64) / F.col("n"))
+    picked = low.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= per_lang).select("lang", "h")
     # At most per_lang hashes of each language: small enough to send to all tasks whatever the table.
     sample = keyed.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     sample = staged(spark, sample, "language-sample")
@@ -261,7 +264,7 @@ def train(docs: DataFrame, per_lang: int = 400, rounds: int = 3, splits: int = 8
         parts = dealt.mapInArrow(partial(_fit, langs=langs, lexicon=lexicon, weights=field.flat, rate=rate / (i + 1), decay=decay), "weights binary, n long").collect()
         if parts:
             field = Field(langs, lexicon, np.average([np.frombuffer(p["weights"]) for p in parts], axis=0, weights=[p["n"] for p in parts]))
-    discard(sample)
+    discard(sample, texts)
     return field
 
 

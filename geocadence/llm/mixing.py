@@ -111,12 +111,12 @@ def mix_sources(docs: DataFrame, target: float = 0.97, most: float = 2.0, budget
 
     # Where the last pass ends: by ranges of the order, then by its blocks there, then by rows of that block.
     order = order_of(F.col("_s"), F.col("_full"), block_of(F.col("_d"), F.col("_blocks")))
-    rows = spread_join(slim, plan.where("_room > 0").select("_s", "_full", "_blocks", "_room", "_rows"), "_s", "_rows", ["_d"]).withColumn("_b", order)
+    rows = spread_join(slim, plan.where("_room > 0").select("_s", "_full", "_blocks", "_room", "_rows"), "_s", "_rows", ["_d"], small=65_536).withColumn("_b", order)
     blocks = staged(spark, rows.groupBy("_s", F.shiftright("_b", 50).alias("_range"), "_b").agg(F.sum("_n").alias("_n"), F.first("_room").alias("_room")), "mix-blocks")
     in_range = _cut(blocks.groupBy("_s", "_range").agg(F.sum("_n").alias("_n"), F.first("_room").alias("_room")), ["_s"], "_range", "_n", "_range")
     in_block = _cut(blocks.drop("_room").join(in_range, ["_s", "_range"]), ["_s", "_range"], "_b", "_n", "_b").select("_s", F.col("_b").alias("_cut"), "_room")
     in_block = staged(spark, in_block.join(plan.select("_s", "_full", "_blocks", "_rows"), "_s"), "mix-cuts")
-    cut_rows = spread_join(slim, in_block, "_s", "_rows", ["_d"]).where(order == F.col("_cut"))
+    cut_rows = spread_join(slim, in_block, "_s", "_rows", ["_d"], small=65_536).where(order == F.col("_cut"))
     cut_rows = cut_rows.groupBy("_s", "_d").agg(F.sum("_n").alias("_n"), F.first("_room").alias("_room"))
     w = Window.partitionBy("_s").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)  # rows of one block
     nearest = cut_rows.withColumn("_end", F.sum("_n").over(w)).where((F.col("_end") <= F.col("_room")) | (F.col("_end") - F.col("_room") < F.col("_room") - F.col("_end") + F.col("_n")))
@@ -127,7 +127,7 @@ def mix_sources(docs: DataFrame, target: float = 0.97, most: float = 2.0, budget
     discard(slim, totals, blocks, in_block, old)
 
     of = F.col(p)
-    tagged = spread_join(docs.withColumn(s, source).withColumn(d, row), plan, s, count, [d]).withColumn(block, block_of(F.col(d), of["_blocks"]))
+    tagged = spread_join(docs.withColumn(s, source).withColumn(d, row), plan, s, count, [d], small=65_536).withColumn(block, block_of(F.col(d), of["_blocks"]))
     place = order_of(F.col(s), of["_full"], F.col(block))
     before = of["_cut"].isNull() | (place < of["_cut"]) | ((place == of["_cut"]) & (F.col(d) <= F.coalesce(of["_last"], F.lit(-1))))
     taken = tagged.withColumn(kept, of["_full"].cast("int") + F.when((of["_room"] > 0) & before, 1).otherwise(0)).where(F.col(kept) > 0)

@@ -174,12 +174,12 @@ def test_each_member_meets_a_component_until_it_is_linked():
     assert links == [(2, 0)] and len(best) == 1 and best[0]["x"] == 0 and best[0]["other"] == 9
 
 
-@pytest.mark.parametrize("small", [0, 65_536])
-def test_spread_join_equals_a_plain_join(spark, small):
+@pytest.mark.parametrize(("small", "marks"), [(0, 0), (0, 65_536), (65_536, 0)])
+def test_spread_join_equals_a_plain_join(spark, small, marks):
     left = spark.range(5000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 50 END AS k")
     right = left.groupBy("k").count().where("k != 3").selectExpr("k", "count AS n", "k * 2 AS twice")
     for most in (10, 1500, 10_000):
-        got = common.spread_join(left, right, "k", "n", ["id"], most=most, small=small)
+        got = common.spread_join(left, right, "k", "n", ["id"], most=most, small=small, marks=marks)
         assert got.columns == ["k", "id", "n", "twice"]
         assert sorted(got.collect()) == sorted(left.join(right, "k").collect())
 
