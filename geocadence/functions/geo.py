@@ -56,6 +56,20 @@ def utm_inverse(x: Column, y: Column, zone: Column) -> tuple[Column, Column]:
     return F.degrees(lon) + central_meridian(zone), F.degrees(lat)
 
 
+def detect_zone(x: Column, y: Column, lon_hint: Column, lat_hint: Column | None = None, tolerance: float = 1.5) -> tuple[Column, Column]:
+    """(zone, degrees off): the first of the hint's zone and its neighbours before and after in which a southern UTM
+    point lies within ``tolerance`` of the hint; null, and how far off the hint's own zone is, if there is none."""
+    own = utm_zone(lon_hint)
+
+    def off(zone: Column) -> Column:
+        lon, lat = utm_inverse(x, y, zone)
+        return F.abs(lon - lon_hint) if lat_hint is None else F.hypot(lon - lon_hint, lat - lat_hint)
+
+    tried = [(own + k, off(own + k)) for k in (0, -1, 1)]
+    pick = lambda i, rest: F.when(tried[0][1] <= tolerance, tried[0][i]).when(tried[1][1] <= tolerance, tried[1][i]).when(tried[2][1] <= tolerance, tried[2][i]).otherwise(rest)
+    return pick(0, F.lit(None).cast("int")), pick(1, tried[0][1])
+
+
 def convergence(lon: Column, lat: Column, zone: Column) -> Column:
     """Meridian convergence in degrees."""
     return F.degrees(F.atan(F.tan(F.radians(lon - central_meridian(zone))) * F.sin(F.radians(lat))))
@@ -92,4 +106,4 @@ def speed_bin(kmh: Column) -> Column:
 
 def pack_int16(value: Column, scale: float) -> Column:
     """Half-even multiples of ``scale`` within the int16 range; null stays null."""
-    return F.greatest(F.least(F.bround(value / scale), F.lit(32767.0)), F.lit(-32767.0)).cast("smallint")
+    return F.when(value.isNotNull(), F.greatest(F.least(F.bround(value / scale), F.lit(32767.0)), F.lit(-32767.0)).cast("smallint"))

@@ -47,24 +47,85 @@ def inside_boundary(cells: DataFrame, boundary: DataFrame, cos_lat: float, km: f
     return own.join(near, (F.col("_x") == F.col("sx")) & (F.col("_y") == F.col("sy")) & (far <= tol * tol), "left_semi").drop("_x", "_y")
 
 
-def scene_area(cells: DataFrame, scene: list[str], mask: str) -> DataFrame:
-    """Area, quadrature uncertainty and cell counts of the masked cells of each scene."""
-    on = F.col(mask)
+def scene_area(cells: DataFrame, scene: list[str], mask: str, inside: str | None = None, cell_area: float | None = None) -> DataFrame:
+    """Area, quadrature uncertainty and cell counts of the masked cells of each scene.
+
+    ``inside``: a boolean column; other cells count for nothing but n_valid. Without a column water_area the
+    area of a cell is its water fraction times ``cell_area``. The uncertainty is null for a scene without any.
+    """
+    within = F.lit(True) if inside is None else F.coalesce(F.col(inside), F.lit(False))
+    on = F.col(mask) & within
+    if "water_area" in cells.columns:
+        area = F.col("water_area")
+    elif cell_area is not None:
+        area = F.col("water_frac") * float(cell_area)
+    else:
+        raise ValueError("water_area or cell_area is needed")
+    uncert = F.col("uncert") if "uncert" in cells.columns else F.lit(None).cast("double")
     return cells.groupBy(*scene).agg(
-        F.sum(F.when(on, F.coalesce("water_area", F.lit(0.0))).otherwise(0.0)).alias("area_m2"),
-        F.sqrt(F.sum(F.when(on, F.coalesce(F.col("uncert") ** 2, F.lit(0.0))).otherwise(0.0))).alias("uncert_m2"),
+        F.sum(F.when(on, F.coalesce(area, F.lit(0.0))).otherwise(0.0)).alias("area_m2"),
+        F.when(F.count(uncert) > 0, F.sqrt(F.sum(F.when(on, F.coalesce(uncert**2, F.lit(0.0))).otherwise(0.0)))).alias("uncert_m2"),
         F.count_if(on).alias("n_cells"),
-        F.count_if(F.col("water_frac").isNotNull()).alias("covered_cells"),
+        F.count("water_frac").alias("n_valid"),
+        F.count_if(F.col("water_frac").isNotNull() & within).alias("covered_cells"),
     )
 
 
-def combine_scenes(scenes: DataFrame, boundary_cells: int, least: float = 0.9) -> DataFrame:
-    """Scenes of a day: summed area, quadrature of uncertainties, coverage ratio and partial flag."""
+def combine_scenes(scenes: DataFrame, boundary_cells: int | None, least: float = 0.9) -> DataFrame:
+    """Scenes of a day that meet the boundary: summed area, quadrature of uncertainties, coverage ratio and partial
+    flag. Where the cells of the boundary are not known, coverage is null and no day partial."""
     out = scenes.where((F.col("covered_cells") > 0) | (F.col("n_cells") > 0)).groupBy("day").agg(
         F.round(F.sum("area_m2") / 1e6, 3).alias("area_km2"), F.round(F.sqrt(F.sum(F.col("uncert_m2") ** 2)) / 1e6, 6).alias("uncert_km2"),
-        F.count("*").alias("n_scenes"), F.sum("n_cells").alias("n_cells"), F.round(F.sum("covered_cells") / boundary_cells, 6).alias("coverage"),
+        F.count("*").alias("n_scenes"), F.sum("n_cells").alias("n_cells"), F.round(F.sum("covered_cells") / F.lit(boundary_cells).cast("double"), 6).alias("coverage"),
     )
-    return out.withColumn("partial", F.col("coverage") < least)
+    return out.withColumn("partial", F.coalesce(F.col("coverage") < least, F.lit(False)))
+
+
+def outside_scenes(scenes: DataFrame) -> DataFrame:
+    """day, n_outside: scenes of a day that do not meet the boundary."""
+    return scenes.groupBy("day").agg(F.count_if((F.col("covered_cells") == 0) & (F.col("n_cells") == 0)).alias("n_outside"))
+
+
+def block_of(cells: DataFrame, boundary: DataFrame, margin: float = 5000.0) -> DataFrame:
+    """Cells whose x and y lie in the box of the boundary's, widened by ``margin`` metres."""
+    box = boundary.agg(*(f(c).alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))))
+    inside = [F.col(c).between(F.col(f"_lo{c}") - margin, F.col(f"_hi{c}") + margin) for c in ("x", "y")]
+    return cells.join(F.broadcast(box), inside[0] & inside[1]).select(*cells.columns)  # one row
+
+
+def fraction_bins(cells: DataFrame, mask: str) -> DataFrame:
+    """day, gy, gx, frac, opacity: the mean water fraction of the masked cells of each bin, and its opacity up to 205."""
+    mean = cells.where(F.col(mask)).groupBy("day", "gy", "gx").agg(F.avg("water_frac").alias("frac"))
+    return mean.withColumn("opacity", F.floor(F.greatest(F.least(F.col("frac"), F.lit(1.0)), F.lit(0.0)) * 205 + 1e-9).cast("int"))
+
+
+def binned(cells: DataFrame, box: tuple[float, float, float, float], n: int) -> DataFrame:
+    """Cells within ``box`` (lon0, lon1, lat0, lat1) with gy and gx on n x n points; those outside are dropped."""
+    lon0, lon1, lat0, lat1 = box
+    inside = F.col("lon").between(lon0, lon1) & F.col("lat").between(lat0, lat1)
+    return cells.where(inside).withColumn("gy", grid_index(F.col("lat"), lat0, lat1, n)).withColumn("gx", grid_index(F.col("lon"), lon0, lon1, n))
+
+
+def relative_volume_error(depth: Column, area: Column) -> Column:
+    return F.sqrt(depth**2 + area**2)
+
+
+def lake_area(cells: DataFrame, boundary: DataFrame | None, cos_lat: float, box: tuple[float, float, float, float], n: int, zone: int | None = None, size: int = 5, km: float = 2.0) -> DataFrame:
+    """The daily series: mask, majority filter, boundary, scenes, days, and areas without double counting.
+
+    ``cells``: day, granule, iy, ix, lon, lat and the values, dense in each granule; with ``zone`` also utm_zone, of
+    which at most the neighbours are taken. Without a boundary every cell is inside.
+    """
+    own = cells if zone is None else cells.where(F.abs(F.col("utm_zone") - zone) <= 1)
+    masked = majority_filter(own.withColumn("mask", water_mask(F.col("water_frac"), F.col("qual"))), ["granule"], "mask", size)
+    if boundary is None:
+        masked, known = masked.withColumn("inside", F.lit(True)), None
+    else:
+        hit = inside_boundary(masked, boundary, cos_lat, km).select("granule", "iy", "ix", F.lit(True).alias("inside"))
+        masked, known = masked.join(hit, ["granule", "iy", "ix"], "left"), boundary.count()
+    days = combine_scenes(scene_area(masked, ["day", "granule"], "mask", "inside"), known)
+    merged = merged_area(binned(masked.where("inside"), box, n), "mask").withColumnRenamed("area_km2", "merged_km2")
+    return days.join(merged, "day", "left")
 
 
 def grid_index(value: Column, lo: float, hi: float, n: int) -> Column:

@@ -84,14 +84,21 @@ def _near_cells(batches: Iterator[pa.RecordBatch], boxes: pa.Table, scales: dict
             yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in part.schema.names), pa.array(cells[col])], [*part.schema.names, "cell"])
 
 
-def match(targets: DataFrame, scenarios: DataFrame, scales: dict[str, float], k: int = 5, cap_level: bool = True) -> DataFrame:
+def scales_of(scenarios: DataFrame, mode: str = "range") -> dict[str, float]:
+    """The scale of each parameter by ``parameter_scales``, a row for each; with ``mode`` "step" the gap between values."""
+    rows = {r["param"]: r for r in parameter_scales(scenarios).collect()}
+    return {p: 1.0 if p not in rows else float((rows[p]["step"] if mode == "step" and p != "wind_dir" else rows[p]["scale"]) or 1.0) for p in PARAMS}
+
+
+def match(targets: DataFrame, scenarios: DataFrame, scales: dict[str, float], k: int = 5, cap_level: bool = True, weights: dict[str, float] | None = None) -> DataFrame:
     """The ``k`` nearest scenarios of each target: rank, key, dist, capped, level flag.
 
-    With ``cap_level`` only levels at or below the target are candidates, unless there are none. Of equal
+    ``weights`` multiply the scaled differences of parameters, 1 by default. With ``cap_level`` only levels at or below the target are candidates, unless there are none. Of equal
     scenarios the ``k`` smallest keys are enough. They lie in coarse cells, some thousand at most at every
     size, whose bounds tell for each target which cells can hold one of its nearest; targets meet the
     scenarios of these by an equi-join on the cell.
     """
+    scales = {p: scales[p] / w if (w := (weights or {}).get(p, 1.0)) else float("inf") for p in PARAMS}
     low = scenarios.agg(F.min("wlvl").alias("lowest"), F.max("wlvl").alias("highest"))
     of = Window.partitionBy(*PARAMS).orderBy("key")
     few = scenarios.select("key", *PARAMS).withColumn("_i", F.row_number().over(of)).where(F.col("_i") <= k).drop("_i")
@@ -124,8 +131,53 @@ def design_coverage(design: DataFrame, present: DataFrame, digits: int = 3) -> D
     return want.agg(F.count("*").alias("n_design")).crossJoin(counts)
 
 
-def parse_name(names: DataFrame, column: str = "name") -> DataFrame:
-    """wind_speed, wind_dir, wlvl, salinity and source class of file names like wave_wind-sp1_0_wind-dir0_0_wlvl-7_0_sal250_0.nc."""
-    number = lambda token: F.regexp_extract(column, rf"{token}(-?[0-9]+[_.][0-9]+)", 1)
+def parse_name(names: DataFrame, column: str = "name", sign: str = "negative", parents: str | None = None, strict: bool = True) -> DataFrame:
+    """wind_speed, wind_dir, wlvl, salinity, source class and key of file names like wave_wind-sp1_0_wind-dir0_0_wlvl-7_0_sal250_0.nc.
+
+    Decimals may follow ``_`` or a dot, or be left out. With ``sign`` "positive" the hyphen before a level is no minus.
+    If a parameter is missing all four are null, unless not ``strict``. A name that does not begin with
+    ``wave_`` is of the class that one of its three nearest folders in the path ``parents`` names, else flow.
+    """
+    number = lambda token: F.regexp_extract(column, rf"{token}([0-9]+(?:[_.][0-9]+)?)", 1)
     value = lambda token: F.nullif(F.regexp_replace(number(token), "_", "."), F.lit("")).cast("double")
-    return names.select("*", value("wind-sp").alias("wind_speed"), value("wind-dir").alias("wind_dir"), value("wlvl").alias("wlvl"), value("sal").alias("salinity"), F.when(F.col(column).startswith("wave_"), "wave").otherwise("flow").alias("source"), F.regexp_replace(column, r"^wave_|\.nc$", "").alias("key"))
+    signed = lambda token: F.when(F.regexp_like(column, F.lit(rf"{token}-[0-9]")), -value(token + "-")).otherwise(value(token))
+    values = {"wind_speed": signed("wind-sp"), "wind_dir": signed("wind-dir"), "wlvl": signed("wlvl") if sign == "negative" else value("wlvl-?"), "salinity": signed("sal")}
+    whole = values["wind_speed"].isNotNull() & values["wind_dir"].isNotNull() & values["wlvl"].isNotNull() & values["salinity"].isNotNull()
+    folders = F.lower(F.regexp_extract(parents, r"((?:[^/]*/){0,3})[^/]*$", 1)) if parents else F.lit("")
+    source = F.when(F.col(column).startswith("wave_"), "wave").when(folders.contains("wave"), "wave").otherwise("flow")
+    return names.select("*", *((F.when(whole, v) if strict else v).alias(p) for p, v in values.items()), source.alias("source"), F.regexp_replace(column, r"^wave_|\.nc$", "").alias("key"))
+
+
+def envelope(matches: DataFrame, targets: DataFrame, scenarios: DataFrame, scales: dict[str, float]) -> DataFrame:
+    """``matches`` of rank 1 with, for each parameter p, delta_p (target less scenario, three decimals) and flag_p (below,
+    above or in the range of the scenarios; a direction is always in), and warnings: what is out of range, or
+    within it but over 0.12 scales away. A level that was capped is not warned of."""
+    span = scenarios.agg(*(f(p).alias(f"_{n}_{p}") for p in PARAMS for n, f in (("lo", F.min), ("hi", F.max))))
+    best = matches.where("rank = 1").join(targets.select("target", *(F.col(p).cast("double").alias(f"_t_{p}") for p in PARAMS)), "target")
+    best = best.join(scenarios.select("key", *(F.col(p).alias(f"_s_{p}") for p in PARAMS)), "key").join(F.broadcast(span))  # one row
+    out, told = [], []
+    for p in PARAMS:
+        t, s, lo, hi = (F.col(f"_{k}_{p}") for k in ("t", "s", "lo", "hi"))
+        both = t.isNotNull() & s.isNotNull()
+        delta = F.round(geo.circular_delta(t, s) if p == "wind_dir" else t - s, 3)
+        flag = F.when(both, F.lit("in") if p == "wind_dir" else F.when(t < lo, "below").when(t > hi, "above").otherwise("in"))
+        out += [delta.alias(f"delta_{p}"), flag.alias(f"flag_{p}")]
+        quiet = F.col("capped") if p == "wlvl" else F.lit(False)
+        told.append(F.when(flag != "in", F.concat(F.lit(f"{p} "), flag, F.lit(" the simulated range"))).when((flag == "in") & ~quiet & (F.abs(delta) > 0.12 * scales[p]), f"{p} away from the closest scenario"))
+    return best.select("target", "key", "dist", "capped", *out, F.array_compact(F.array(*told)).alias("warnings"))
+
+
+def overridden(targets: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``targets`` with the values of ``overrides`` (target, and texts of parameters) in place of observed ones; a
+    text that is no number is an error."""
+    given = overrides.select("target", *(F.col(p).alias(f"_{p}") for p in PARAMS))
+    value = lambda p: F.when(F.col(f"_{p}").isNotNull(), F.coalesce(F.col(f"_{p}").try_cast("double"), F.raise_error(F.concat(F.lit(f"{p} is no number: "), F.col(f"_{p}"))).cast("double"))).otherwise(F.col(p))
+    return targets.join(given, "target", "left").withColumns({p: value(p) for p in PARAMS}).drop(*(f"_{p}" for p in PARAMS))
+
+
+def missing_and_extra(design: DataFrame, present: DataFrame, digits: int = 3, samples: int = 10) -> DataFrame:
+    """kind (missing or extra) with the first rounded parameter vectors of each kind."""
+    sign = lambda df: df.select(*(F.round(p, digits).alias(p) for p in PARAMS)).distinct()
+    want, have = sign(design), sign(present)
+    both = want.exceptAll(have).withColumn("kind", F.lit("missing")).unionByName(have.exceptAll(want).withColumn("kind", F.lit("extra")))
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct(*PARAMS))), 1, samples).alias("samples"))

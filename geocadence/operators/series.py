@@ -1,33 +1,50 @@
-"""Water-level series per site: bounds and quartile filters, datum, statistics, incremental files."""
+"""Water-level series per site: bounds and quartile filters, datum, statistics, incremental files.
+
+Counts and quartiles are aggregated for each group and joined back, a row for each group.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+
+def _with(df: DataFrame, stats: DataFrame, group: list[str]) -> DataFrame:
+    """``df`` with the columns of ``stats``; groups with null keys meet, too."""
+    renamed = stats.withColumnsRenamed({g: f"_key_{g}" for g in group})
+    same = reduce(lambda a, b: a & b, (df[g].eqNullSafe(F.col(f"_key_{g}")) for g in group))
+    return df.join(renamed, same).drop(*(f"_key_{g}" for g in group))
 
 
 def bounds_filter(df: DataFrame, group: list[str], lo: float = -16.0, hi: float = 6.0, least: int = 4) -> DataFrame:
     """Keeps lo <= wse <= hi in groups of ``least`` rows or more; smaller groups pass."""
-    n = F.count("*").over(Window.partitionBy(*group))
-    return df.withColumn("_n", n).where((F.col("_n") < least) | F.col("wse").between(lo, hi)).drop("_n")
+    counts = df.groupBy(*group).agg(F.count("*").alias("_n"))
+    return _with(df, counts, group).where((F.col("_n") < least) | F.col("wse").between(lo, hi)).drop("_n")
 
 
 def iqr_filter(df: DataFrame, group: list[str], least: int = 4, whisker: float = 1.5) -> DataFrame:
-    """Keeps values within ``whisker`` interquartile ranges of the quartiles, in groups of ``least`` or more.
-
-    The quartiles are aggregated and joined back, one row per group.
-    """
+    """Keeps values within ``whisker`` interquartile ranges of the quartiles, in groups of ``least`` or more."""
     q = df.groupBy(*group).agg(F.count("*").alias("_n"), F.percentile("wse", F.lit(0.25)).alias("_a"), F.percentile("wse", F.lit(0.75)).alias("_b"))
     room = whisker * (F.col("_b") - F.col("_a"))
-    return df.join(q, group).where((F.col("_n") < least) | F.col("wse").between(F.col("_a") - room, F.col("_b") + room)).drop("_n", "_a", "_b")
+    return _with(df, q, group).where((F.col("_n") < least) | F.col("wse").between(F.col("_a") - room, F.col("_b") + room)).drop("_n", "_a", "_b")
+
+
+def time_window(df: DataFrame, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Rows from ``since`` to ``until`` (epoch seconds, both included); with the midnight of a day as ``until`` its later hours drop out."""
+    out = df if since is None else df.where(F.col("t") >= since)
+    return out if until is None else out.where(F.col("t") <= until)
+
+
+def on_day(df: DataFrame, day: str) -> DataFrame:
+    """Rows of one UTC day, ``YYYY-MM-DD``."""
+    return df.where(F.floor(F.col("t") / 86400) == F.datediff(F.lit(day).cast("date"), F.lit("1970-01-01").cast("date")))
 
 
 def clean_series(df: DataFrame, group: list[str], since: int | None = None, until: int | None = None, offset: Column | float = 0.0) -> DataFrame:
     """Null drop, bounds, quartiles, time window, datum shift to three decimals."""
-    out = iqr_filter(bounds_filter(df.where(F.col("wse").isNotNull()), group), group)
-    out = out if since is None else out.where(F.col("t") >= since)
-    out = out if until is None else out.where(F.col("t") <= until)
+    out = time_window(iqr_filter(bounds_filter(df.where(F.col("wse").isNotNull()), group), group), since, until)
     return out.withColumn("wse", F.round(F.col("wse") + offset, 3))
 
 
@@ -38,10 +55,26 @@ def series_stats(df: DataFrame, group: list[str]) -> DataFrame:
 
 
 def new_files(catalogue: DataFrame, cached: DataFrame, keys: list[str]) -> DataFrame:
-    """Files that the cache does not hold with the same size."""
+    """Files that the cache does not hold with the same size (and, if it is a key, the same fingerprint)."""
     return catalogue.join(cached, keys, "left_anti")
 
 
 def reassemble(extractions: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
     """Cached values of files that still exist, without nulls."""
     return extractions.join(catalogue, keys, "left_semi").where(F.col("wse").isNotNull())
+
+
+def incremental_extract(spark_path: str, files: DataFrame, extract, keys: list[str]) -> DataFrame:
+    """Extracts the ``files`` that the table at ``spark_path`` does not hold under the same ``keys`` by ``extract``
+    (a function of a DataFrame of files that keeps the keys), appends them there, rows without a value
+    included, and gives the values of all files that are still there."""
+    spark = files.sparkSession
+    try:
+        cached = spark.read.parquet(spark_path)
+        todo = new_files(files, cached.select(*keys), keys)
+    except Exception as e:  # no table yet: Spark tells by this condition
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        todo = files
+    extract(todo).write.mode("append").parquet(spark_path)
+    return reassemble(spark.read.parquet(spark_path), files, keys)

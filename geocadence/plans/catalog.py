@@ -150,8 +150,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY station, t ORDER BY k DESC, id D
 SELECT station, id, t, air_temp, src FROM r WHERE n = 1 AND t >= (SELECT max(t) FROM obs) - 168 * 3600""")
 def archive_merge(spark, d):
     o = table(spark, d, "obs")
-    newest = o.agg(F.max("t")).first()[0] or 0
-    return weather.merge_archive(o.where("fresh = 0"), o.where("fresh = 1 AND src = 'bom'"), newest).select("station", "id", "t", "air_temp", "src")
+    newest = o.agg(F.max("t").alias("newest"))
+    merged = weather.merge_archive(o.where("fresh = 0"), o.where("fresh = 1 AND src = 'bom'"), None)
+    return merged.join(F.broadcast(newest), F.col("t").isNull() | (F.col("t") >= F.col("newest") - 168 * 3600)).select("station", "id", "t", "air_temp", "src")  # one row
 
 
 @query("""WITH s AS (SELECT DISTINCT station FROM obs), f AS (SELECT station, max(t) AS t, arg_max(air_temp, (t, id)) AS a FROM obs WHERE fresh = 1 AND station < 'p' GROUP BY station), p AS (SELECT station, max(t) AS t, arg_max(air_temp, (t, id)) AS a FROM obs WHERE fresh = 0 GROUP BY station)
@@ -273,7 +274,7 @@ _NUM = "TRY_CAST(replace(regexp_extract(name, '{0}(-?[0-9]+[_.][0-9]+)', 1), '_'
 
 @query("SELECT id, name, " + ", ".join(f"{_NUM.format(t)} AS {c}" for t, c in (("wind-sp", "wind_speed"), ("wind-dir", "wind_dir"), ("wlvl", "wlvl"), ("sal", "salinity"))) + ", CASE WHEN starts_with(name, 'wave_') THEN 'wave' ELSE 'flow' END AS source, regexp_replace(regexp_replace(name, '^wave_', ''), '[.]nc$', '') AS key FROM names")
 def scenario_parse(spark, d):
-    return scenarios.parse_name(table(spark, d, "names"))
+    return scenarios.parse_name(table(spark, d, "names"), strict=False)
 
 
 @query("""WITH c AS (SELECT source, n_time, n_layer, count(*) AS n, min(key) AS k FROM runs GROUP BY ALL), m AS (SELECT source, n_time AS mt, n_layer AS ml, row_number() OVER (PARTITION BY source ORDER BY n DESC, k) AS r FROM c)

@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""Structured Streaming forms of the archive, roses, daily areas, sessions and incremental extraction."""
