@@ -24,7 +24,7 @@ def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], Non
 
 class Versions:
     """A table as versions in a folder, one for each batch: a batch that is run again replaces its own, and readers
-    see the last one that is whole. Older ones than the last two are emptied by the caller if at all."""
+    see the last one that is whole. Older versions stay until the caller removes them."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
