@@ -75,7 +75,7 @@ def conditions_at(instants: DataFrame, obs: DataFrame, levels: DataFrame, statio
 
     ``obs``: station, t, id, wind_spd_kmh, wind_dir_deg; ``levels``: site, t, file, wse. The named station and
     site count if they have data, else the first that have. Wind is of the observation nearest in time, ties
-    to the earlier; the level is the last at or before the instant, and the newest of all where there is none.
+    to the earlier, and of observations of one time that with the largest ``id``; the level is the last at or before the instant, and the newest of all where there is none.
     Speeds become m/s with two decimals; with ``convention`` "to" directions are turned round. Returns at,
     wind_speed, wind_dir, wlvl and where they come from: station, obs_t, offset_min, site, level_t.
     """
@@ -83,6 +83,7 @@ def conditions_at(instants: DataFrame, obs: DataFrame, levels: DataFrame, statio
     levels = levels.where("wse IS NOT NULL")
     levels = levels.join(F.broadcast(_preferred(levels, "site", site)), F.col("site") == F.col("_site")).drop("_site")
     values = ["wind_spd_kmh", "wind_dir_deg"]
+    obs = obs.groupBy("station", "t").agg(F.max_by(F.struct("id", *values), "id").alias("_w")).select("station", "t", "_w.*")  # an archive has one row for each time
     newest = obs.groupBy("station").agg(F.max_by(F.struct("t", *values), F.struct("t", "id")).alias("_newest"))
     newest_level = levels.groupBy("site").agg(F.max_by(F.struct("t", "wse"), F.struct("t", "file")).alias("_newest"))
     asked = instants.select("at").distinct()

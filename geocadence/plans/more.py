@@ -298,7 +298,8 @@ def volume_error(spark, d):
 
 # Coordinates
 
-_ARC = "(6378137e0 * (0.998324298453e0 * {p} - 0.002514607060e0 * sin(2 * {p}) + 2.639046594e-6 * sin(4 * {p}) - 3.418046e-9 * sin(6 * {p})))"
+_ARC = """(6378137e0 * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * pow(e2, 3) / 256) * {p} - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * {p})
++ (15 * e2 * e2 / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * {p}) - 35 * pow(e2, 3) / 3072 * sin(6 * {p})))"""
 
 
 @query(f"""WITH k AS (SELECT *, radians(lat) AS p, radians(lon - ((zone - 1) * 6 - 177)) AS l, 0.0066943800229007869e0 AS e2, 0.0067394967754789573e0 AS ep FROM points),
