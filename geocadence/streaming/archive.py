@@ -17,9 +17,17 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators import raster, weather
 
 
-def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Hands every micro-batch of what has arrived to ``each`` and returns."""
-    stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append", idle: bool = True) -> None:
+    """Hands every micro-batch of what has arrived to ``each`` and returns. ``idle``: also run batches without data, which
+    close windows; off for streams with timers of processing time, where such batches never end."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, str(idle).lower())
+    try:
+        started = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(key, before)  # the stream has its own copy
+    started.awaitTermination()
 
 
 class Versions:
@@ -163,5 +171,5 @@ class LastKnown(StatefulProcessor):
 
 def stream_last_known(obs: DataFrame, patience_ms: int = 3_600_000) -> DataFrame:
     """station, t, air_temp, stale of a stream (station, t, air_temp), station by station: one that fails does not hold
-    up the others. Needs the RocksDB state store."""
+    up the others. Needs the RocksDB state store; ``run`` it with ``idle`` off."""
     return obs.groupBy("station").transformWithStateInPandas(LastKnown(patience_ms), "station string, t long, air_temp double, stale boolean", "Update", "ProcessingTime")

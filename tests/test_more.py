@@ -304,7 +304,7 @@ def test_last_known_value(spark):
         folder, schema, got = shared_folder(spark, "in"), "station string, t long, air_temp double", []
         spark.createDataFrame([("a", 1, 5.0), ("a", 3, 6.0), ("b", None, 1.0)], schema).coalesce(1).write.parquet(folder)
         stream = archive.stream_last_known(spark.readStream.schema(schema).parquet(folder))
-        archive.run(stream, shared_folder(spark, "check"), lambda batch, _: got.extend(map(tuple, batch.collect())), "update")
+        archive.run(stream, shared_folder(spark, "check"), lambda batch, _: got.extend(map(tuple, batch.collect())), "update", idle=False)
         assert got == [("a", 3, 6.0, False)]
     finally:
         spark.conf.unset(provider)
