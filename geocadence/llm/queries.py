@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, exact_dedup, fill_middle, language_id, language_model, licenses, mixing, near_dedup, nearest, packing, token_files, toxicity
+from . import centroids, exact_dedup, fill_middle, language_id, language_model, licenses, mixing, near_dedup, nearest, ngram_join, packing, token_files, toxicity
 from .common import workspace
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,6 +84,24 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=3, held=1)
 
 
+@query
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir), width=3, percent=90)
+
+
+ORACLES["op11_ngram_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(g) AS g FROM s),
+l AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id WHERE 100 * least(p.n_shingles, q.n_shingles) >= 90 * greatest(p.n_shingles, q.n_shingles)
+GROUP BY a.doc_id, b.doc_id, p.n_shingles, q.n_shingles HAVING 100 * count(*) >= 90 * (p.n_shingles + q.n_shingles - count(*))),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.doc_id)
+SELECT n.doc_id, n.n_shingles, min(r.root) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n_shingles
+"""
+
+
 @query
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, dimensions=64, scale=64, seed=1).drop("scans")
