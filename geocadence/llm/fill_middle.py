@@ -75,29 +75,35 @@ def _spans(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def _transform(batches: Iterator[pa.RecordBatch], text: str, form: str, draws: tuple[str, str], out: list[str]) -> Iterator[pa.RecordBatch]:
+def _transform(batches: Iterator[pa.RecordBatch], text: str, kind: str, draws: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, text):
         rows = []
-        for data, kind, a, b in zip(_spans(batch.column(text)), *(batch.column(c).to_pylist() for c in (form, *draws)), strict=True):
+        for data, form, a, b in zip(_spans(batch.column(text)), *(batch.column(c).to_pylist() for c in (kind, *draws)), strict=True):
             raw = np.frombuffer(data, np.uint8)
             ends = unit_ends(raw)
             n = len(ends)
-            if kind == "plain" or not n or any(m in data for m in (PREFIX, SUFFIX, MIDDLE)):
+            if form == "plain" or not n or any(m in data for m in (PREFIX, SUFFIX, MIDDLE)):
                 rows.append((n, "plain", None, None, data.decode()))
                 continue
             cuts = sorted((a % (n + 1), b % (n + 1)))
             first, second = (int(ends[c - 1]) if c else 0 for c in cuts)
-            rows.append((n, kind, _characters(raw[:first]), _characters(raw[first:second]), fill_middle(data, first, second, kind).decode()))
-        kept = [c for c in batch.schema.names if c not in (form, *draws)]
+            rows.append((n, form, _characters(raw[:first]), _characters(raw[first:second]), fill_middle(data, first, second, form).decode()))
+        kept = [c for c in batch.schema.names if c not in (kind, *draws)]
         made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, *out])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, "units", "form", "prefix", "middle", "out"])
 
 
-def _undo(batches: Iterator[pa.RecordBatch], output: str, form: str, restored: str) -> Iterator[pa.RecordBatch]:
+def _undo(batches: Iterator[pa.RecordBatch], output: str, form: str) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, output):
         pairs = zip(_spans(batch.column(output)), batch.column(form).to_pylist(), strict=True)
         texts = pa.array([(data if kind == "plain" else restore_middle(data, kind)).decode() for data, kind in pairs], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, restored])
+        yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "restored"])
+
+
+def _numbered(schema: T.StructType) -> tuple[list[str], T.StructType]:
+    """Plain names for columns of any name, and the schema with them."""
+    names = [f"c{i}" for i in range(len(schema))]
+    return names, T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, schema, strict=True)])
 
 
 def _draw(digest: Column, i: int) -> Column:
@@ -113,18 +119,21 @@ def transform(docs: DataFrame, seed: int = 42, percent: int = 50, spm_percent: i
     empty one; both counts null), as does a null doc_id's text. Segments may be empty. Repeated rows are cut
     alike; an empty table gives no rows. A text is held by one task at a time, however long.
     """
-    d, form, one, two = unused(docs.columns, "_digest", "_form", "_one", "_two")
-    out = unused(docs.columns, "fim_units", "fim_form", "fim_prefix_chars", "fim_middle_chars", "fim_text")
+    columns = docs.columns
+    d, form, one, two = unused(columns, "_digest", "_form", "_one", "_two")
+    out = unused(columns, "fim_units", "fim_form", "fim_prefix_chars", "fim_middle_chars", "fim_text")
     keyed = docs.withColumn(d, F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"), 256))
     kind = F.when(F.coalesce(_draw(F.col(d), 2) % 100 >= percent, F.lit(True)), "plain").when(_draw(F.col(d), 3) % 100 < spm_percent, "spm").otherwise("psm")
     keyed = keyed.withColumn(form, kind).withColumn(one, _draw(F.col(d), 0)).withColumn(two, _draw(F.col(d), 1)).drop(d)
-    schema = T.StructType([*docs.schema.fields])
-    for name, t in zip(out, ("long", "string", "long", "long", "string"), strict=True):
+    names, schema = _numbered(docs.schema)
+    for name, t in zip(("units", "form", "prefix", "middle", "out"), ("long", "string", "long", "long", "string"), strict=True):
         schema.add(name, t)
-    return keyed.mapInArrow(partial(_transform, text="text", form=form, draws=(one, two), out=out), schema)
+    how = partial(_transform, text=names[columns.index("text")], kind="kind", draws=("one", "two"))
+    return keyed.toDF(*names, "kind", "one", "two").mapInArrow(how, schema).toDF(*columns, *out)
 
 
 def restore(transformed: DataFrame, output: str = "fim_text", form: str = "fim_form", restored: str = "fim_restored") -> DataFrame:
     """``transformed`` with the exact text rebuilt from ``output`` and ``form`` alone."""
-    schema = T.StructType([*transformed.schema.fields]).add(restored, "string")
-    return transformed.mapInArrow(partial(_undo, output=output, form=form, restored=restored), schema)
+    names, schema = _numbered(transformed.schema)
+    how = partial(_undo, output=names[transformed.columns.index(output)], form=names[transformed.columns.index(form)])
+    return transformed.toDF(*names).mapInArrow(how, schema.add("restored", "string")).toDF(*transformed.columns, restored)
