@@ -4,8 +4,9 @@ Documents are sets of word shingles; equal sets form a class with one representa
 similar enough share a gram within a short prefix of each, in any one order of all grams; with the rare grams
 first, few others share it.
 
-1. In the order of hashes, a longer prefix must share several grams with other prefixes. This takes a part
-   of the grams only and leaves out most representatives without a partner.
+1. The range of hashes is cut into parts, some more than similar sets can have differences. Each difference
+   falls into one part, so similar sets have the same grams in several of them: a representative whose parts are nobody
+   else's has no partner. Parts are digests of several grams each, which texts seldom share by chance, however many.
 2. The grams of the others are counted. Ordered by the octave of their count, grams of one document alone
    come first; a document whose whole prefix is made of these has no partner. The rest of its grams are
    its keys.
@@ -21,8 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,30 +34,58 @@ from pyspark.sql import functions as F
 from .common import discard, small_batches, spread_join, staged
 from .components import components
 from .near_dedup import _similar, shingle_hashes
-from .words import word_hashes
+from .words import mix, word_hashes
 
-_SETS = "node long, doc_id long, text_hash long, n_shingles long, cls binary, low array<long>"
+_SETS = "node long, doc_id long, text_hash long, n_shingles long, cls binary, probes array<struct<need: int, parts: array<long>>>"
 #: Keys are the octave of a gram's count (5 bits) before the upper 58 bits of its hash, so they sort rare-first. Two grams
 #: of one key only let more pairs through the filters.
 _OCTAVES, _CUT = 31, 6
 
 
-def slack(n: int) -> int:
-    """How many grams beyond one the longer prefix of the first step must share."""
-    return max(1, n // 10)
+@lru_cache
+def size_ranges(percent: int) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Ranges of set sizes as (where each begins, (largest partner of a set within it, most differences of a pair whose
+    smaller set lies within it, parts)). A pair is looked for in the range of its smaller set."""
+    begins, about = [1], []
+    while begins[-1] < 1 << 40:
+        begins.append(begins[-1] + -(-begins[-1] // 2))
+        most = begins[-1] - 1
+        partner = most * 100 // percent
+        differences = (most + partner) * (100 - percent) // (100 + percent)
+        about.append((partner, differences, differences + 1 + -(-differences // 8)))
+    return begins, about
+
+
+def part_probes(grams: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """(how many parts a partner must share at least, digests of the parts that hold grams) of a set of sorted hashes, for
+    each range that a partner may meet it in."""
+    n, out = len(grams), []
+    begins, about = size_ranges(percent)
+    for c in range(bisect_right(begins, n) - 1, -1, -1):
+        partner, differences, parts = about[c]
+        if partner < n:
+            break
+        if differences:
+            place = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # hashes are sorted, so parts lie together
+            starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            own = mix(np.add.reduceat(mix(grams), starts) + (place[starts] << np.uint64(8)) + np.uint64(c))
+            out.append((parts - differences - (parts - len(starts)), own))
+    return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text", 2 << 20):
         hashes, at = word_hashes(batch.column("text"))
-        rows = []
+        rows, probes, counts = [], [], [0]
         for i in range(batch.num_rows):
             own = shingle_hashes(hashes[at[i] : at[i + 1]], width)
-            n = len(own)
-            low = own[: n + percent * -n // 100 + slack(n)].view(np.int64) if n else None
-            rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None, low))
-        made = (pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64()))))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "doc_id", "text_hash")), *made], [x.split()[0] for x in _SETS.split(", ")])
+            rows.append((len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None))
+            probes += part_probes(own, percent) if len(own) else []
+            counts.append(len(probes))
+        parts = pa.ListArray.from_arrays(np.cumsum([0, *(len(p) for _, p in probes)], dtype=np.int32), np.concatenate([np.zeros(0, np.uint64), *(p for _, p in probes)]).view(np.int64))
+        each = pa.StructArray.from_arrays([pa.array([n for n, _ in probes], pa.int32()), parts], ["need", "parts"])
+        made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary()))] + [pa.ListArray.from_arrays(np.array(counts, np.int32), each)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "doc_id", "text_hash")), *made], ["node", "doc_id", "text_hash", "n_shingles", "cls", "probes"])
 
 
 def _grams(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -206,14 +236,14 @@ def _settled(members: DataFrame, buckets: DataFrame, percent: int, width: int, b
     return joined(staged(spark, found.distinct(), "block-pairs"), roots)
 
 
-def _partners(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """node of the representatives that share enough of their longer prefixes with others."""
+def _partners(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """node of the representatives that share enough parts with others; where a partner may share empty parts only, all stay."""
     spark = signed.sparkSession
-    low = signed.join(classes.select("node"), "node").select("node", "n_shingles", F.explode("low").alias("gram"))
-    shared = staged(spark, low.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "shared")
-    hits = spread_join(low, shared, "gram", "times", ["node"]).groupBy("node", "n_shingles").agg(F.count("*").alias("hits"))
-    smallest = F.ceil(F.col("n_shingles") * percent / F.lit(100))
-    return hits.where(F.col("hits") >= F.greatest(F.lit(1), F.floor((smallest - 1) / 10))).select("node")
+    probes = signed.join(classes.select("node"), "node").select("node", F.posexplode("probes").alias("c", "p"))
+    parts = probes.where("p.need > 0").select("node", "c", "p.need", F.explode("p.parts").alias("part"))
+    shared = staged(spark, parts.groupBy("part").agg(F.count("*").alias("times")).where("times > 1"), "shared")
+    hits = spread_join(parts, shared, "part", "times", ["node"]).groupBy("node", "c", "need").agg(F.count("*").alias("hits"))
+    return hits.where("hits >= need").select("node").unionByName(probes.where("p.need <= 0").select("node")).distinct()
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, block_bytes: int = 4 << 20) -> DataFrame:
@@ -230,7 +260,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, block_bytes:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = staged(spark, docs.withColumn("node", F.monotonically_increasing_id()).mapInArrow(partial(_sets, width=width, percent=percent), _SETS), "sets")
     classes = staged(spark, signed.where("n_shingles > 0").groupBy("cls").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes")
-    wanted = signed.select("node", "doc_id", "text_hash").join(_partners(signed, classes, percent), "node")
+    wanted = signed.select("node", "doc_id", "text_hash").join(_partners(signed, classes), "node")
     found = wanted.join(docs.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "text"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("node", "text")
     if not signed.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         found = found.dropDuplicates(["node"])

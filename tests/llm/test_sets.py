@@ -208,3 +208,19 @@ def test_hashes_of_cuts(docs):
     """The first four groups of the digest decide; equal rows are cut alike."""
     out = fill_middle.transform(docs.where("doc_id = 5"), percent=100).select(F.col("fim_text_").alias("t")).distinct()
     assert out.count() == 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 400), st.integers(50, 99), st.integers(0, 1 << 30))
+def test_similar_sets_share_the_parts_they_must(n, percent, seed):
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+    change = rng.integers(0, max(1, len(a) // 4))
+    b = np.unique(np.concatenate([rng.permutation(a)[change:], rng.integers(0, 1 << 63, rng.integers(0, change + 1)).astype(np.uint64)]))
+    both = len(np.intersect1d(a, b))
+    if not both or len(a) == len(b) == both or 100 * both < percent * (len(a) + len(b) - both):
+        return
+    for own, other in ((a, b), (b, a)):
+        others = {x for _, parts in ngram_join.part_probes(other, percent) for x in parts.tolist()}
+        probes = ngram_join.part_probes(own, percent)
+        assert any(need <= 0 or len(others & set(parts.tolist())) >= need for need, parts in probes)
