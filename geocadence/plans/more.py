@@ -504,40 +504,69 @@ def unpack_roundtrip(spark, d):
 
 # Streams
 
-def _split(spark: SparkSession, rows: DataFrame, parts: int = 3) -> DataFrame:
-    """A stream over the rows, which are written to the shared folder in a few files."""
+def _deliveries(spark: SparkSession, *parts: DataFrame) -> DataFrame:
+    """A stream over parts that arrive one after the other, each as files in the shared folder."""
     folder = shared_folder(spark, "stream")
-    rows.repartition(parts).write.parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)  # one file for each delivery, so that a batch is one
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-@query("WITH o AS (SELECT * FROM obs WHERE src = 'bom'), r AS (SELECT *, row_number() OVER (PARTITION BY station, t ORDER BY id DESC) AS n FROM o) SELECT station, t FROM r WHERE n = 1 AND t >= (SELECT max(t) FROM o) - 168 * 3600")
+def _thirds(spark: SparkSession, rows: DataFrame, by: str) -> DataFrame:
+    """All rows as three deliveries in the order of ``by``, each a third of its range."""
+    lo, hi = rows.agg(F.min(by), F.max(by)).first()
+    part = F.least(F.floor((F.col(by) - lo) * 3 / F.lit(max(1, hi - lo))), F.lit(2))
+    return _deliveries(spark, *(rows.where(part == i) for i in range(3)))
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY station, t, src ORDER BY id DESC) AS n FROM obs) SELECT station, id, t, air_temp, src FROM r WHERE n = 1 AND t >= (SELECT max(t) FROM obs) - 168 * 3600")
 def stream_archive(spark, d):
-    rows = table(spark, d, "obs").where("src = 'bom'").select("station", "id", "t", "air_temp", "src")
-    return archive.stream_archive(_split(spark, rows), shared_folder(spark, "archive"), shared_folder(spark, "checkpoint")).select("station", "t")
+    rows = table(spark, d, "obs").select("station", "id", "t", "air_temp", "src")
+    return archive.stream_archive(_thirds(spark, rows, "id"), shared_folder(spark, "archive"), shared_folder(spark, "checkpoint"))
 
 
-@query("""WITH s AS (SELECT day, granule, sum(CASE WHEN m THEN coalesce(water_area, 0) ELSE 0 END) AS a, count_if(m) AS n, count(water_frac) AS c FROM (SELECT *, coalesce(water_frac BETWEEN 0.1 AND 0.99 AND qual <= 1, false) AS m FROM cells) GROUP BY day, granule)
-SELECT day, round(sum(a) / 1e6, 3) AS area_km2, count(*) AS n_scenes, CAST(sum(n) AS BIGINT) AS n_cells FROM s WHERE c > 0 OR n > 0 GROUP BY day""")
+@query("""WITH s AS (SELECT day, granule, sum(CASE WHEN m THEN coalesce(water_area, 0) ELSE 0 END) AS a, sum(CASE WHEN m THEN coalesce(uncert * uncert, 0) ELSE 0 END) AS u, count(uncert) AS k, count_if(m) AS n, count(water_frac) AS c FROM (SELECT *, coalesce(water_frac BETWEEN 0.1 AND 0.99 AND qual <= 1, false) AS m FROM cells) GROUP BY day, granule)
+SELECT day, round(sum(a) / 1e6, 3) AS area_km2, round(sqrt(sum(CASE WHEN k > 0 THEN u END)) / 1e6, 6) AS uncert_km2, count(*) AS n_scenes, CAST(sum(n) AS BIGINT) AS n_cells, round(CAST(sum(c) AS DOUBLE) / 576, 6) AS coverage, round(CAST(sum(c) AS DOUBLE) / 576, 6) < 0.9 AS partial FROM s WHERE c > 0 OR n > 0 GROUP BY day""")
 def stream_daily_area(spark, d):
+    """Every scene is cut in three, and a part of the cells comes first with other values, which are corrected later."""
     cells = table(spark, d, "cells").withColumn("mask", raster.water_mask(F.col("water_frac"), F.col("qual")))
-    folder = shared_folder(spark, "scenes")
-    cells.repartition(3, "granule").write.parquet(folder)  # a granule lies in one file
-    stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return archive.stream_daily_area(stream, shared_folder(spark, "checkpoint"), shared_folder(spark, "areas"), 576).select("day", "area_km2", "n_scenes", "n_cells")
+    third = (F.col("iy") * 5 + F.col("ix")) % 3
+    wrong = cells.where((third == 1) & (F.col("ix") % 4 == 0)).withColumn("water_area", F.col("water_area") + 7).withColumn("mask", ~F.col("mask"))
+    stream = _deliveries(spark, cells.where(third == 0).unionByName(wrong), cells.where(third == 1), cells.where(third == 2))
+    return archive.stream_daily_area(stream, shared_folder(spark, "checkpoint"), shared_folder(spark, "areas"), 576)
 
 
 @query("""WITH k AS (SELECT station, t, CASE WHEN wind_spd_kmh <= 0 OR wind_dir_deg IS NULL THEN -1 ELSE CAST(floor(wind_dir_deg / 22.5 + 0.5) AS INT) % 16 END AS sector FROM obs WHERE wind_spd_kmh IS NOT NULL)
 SELECT station, CAST(floor(t / 86400e0) AS BIGINT) * 86400 - o.i * 86400 AS start, sector, count(*) AS n FROM k CROSS JOIN (SELECT unnest(range(7)) AS i) o GROUP BY ALL""")
 def stream_rose(spark, d):
-    rows = table(spark, d, "obs").select("station", F.timestamp_seconds("t").alias("ts"), "wind_spd_kmh", "wind_dir_deg")
-    rose = archive.stream_rose(_split(spark, rows), shared_folder(spark, "checkpoint"), shared_folder(spark, "roses"), late="3650 days")
+    rows = table(spark, d, "obs").select("station", "id", F.timestamp_seconds("t").alias("ts"), "wind_spd_kmh", "wind_dir_deg")
+    rose = archive.stream_rose(_thirds(spark, rows, "id"), shared_folder(spark, "checkpoint"), shared_folder(spark, "roses"), late="3650 days")
     return rose.groupBy("station", "start", "sector").agg(F.sum("n").alias("n"))
 
 
-@query("""WITH p AS (SELECT station, t, count(*) AS c FROM obs GROUP BY ALL), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY station ORDER BY t) < 2700 THEN 0 ELSE 1 END AS b FROM p), s AS (SELECT *, sum(b) OVER (PARTITION BY station ORDER BY t) AS k FROM g)
-SELECT station, min(t) AS start, CAST(sum(c) AS BIGINT) AS n FROM s GROUP BY station, k""")
+@query("""WITH p AS (SELECT station, CAST(floor(t / 43200e0) AS BIGINT) % 2 AS phase, t, count(*) AS c FROM obs GROUP BY ALL), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY station, phase ORDER BY t) < 2700 THEN 0 ELSE 1 END AS b FROM p), s AS (SELECT *, sum(b) OVER (PARTITION BY station, phase ORDER BY t) AS k FROM g)
+SELECT station, phase, min(t) AS start, max(t) + 2700 AS end, CAST(sum(c) AS BIGINT) AS n FROM s GROUP BY station, phase, k HAVING max(t) + 2700 <= (SELECT max(t) FROM obs) - 3600""")
 def stream_sessions(spark, d):
-    rows = table(spark, d, "obs").select("station", F.timestamp_seconds("t").alias("ts"), F.lit(True).alias("phase"))
-    return archive.stream_sessions(_split(spark, rows), shared_folder(spark, "checkpoint"), shared_folder(spark, "sessions"), late="3650 days").select("station", "start", "n")
-
+    """Half-days as phases; sessions that are not an hour past their end are still open when the stream ends."""
+    rows = table(spark, d, "obs").select("station", "t", F.timestamp_seconds("t").alias("ts"), (F.floor(F.col("t") / 43200) % 2).alias("phase"))
+    return archive.stream_sessions(_thirds(spark, rows, "t"), shared_folder(spark, "checkpoint"), shared_folder(spark, "sessions"), late="1 hour")
+
+
+@query("""WITH f AS (SELECT file, t, wse, site, CASE WHEN file % 7 = 0 THEN file % 1000 + 5 ELSE file % 1000 END AS size FROM levels WHERE wse IS NOT NULL)
+SELECT r.reach, site, file, size, round(wse + r.reach + size / 1000e0, 6) AS wse FROM f CROSS JOIN (SELECT unnest([0, 2]) AS reach) r""")
+def extract_changed(spark, d):
+    """Three deliveries: all files, then those with a changed size, and an old listing that comes late; for two fingerprints."""
+    levels = table(spark, d, "levels").withColumn("file", F.col("file").cast("string"))
+    listed = levels.select("file", F.expr("CAST(file AS BIGINT) % 1000").alias("size"), F.lit(1).cast("long").alias("modified")).distinct()
+    changed = listed.where("CAST(file AS BIGINT) % 7 = 0").select("file", (F.col("size") + 5).alias("size"), F.lit(2).cast("long").alias("modified"))
+    late = listed.where("CAST(file AS BIGINT) % 14 = 0").select("file", (F.col("size") + 9).alias("size"), F.lit(0).cast("long").alias("modified"))
+    stream, store, out = _deliveries(spark, listed, changed, late), shared_folder(spark, "extractions"), []
+    for reach in (0, 2):
+        print_of = parse.fingerprint(F.col("lon"), F.col("lat"), F.lit(reach), F.array(F.lit(1), F.lit(0)))
+        marks = table(spark, d, "places").agg(F.sum(F.xxhash64(print_of).cast("decimal(38,0)"))).first()[0]  # of all sites, in any order
+
+        def extract(files: DataFrame, reach: int = reach) -> DataFrame:
+            return files.join(levels, "file").where("wse IS NOT NULL").select("site", "file", "size", (F.col("wse") + reach + F.col("size") / 1000).alias("wse"))
+
+        out.append(archive.stream_extract(stream, extract, store, f"sites={marks}").withColumn("reach", F.lit(reach)))
+    return out[0].unionByName(out[1]).select("reach", "site", F.col("file").cast("long").alias("file"), "size", r6("wse"))

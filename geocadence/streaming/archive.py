@@ -1,8 +1,9 @@
 """Streams of observations and scenes.
 
 Streams run to the end of what has arrived (``availableNow``) and go on from their checkpoint at the next call.
-State that must be kept (the archive, scenes of a day) is a table that each batch replaces by a new version;
-windows and sessions are Spark's own stateful aggregates with a watermark.
+What must be kept (readings, the cells of scenes, states of files) is a log: each batch writes its own rows only, and of
+rows with one key those of the newest batch count. Windows and sessions are Spark's own stateful aggregates
+with a watermark.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import raster, weather
@@ -30,110 +32,120 @@ def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], Non
     started.awaitTermination()
 
 
-class Versions:
-    """A table as versions in a folder, one for each batch: a batch that is run again replaces its own, and readers
-    see the last one that is whole. Older versions stay until the caller removes them."""
+class Log:
+    """The rows of a stream as they came: a folder for each batch, within it one for each value of ``parts``. A batch that is
+    run again replaces its own folder, so nothing is counted twice; no batch rewrites what others wrote."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, *parts: str):
+        self.spark, self.path, self.schema, self.parts = spark, path, schema, parts
 
-    def _before(self, batch: int | None) -> str | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        place = hadoop.Path(self.path)
-        fs = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(place):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(place) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
-        numbers = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
-        numbers = [n for n in numbers if batch is None or n < batch]
-        return f"{self.path}/version={max(numbers)}" if numbers else None
+    def write(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").partitionBy(*self.parts).parquet(f"{self.path}/batch={batch}")
 
-    def read(self, schema: str, batch: int | None = None) -> DataFrame:
-        """The newest version before ``batch``, or of all; no rows if there is none."""
-        path = self._before(batch)
-        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
+    def read(self) -> DataFrame:
+        """All rows, with their ``batch``; none before the first one."""
+        schema = T.StructType([*self.schema.fields]).add("batch", "long")
+        try:
+            return self.spark.read.schema(schema).parquet(self.path)
+        except Exception as e:  # Spark tells a missing path by this condition
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/version={batch}")
 
+def newest(rows: DataFrame, key: list[str], *then: str) -> DataFrame:
+    """Of the rows with one ``key`` (nulls are equal) that of the newest batch, of the largest ``then`` within it."""
+    rest = [c for c in rows.columns if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("batch", *then)).alias("_last"))
+    return last.select(*key, *(F.col("_last")[c].alias(c) for c in rest))
 
-def stream_archive(obs: DataFrame, path: str, checkpoint: str, hours: int = 168) -> DataFrame:
-    """The rolling archive of a stream of readings (station, id, t, src, …): re-delivered times overwrite, readings
-    older than ``hours`` before the newest go, provenances never mix. Returns the table."""
-    spark, schema = obs.sparkSession, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in obs.schema)
-    table = Versions(spark, path)
-
-    def each(batch: DataFrame, number: int) -> None:
-        held = table.read(schema, number)
-        others = held.where("src IS NOT NULL").join(batch.select("src").distinct(), "src", "left_anti")
-        both = weather.merge_archive(held, batch, None, hours).unionByName(others)
-        newest = both.agg(F.max("t").alias("_newest"))
-        table.write(both.crossJoin(newest).where(F.col("t").isNull() | (F.col("t") >= F.col("_newest") - hours * 3600)).drop("_newest"), number)  # one row
 
-    run(obs, checkpoint, each)
-    return table.read(schema)
+def stream_archive(obs: DataFrame, path: str, checkpoint: str, hours: int = 168) -> DataFrame:
+    """The rolling archive of a stream of readings (station, id, t, src, …): re-delivered times overwrite (in one delivery
+    the largest id), readings older than ``hours`` before the newest go, provenances never mix, and a reading without one gives
+    way to one that has it. Returns the table; only the days within ``hours`` are read for it."""
+    spark, day = obs.sparkSession, F.floor(F.col("t") / 86400)
+    log = Log(spark, path, T.StructType([*obs.schema.fields]).add("_day", "long"), "_day")
+    run(obs.withColumn("_day", day), checkpoint, log.write)
+    top = log.read().agg(F.max("_day"), F.max("t")).first()[1]
+    held = log.read()
+    if top is not None:
+        since = top - hours * 3600
+        held = held.where(F.col("_day").isNull() | (F.col("_day") >= since // 86400)).where(F.col("t").isNull() | (F.col("t") >= since))
+    last = newest(held, ["station", "t", "src"], "id").select(*obs.columns)
+    known = last.where("src IS NOT NULL").select("station", "t").distinct()
+    return last.where("src IS NOT NULL").unionByName(last.where("src IS NULL").join(known, ["station", "t"], "left_anti").select(*obs.columns))
 
 
 def stream_rose(obs: DataFrame, checkpoint: str, path: str, width: str = "7 days", slide: str = "1 day", late: str = "168 hours") -> DataFrame:
-    """Counts of sector and speed bin in sliding windows of a stream (station, ts, wind_spd_kmh, wind_dir_deg)."""
+    """Counts of sector and speed bin in sliding windows of a stream (station, ts, wind_spd_kmh, wind_dir_deg). Each batch
+    writes the counts that it changed."""
     keyed = weather.rose_keys(obs.withWatermark("ts", late)).groupBy(F.window("ts", width, slide).alias("w"), "station", "sector", "bin").agg(F.count("*").alias("n"))
     flat = keyed.select("station", F.unix_seconds("w.start").alias("start"), "sector", "bin", "n")
-    return _upserted(flat, ["station", "start", "sector", "bin"], checkpoint, path)
+    log = Log(obs.sparkSession, path, flat.schema)
+    run(flat, checkpoint, log.write, "update")
+    return newest(log.read(), ["station", "start", "sector", "bin"]).drop("batch")
 
 
 def stream_sessions(obs: DataFrame, checkpoint: str, path: str, gap: str = "45 minutes", late: str = "168 hours") -> DataFrame:
-    """station, phase, start, n: unbroken phases of a stream (station, ts, phase), ended by a pause of ``gap``."""
+    """station, phase, start, end, n: unbroken phases of a stream (station, ts, phase), ended by a pause of ``gap``. A session
+    is written once, when the newest reading is ``late`` past its end; its state ends with it."""
     keyed = obs.withWatermark("ts", late).groupBy("station", "phase", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     flat = keyed.select("station", "phase", F.unix_seconds("w.start").alias("start"), F.unix_seconds("w.end").alias("end"), "n")
-    return _complete(flat, checkpoint, path)
-
-
-def _upserted(stream: DataFrame, key: list[str], checkpoint: str, path: str) -> DataFrame:
-    """The newest row of each key of an update stream."""
-    spark, schema = stream.sparkSession, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
-    table = Versions(spark, path)
+    log = Log(obs.sparkSession, path, flat.schema)
+    run(flat, checkpoint, log.write)
+    return log.read().drop("batch")
 
-    def each(batch: DataFrame, number: int) -> None:
-        table.write(table.read(schema, number).join(batch, key, "left_anti").unionByName(batch), number)
-
-    run(stream, checkpoint, each, "update")
-    return table.read(schema)
 
+def stream_daily_area(cells: DataFrame, checkpoint: str, path: str, boundary_cells: int | None) -> DataFrame:
+    """Daily areas of a stream of masked cells (day, granule, iy, ix, mask, …).
 
-def _complete(stream: DataFrame, checkpoint: str, path: str) -> DataFrame:
-    """The whole result of a stream that holds all of its groups."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
-    table = Versions(stream.sparkSession, path)
-    run(stream, checkpoint, lambda batch, number: table.write(batch, number), "complete")
-    return table.read(schema)
+    A scene may arrive in any number of pieces, and a cell that comes again replaces itself. Each batch logs
+    its cells by day and then rebuilds the days that it touched, and no others, from all cells logged for them.
+    """
+    spark = cells.sparkSession
+    log, scene = Log(spark, f"{path}/cells", cells.schema, "day"), ["day", "granule"]
 
+    def rebuilt(number: int) -> DataFrame:
+        held = log.read().where(F.col("batch") <= number)
+        touched = held.where(F.col("batch") == number).select("day").distinct()
+        whole = newest(held.join(touched, "day", "left_semi"), [*scene, "iy", "ix"], *(f.name for f in cells.schema if f.name not in (*scene, "iy", "ix")))
+        return touched.join(raster.combine_scenes(raster.scene_area(whole, scene, "mask"), boundary_cells), "day", "left")
 
-def stream_daily_area(cells: DataFrame, checkpoint: str, path: str, boundary_cells: int | None) -> DataFrame:
-    """Daily areas of a stream of masked cells (day, granule, mask, …): the sums of scenes are the table, so a scene
-    whose cells come again is replaced, and days are combined from it."""
-    schema = "day long, granule long, area_m2 double, uncert_m2 double, n_cells long, n_valid long, covered_cells long"
-    table = Versions(cells.sparkSession, path)
+    log.write(spark.createDataFrame([], cells.schema), -1)  # so that the days have a schema before the first batch
+    days = Log(spark, f"{path}/days", rebuilt(-1).schema)
 
     def each(batch: DataFrame, number: int) -> None:
-        fresh = raster.scene_area(batch, ["day", "granule"], "mask").select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")))
-        held = table.read(schema, number)
-        table.write(held.join(fresh, ["day", "granule"], "left_anti").unionByName(fresh), number)
+        log.write(batch, number)
+        days.write(rebuilt(number), number)
 
     run(cells, checkpoint, each)
-    return raster.combine_scenes(table.read(schema), boundary_cells)
+    return newest(days.read(), ["day"]).where("n_scenes IS NOT NULL").drop("batch")  # a day may have lost all of its scenes
 
 
-def stream_extract(spark: SparkSession, folder: str, schema: str, extract: Callable[[DataFrame], DataFrame], store: str, parameters: str, age: str = "45d") -> DataFrame:
-    """Extracts each file of ``folder`` once for each fingerprint ``parameters``: a stream of files with a checkpoint
-    of its own for each. Files older than ``age`` before the newest one are not looked at again."""
-    rows = spark.readStream.schema(schema).option("maxFileAge", age).parquet(folder).withColumn("_file", F.input_file_name())
-    place = f"{store}/{parameters}"
+def stream_extract(listings: DataFrame, extract: Callable[[DataFrame], DataFrame], store: str, fingerprint: str) -> DataFrame:
+    """Extracts each file once for each ``fingerprint`` of the parameters, and again if its size has changed since.
 
-    def each(batch: DataFrame, number: int) -> None:
-        extract(batch).write.mode("overwrite").parquet(f"{place}/values/batch={number}")
+    ``listings`` is a stream of what deliveries hold (file, size, modified); ``extract`` takes files (these columns) and
+    gives rows that keep ``file``. Listings older than the one that a file was extracted by are passed over.
+    The state of the files is written behind their values, so a batch that broke off is done again whole. Returns
+    the values of the newest state of each file, those without any left out.
+    """
+    spark, place = listings.sparkSession, f"{store}/{fingerprint}"
+    files = Log(spark, f"{place}/files", T.StructType.fromDDL("file string, size long, modified long"))
+    values = extract(spark.createDataFrame([], files.schema)).schema
+    log = Log(spark, f"{place}/values", values)
 
-    run(rows, f"{place}/checkpoint", each)
-    return spark.read.parquet(f"{place}/values").drop("batch")
+    def each(batch: DataFrame, number: int) -> None:
+        told = batch.groupBy("file").agg(F.max_by(F.struct("size", "modified"), F.struct("modified", "size")).alias("x")).select("file", "x.size", "x.modified")
+        known = newest(files.read().where(F.col("batch") < number), ["file"]).select("file", F.col("size").alias("_size"), F.col("modified").alias("_was"))
+        todo = told.join(known, "file", "left").where(F.col("_was").isNull() | (F.col("size") != F.col("_size")) & (F.col("modified") >= F.col("_was"))).select("file", "size", "modified")
+        log.write(extract(todo), number)
+        files.write(todo, number)
+
+    run(listings, f"{place}/checkpoint", each)
+    last = newest(files.read(), ["file"]).select("file", "batch")
+    return log.read().join(last, ["file", "batch"], "left_semi").drop("batch")
 
 
 class LastKnown(StatefulProcessor):

@@ -284,17 +284,45 @@ def test_streams_go_on_where_they_stopped(spark):
         put(*rows)
         got = archive.stream_archive(spark.readStream.schema(schema).parquet(folder), out, check).collect()
     assert sorted((r.station, r.t, r.x) for r in got) == [("a", 8 * day, 5.0), ("b", 9 * day, 6.0), ("d", 8 * day, 0.0)]
-    seen = []
+    put(("a", 6, 8 * day, 7.0, None), ("a", 7, 9 * day, 8.0, None))
+    got = archive.stream_archive(spark.readStream.schema(schema).parquet(folder), out, check).collect()
+    assert sorted((r.station, r.t, r.x) for r in got) == [("a", 8 * day, 5.0), ("a", 9 * day, 8.0), ("b", 9 * day, 6.0), ("d", 8 * day, 0.0)]
 
-    def extract(rows):
-        seen.append(rows.count())
-        return rows.select("station", "x")
 
-    store = shared_folder(spark, "store")
-    assert archive.stream_extract(spark, folder, schema, extract, store, "p1").count() == 5
-    put(("z", 9, 9 * day, 1.0, "bom"))
-    assert archive.stream_extract(spark, folder, schema, extract, store, "p1").count() == 6 and seen == [5, 1]
-    assert archive.stream_extract(spark, folder, schema, extract, store, "p2").count() == 6
+def test_changed_files_are_extracted_again(spark):
+    folder, store, seen, schema = shared_folder(spark, "listings"), shared_folder(spark, "store"), [], "file string, size long, modified long"
+    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def extract(files):
+        seen.append(sorted(tuple(r) for r in files.select("file", "size").collect()))
+        return files.where("file != 'bare'").select("file", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("x"))
+
+    def run(mark):
+        del seen[:]
+        rows = archive.stream_extract(spark.readStream.schema(schema).parquet(folder), extract, store, mark).collect()
+        return sorted((r.file, r.x) for r in rows), [s for s in seen if s]
+
+    put(("f1", 1, 10), ("bare", 1, 10))
+    assert run("p") == ([("f1", 1)], [[("bare", 1), ("f1", 1)]])
+    assert run("p") == ([("f1", 1)], [])
+    put(("f1", 3, 20), ("bare", 1, 30), ("f2", 2, 20))
+    assert run("p") == ([("f1", 1), ("f1", 2), ("f1", 3), ("f2", 1), ("f2", 2)], [[("f1", 3), ("f2", 2)]])
+    put(("f1", 1, 15))  # an old listing that comes late
+    assert run("p")[1] == []
+    assert run("q")[1] == [[("bare", 1), ("f1", 3), ("f2", 2)]]
+
+
+def test_scenes_that_come_in_pieces(spark):
+    folder, place, check = (shared_folder(spark, x) for x in ("cells", "areas", "check"))
+    schema = "day long, granule long, iy long, ix long, water_frac double, water_area double, uncert double, mask boolean"
+    put = lambda *rows: spark.createDataFrame([(d, g, y, x, 0.5, a, None, m) for d, g, y, x, a, m in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+    run = lambda: {r.day: (r.area_km2, r.n_scenes, r.n_cells) for r in archive.stream_daily_area(spark.readStream.schema(schema).parquet(folder), check, place, 4).collect()}
+    put((1, 1, 0, 0, 1e6, True), (2, 5, 0, 0, 4e6, True))
+    assert run() == {1: (1.0, 1, 1), 2: (4.0, 1, 1)}
+    put((1, 1, 0, 1, 2e6, True), (1, 2, 0, 0, 5e6, True))
+    assert run() == {1: (8.0, 2, 3), 2: (4.0, 1, 1)}
+    put((1, 1, 0, 0, 1e6, False), (1, 1, 0, 1, 3e6, True))
+    assert run() == {1: (8.0, 2, 2), 2: (4.0, 1, 1)} == run()
 
 
 def test_last_known_value(spark):
