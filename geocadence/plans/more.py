@@ -497,18 +497,43 @@ def unpack_roundtrip(spark, d):
     rows = table(spark, d, "flow")
     store = shared_folder(spark, "store")
     sinks.write_store(rows.select("source", "key", "layer", "cell", "u", "v"), table(spark, d, "mesh"), store, {"u": 1e-4, "v": 1e-4})
-    held = sinks.read_store(spark, store).select("source", "key", "layer", "cell", F.col("u").alias("back"))
+    held = sinks.read_store(spark, store).select("source", F.col("key").cast("long").alias("key"), "layer", "cell", F.col("u").alias("back"))
     both = rows.join(held, ["source", "key", "layer", "cell"])
     return both.groupBy("key", "layer").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("u") - F.col("back"))) <= 3e-4).alias("good"), F.round(F.sum("back"), 4).alias("total"))
 
 
+@query("""WITH s AS (SELECT unnest([1, 2, 3, 4]) AS step), r AS (SELECT s.step, f.key, f.layer, f.cell, CASE s.step WHEN 3 THEN round_even(f.u / 1e-2, 0) * 1e-2 ELSE round_even(CASE WHEN s.step = 4 AND f.key % 3 = 0 THEN f.u + 1 ELSE f.u END / 1e-4, 0) * 1e-4 END AS u FROM s CROSS JOIN flow f WHERE s.step > 1 OR f.layer < 2)
+SELECT step, key, layer, count(*) AS n, CAST(sum(cell) AS BIGINT) AS cells, round(sum(u), 4) AS total FROM r GROUP BY ALL""")
+def store_resumed(spark, d):
+    """One store written four times: two layers (half of the keys first), all layers, another scale, and the first scale
+    again with a third of the keys replaced. What is read after each."""
+    rows, mesh = table(spark, d, "flow").select("source", "key", "layer", "cell", "u"), table(spark, d, "mesh")
+    store, out = shared_folder(spark, "store"), []
+
+    def written(step: int, part: DataFrame, scale: float, replace: bool = False) -> None:
+        version = sinks.write_store(part, mesh, store, {"u": scale}, replace)
+        out.append(sinks.read_store(spark, store, version=version).select(F.lit(step).alias("step"), F.col("key").cast("long").alias("key"), "layer", "cell", "u"))
+
+    few = rows.where("layer < 2")
+    sinks.write_store(few.where("key % 2 = 0"), mesh, store, {"u": 1e-4})
+    written(1, few, 1e-4)
+    written(3, rows, 1e-2)
+    first = sinks.write_store(rows, mesh, store, {"u": 1e-4})
+    kept = sinks.read_store(spark, store, version=first).select(F.lit(2).alias("step"), F.col("key").cast("long").alias("key"), "layer", "cell", "u")
+    folder = shared_folder(spark, "read")
+    kept.write.parquet(folder)  # read before its keys are replaced
+    written(4, rows.where("key % 3 = 0").withColumn("u", F.col("u") + 1), 1e-4, replace=True)
+    whole = out[0].unionByName(out[1]).unionByName(out[2]).unionByName(spark.read.schema(kept.schema).parquet(folder))
+    return whole.groupBy("step", "key", "layer").agg(F.count("*").alias("n"), F.sum("cell").alias("cells"), F.round(F.sum("u"), 4).alias("total"))
+
+
 # Streams
 
 def _deliveries(spark: SparkSession, *parts: DataFrame) -> DataFrame:
     """A stream over parts that arrive one after the other, each as files in the shared folder."""
     folder = shared_folder(spark, "stream")
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(folder)  # one file for each delivery, so that a batch is one
+        part.repartition(1).write.mode("append").parquet(folder)  # one file for each delivery, so that a batch is one
     return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -530,7 +555,9 @@ SELECT day, round(sum(a) / 1e6, 3) AS area_km2, round(sqrt(sum(CASE WHEN k > 0 T
 def stream_daily_area(spark, d):
     """Every scene is cut in three, and a part of the cells comes first with other values, which are corrected later."""
     cells = table(spark, d, "cells").withColumn("mask", raster.water_mask(F.col("water_frac"), F.col("qual")))
-    third = (F.col("iy") * 5 + F.col("ix")) % 3
+    folder = shared_folder(spark, "cells")
+    cells.write.parquet(folder)
+    cells, third = spark.read.schema(cells.schema).parquet(folder), (F.col("iy") * 5 + F.col("ix")) % 3
     wrong = cells.where((third == 1) & (F.col("ix") % 4 == 0)).withColumn("water_area", F.col("water_area") + 7).withColumn("mask", ~F.col("mask"))
     stream = _deliveries(spark, cells.where(third == 0).unionByName(wrong), cells.where(third == 1), cells.where(third == 2))
     return archive.stream_daily_area(stream, shared_folder(spark, "checkpoint"), shared_folder(spark, "areas"), 576)

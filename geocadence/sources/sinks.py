@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,50 +87,91 @@ def clip_counts(fields: DataFrame, scales: dict[str, float]) -> DataFrame:
     return fields.agg(*counts).unpivot([], list(scales), "variable", "clipped")
 
 
-def write_store(fields: DataFrame, mesh: DataFrame, path: str, scales: dict[str, float]) -> None:
-    """The mesh once, packed fields (source, key, layer, cell, variables) sorted by key, the scales as a table. Keys
-    that the store holds with all the layers of ``fields`` are not written again."""
-    spark = fields.sparkSession
-    mesh.write.mode("overwrite").parquet(f"{path}/mesh")
-    spark.createDataFrame(list(scales.items()), "variable string, scale double").write.mode("overwrite").parquet(f"{path}/scales")
-    todo = fields.join(finished(spark, path, fields), ["source", "key"], "left_anti")
-    out = packed_fields(todo, scales).repartition("source", "key").sortWithinPartitions("source", "key", "layer", "cell")
-    out.write.mode("append").partitionBy("source").option("compression", "zstd").parquet(f"{path}/fields")
+_MANIFEST = "seq long, version string, scales map<string,double>, layers array<struct<source: string, layer: int>>"
+_KEYS = "source string, key string, cells long"
 
 
-def finished(spark: SparkSession, path: str, fields: DataFrame) -> DataFrame:
-    """source, key of what the store holds with the same layers as ``fields``, whatever their values."""
-    layers = lambda df, name: df.groupBy("source", "key").agg(F.array_sort(F.collect_set("layer")).alias(name))
+def _known(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``; no rows if there is none yet."""
     try:
-        held = layers(spark.read.parquet(f"{path}/fields"), "held")
-    except Exception as e:  # no table yet: Spark tells by this condition
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:  # Spark tells by this condition
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return fields.select("source", "key").limit(0)
-    return layers(fields, "wanted").join(held, ["source", "key"]).where("wanted = held").select("source", "key")
+        return spark.createDataFrame([], schema)
+
+
+def _published(spark: SparkSession, path: str) -> dict | None:
+    """The newest row of the manifest."""
+    last = _known(spark, f"{path}/manifest", _MANIFEST).orderBy(F.desc("seq")).first()
+    return last.asDict() if last else None
 
 
-def read_store(spark: SparkSession, path: str, source: str | None = None, key: str | None = None, layer: int | None = None) -> DataFrame:
-    """Unpacked fields with the coordinates of their cells. A layer is an index of the stored layers, from the end if
-    negative, held within them; the layer numbers stay those of the model. A slice without any value is an error."""
-    scales = {r["variable"]: r["scale"] for r in spark.read.parquet(f"{path}/scales").collect()}  # a row for each variable
-    rows, mesh = spark.read.parquet(f"{path}/fields"), spark.read.parquet(f"{path}/mesh")
+def store_version(fields: DataFrame, mesh: DataFrame, scales: dict[str, float]) -> tuple[str, list]:
+    """(name of the version, its layers): what all keys of a version have in common, the scales, the layers of each source
+    and the mesh. The mesh counts by the sum of its rows' hashes, in any order."""
+    layers = sorted((r["source"], r["layer"]) for r in fields.select("source", F.col("layer").cast("int").alias("layer")).distinct().collect())  # a row for each layer
+    marks = mesh.agg(F.count("*"), F.sum(F.xxhash64(*sorted(mesh.columns)).cast("decimal(38,0)"))).first()
+    return hashlib.sha256(repr((sorted(scales.items()), layers, tuple(marks))).encode()).hexdigest()[:16], layers
+
+
+def write_store(fields: DataFrame, mesh: DataFrame, path: str, scales: dict[str, float], replace: bool = False) -> str:
+    """Packed ``fields`` (source, key, layer, cell, variables), the mesh once, and a manifest; gives the version's name.
+
+    All keys of a version have the same scales, layers and mesh. Others start a new version in a folder of its
+    own, so rows packed in different ways never lie together. Keys are written whole, each its own partition,
+    and noted as finished behind that: a write that broke off is taken up with the keys that are not, which
+    replace what is left of them. Finished keys are passed over, or with ``replace`` written again whole. The
+    manifest gets a row when all is written; until then readers see the version before.
+    """
+    spark = fields.sparkSession
+    version, layers = store_version(fields, mesh, scales)
+    place, known = f"{path}/version={version}", _published(spark, path)
+    if _known(spark, f"{place}/keys", _KEYS).isEmpty():
+        mesh.write.mode("overwrite").parquet(f"{place}/mesh")
+    todo = fields if replace else fields.join(finished(spark, place), ["source", "key"], "left_anti")
+    out = packed_fields(todo, scales).repartition("source", "key").sortWithinPartitions("source", "key", "layer", "cell")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("source", "key").parquet(f"{place}/fields")
+    done = todo.groupBy("source", F.col("key").cast("string").alias("key")).agg(F.count("*").alias("cells"))
+    done.write.mode("append").parquet(f"{place}/keys")
+    if not known or known["version"] != version:
+        row = ((known["seq"] if known else 0) + 1, version, {v: float(s) for v, s in scales.items()}, layers)
+        spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return version
+
+
+def finished(spark: SparkSession, place: str) -> DataFrame:
+    """source, key of what a version's folder holds whole."""
+    return _known(spark, f"{place}/keys", _KEYS).select("source", "key").distinct()
+
+
+def read_store(spark: SparkSession, path: str, source: str | None = None, key: str | None = None, layer: int | None = None, version: str | None = None) -> DataFrame:
+    """Unpacked fields of the newest version, or of ``version``, with the coordinates of their cells; keys are strings. A
+    layer is an index of the stored layers, from the end if negative, held within them; the layer numbers stay those of the
+    model. A slice without any value is an error, as is a store without a version. Only finished keys are read, and of
+    these, with ``source`` and ``key``, only their partitions."""
+    held = _known(spark, f"{path}/manifest", _MANIFEST)
+    about = (held if version is None else held.where(F.col("version") == version)).orderBy(F.desc("seq")).first()
+    if about is None:
+        raise ValueError("no such store")
+    place, scales = f"{path}/version={about['version']}", about["scales"]
+    rows = spark.read.parquet(f"{place}/fields").withColumn("key", F.col("key").cast("string")).join(finished(spark, place), ["source", "key"], "left_semi")
     rows = rows if source is None else rows.where(F.col("source") == source)
-    rows = rows if key is None else rows.where(F.col("key") == key)
+    rows = rows if key is None else rows.where(F.col("key") == str(key))
     if layer is not None:
-        stored = rows.groupBy("source", "key").agg(F.array_sort(F.collect_set("layer")).alias("_all"))
-        at = stored.select("source", "key", F.element_at("_all", (clamped_index(F.lit(layer), F.size("_all")) + 1).cast("int")).alias("layer"))
-        rows = rows.join(at, ["source", "key", "layer"], "left_semi")
+        stored = spark.createDataFrame([tuple(x) for x in about["layers"]], "source string, layer int").groupBy("source").agg(F.array_sort(F.collect_set("layer")).alias("_all"))  # a row for each layer
+        at = stored.select("source", F.element_at("_all", (clamped_index(F.lit(layer), F.size("_all")) + 1).cast("int")).alias("layer"))
+        rows = rows.join(F.broadcast(at), ["source", "layer"], "left_semi")  # a row for each source
     out = rows.withColumns({v: F.col(v) * s for v, s in scales.items()})
     if key is not None and out.where(F.coalesce(*scales).isNotNull()).isEmpty():
         raise ValueError(f"all cells of {key} are dry")
-    return out.join(mesh, ["source", "cell"])
+    return out.join(spark.read.parquet(f"{place}/mesh"), ["source", "cell"])
 
 
 def roundtrip_errors(fields: DataFrame, stored: DataFrame, scales: dict[str, float], factor: float = 3.0) -> DataFrame:
     """variable, worst, good: the largest difference between what was written and what is read, and whether it is
     within ``factor`` scales. Values that were clipped count, too."""
-    both = fields.alias("a").join(stored.alias("b"), ["source", "key", "layer", "cell"])
+    both = fields.withColumn("key", F.col("key").cast("string")).alias("a").join(stored.alias("b"), ["source", "key", "layer", "cell"])
     worst = both.agg(*(F.max(F.abs(F.col(f"a.{v}") - F.col(f"b.{v}"))).alias(v) for v in scales)).unpivot([], list(scales), "variable", "worst")
     limit = F.create_map(*(F.lit(x) for v, s in scales.items() for x in (v, factor * s)))
     return worst.withColumn("good", F.coalesce(F.col("worst") <= F.try_element_at(limit, F.col("variable")), F.lit(True)))

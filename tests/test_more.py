@@ -125,8 +125,8 @@ def test_store(spark, tmp_path):
     path, scales = str(tmp_path / "store"), {"ue": 1e-3}
     sinks.write_store(fs, mesh, path, scales)
     dry = fs.withColumn("key", F.lit("dry")).withColumn("ue", F.lit(None).cast("double"))
-    sinks.write_store(fs.unionByName(dry), mesh, path, scales)  # "a" is there already
-    assert spark.read.parquet(f"{path}/fields").groupBy("key").count().orderBy("key").collect() == [("a", 8), ("dry", 8)]
+    version = sinks.write_store(fs.unionByName(dry), mesh, path, scales)  # "a" is there already
+    assert spark.read.parquet(f"{path}/version={version}/fields").groupBy("key").count().orderBy("key").collect() == [("a", 8), ("dry", 8)]
     assert {r.layer for r in sinks.read_store(spark, path, "flow", "a", -1).collect()} == {7} == {r.layer for r in sinks.read_store(spark, path, "flow", "a", 99).collect()}
     check = sinks.roundtrip_errors(fs, sinks.read_store(spark, path, "flow", "a"), scales).first()
     assert check.good and check.worst <= 5.1e-4
@@ -135,6 +135,32 @@ def test_store(spark, tmp_path):
     assert sinks.clip_counts(fs.withColumn("ue", F.col("ue") * 1e6), scales).first().clipped == 4
 
 
+def test_store_written_again(spark, tmp_path):
+    mesh = spark.range(2).selectExpr("'flow' AS source", "id AS cell", "id * 0.1 AS lon", "0.0 AS lat")
+    fs = lambda key, layers, x=0.5: mesh.select("source", F.lit(key).alias("key"), F.explode(F.array(*map(F.lit, layers))).alias("layer"), "cell", F.lit(x).alias("ue"))
+    path, read = str(tmp_path / "store"), lambda **how: sorted((r.key, r.layer, r.ue) for r in sinks.read_store(spark, path, **how).where("cell = 0").collect())
+    with pytest.raises(ValueError, match="no such store"):
+        read()
+    first = sinks.write_store(fs("a", [0, 1]), mesh, path, {"ue": 0.1})
+    assert sinks.write_store(fs("b", [0, 1]), mesh, path, {"ue": 0.1}) == first
+    assert read() == [("a", 0, 0.5), ("a", 1, 0.5), ("b", 0, 0.5), ("b", 1, 0.5)]
+    assert sinks.write_store(fs("a", [0, 1], 0.9), mesh, path, {"ue": 0.1}) == first and read()[0] == ("a", 0, 0.5)  # finished
+    sinks.write_store(fs("a", [0, 1], 0.9), mesh, path, {"ue": 0.1}, replace=True)
+    assert [round(r[2], 6) for r in read()] == [0.9, 0.9, 0.5, 0.5]
+    second = sinks.write_store(fs("a", [0, 1, 2]), mesh, path, {"ue": 0.1})  # more layers: a version of its own, whole
+    assert second != first and read() == [("a", 0, 0.5), ("a", 1, 0.5), ("a", 2, 0.5)]
+    third = sinks.write_store(fs("a", [0, 1]), mesh, path, {"ue": 0.01})  # another scale
+    assert len({first, second, third}) == 3 and read() == [("a", 0, 0.5), ("a", 1, 0.5)] and len(read(version=first)) == 4
+    shifted = mesh.withColumn("lon", F.col("lon") + 1)
+    assert sinks.write_store(fs("a", [0, 1]), shifted, path, {"ue": 0.01}) not in (first, second, third)
+    # A write that broke off before a key was noted: the key is not read, and replaced as a whole.
+    place = f"{path}/version={first}"
+    sinks.packed_fields(fs("c", [0]), {"ue": 0.1}).write.mode("append").partitionBy("source", "key").parquet(f"{place}/fields")
+    assert len(read(version=first)) == 4
+    assert sinks.write_store(fs("c", [0, 1], 0.3), mesh, path, {"ue": 0.1}) == first
+    assert [(k, n, round(x, 6)) for k, n, x in read()][-2:] == [("c", 0, 0.3), ("c", 1, 0.3)]
+
+
 def mesh_of(spark, n=12, m=15):
     """A turned and bent grid, and its coordinates."""
     iy, ix = np.meshgrid(np.arange(n), np.arange(m), indexing="ij")
