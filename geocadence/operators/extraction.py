@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def inside_box(lon: Column, lat: Column, lon_min: Column, lon_max: Column, lat_min: Column, lat_max: Column) -> Column:
     return lon.between(lon_min, lon_max) & lat.between(lat_min, lat_max)
@@ -25,39 +27,64 @@ def covering(sites: DataFrame, granules: DataFrame, step: float = 1.0) -> DataFr
     return hit.select(*sites.columns, "granule")
 
 
-def nearest(points: DataFrame, cells: DataFrame, point: list[str], group: list[str], order: list[str], step: float, scale: float = 1.0) -> DataFrame:
+def pitches(cells: DataFrame, group: list[str], scale: float = 1.0) -> DataFrame:
+    """``group``, _pitch: about the distance of neighbouring cells, in degrees, from the box of a group and its count."""
+    lon, lat = (F.max("lon") - F.min("lon")) * scale, F.max("lat") - F.min("lat")
+    return cells.groupBy(*group).agg(F.greatest(F.sqrt(lon * lat / F.count("*")), F.greatest(lon, lat) / F.count("*"), F.lit(1e-9)).alias("_pitch"))
+
+
+def nearest(points: DataFrame, cells: DataFrame, point: list[str], group: list[str], order: list[str], step: float | None = None, scale: float = 1.0, widen: int = 4) -> DataFrame:
     """``point`` and ``group`` of each of ``points`` with ``cell``, the nearest of ``cells`` in the same group.
 
     Both have ``lon`` and ``lat``; distances are in degrees, those of longitude times ``scale``. Ties go to
-    the least of ``order``. Points meet the cells in the nine squares of ``step`` around them; where
-    the nearest of these is not proven by lying within ``step``, all cells of the group are compared.
+    the least of ``order``. Points meet the cells in the nine squares around them, whose side is ``step`` or else
+    the group's own pitch, so a few cells each. Where the nearest of these is not proven by lying within a side, the
+    point goes on alone: once with squares ``widen`` times as wide, then against all cells of its group. What is
+    found with the first squares is written to the shared folder, as both the rest and the result need it.
     """
-    square = lambda c, k: F.floor(F.col(c) * k / step)
-    asked = points.select(*point, *group, F.col("lon").alias("_plon"), F.col("lat").alias("_plat")).withColumn("_x", square("_plon", scale)).withColumn("_y", square("_plat", 1.0))
+    spark = points.sparkSession
+    placed = cells.where("lon IS NOT NULL AND lat IS NOT NULL")
+    side = pitches(placed, group, scale) if step is None else placed.select(*group).distinct().withColumn("_pitch", F.lit(float(step)))
+    placed = placed.join(side, group)
+    asked = points.select(*point, *group, F.col("lon").alias("_plon"), F.col("lat").alias("_plat")).join(side, group)
     around = F.array(*map(F.lit, (-1, 0, 1)))
-    spread = asked.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumn("_x", F.col("_x") + F.col("_dx")).withColumn("_y", F.col("_y") + F.col("_dy"))
     far = (((F.col("lon") - F.col("_plon")) * scale) ** 2 + (F.col("lat") - F.col("_plat")) ** 2).alias("_d")
-    names = [c for c in cells.columns if c not in group]
+    names = [c for c in cells.columns if c not in (*group, "lon", "lat")]
 
     def least(pairs: DataFrame) -> DataFrame:
-        own = pairs.select(*point, *group, far, F.struct(*names).alias("_cell"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
-        return own.groupBy(*point, *group).agg(F.min_by(F.struct("_cell", "_d"), F.struct("_d", *(f"_o{i}" for i in range(len(order))))).alias("_best"))
-
-    placed = cells.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("_x", square("lon", scale)).withColumn("_y", square("lat", 1.0))
-    near = least(placed.join(spread.select(*point, *group, "_plon", "_plat", "_x", "_y"), [*group, "_x", "_y"])).where(F.col("_best._d") <= step * step)
-    rest = asked.join(near, [*point, *group], "left_anti").drop("_x", "_y")
-    others = least(placed.drop("_x", "_y").join(rest, group))
-    return near.unionByName(others).select(*point, *group, F.col("_best._cell").alias("cell"))
-
-
-def extract_series(sites: DataFrame, cells: DataFrame, reach: int = 0, quals: list[int] | None = None, per_pixel: bool = False, step: float = 0.05) -> DataFrame:
+        own = pairs.select(*point, *group, "_plon", "_plat", "_pitch", F.struct(far, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.struct(*names).alias("_cell")).alias("_c"))
+        rank = F.struct("_c._d", *(f"_c._o{i}" for i in range(len(order))))
+        return own.groupBy(*point, *group).agg(F.min_by("_c", rank).alias("_best"), F.first("_pitch").alias("_pitch"))
+
+    def within(asked: DataFrame, times: int) -> DataFrame:
+        square = lambda c, k: F.floor(F.col(c) * k / (F.col("_pitch") * times))
+        at = asked.withColumn("_x", square("_plon", scale)).withColumn("_y", square("_plat", 1.0)).withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
+        at = at.select(*point, *group, "_plon", "_plat", (F.col("_x") + F.col("_dx")).alias("_x"), (F.col("_y") + F.col("_dy")).alias("_y"))
+        found = least(placed.withColumn("_x", square("lon", scale)).withColumn("_y", square("lat", 1.0)).join(at, [*group, "_x", "_y"]))
+        return found.where(F.col("_best._d") < (F.col("_pitch") * times * (1 - 1e-9)) ** 2).select(*point, *group, F.col("_best._cell").alias("cell"))
+
+    folder, near = shared_folder(spark, "nearest"), within(asked, 1)
+    near.write.parquet(folder)
+    near = spark.read.schema(near.schema).parquet(folder)
+    rest = asked.join(near, [*point, *group], "left_anti")
+    if rest.isEmpty():
+        return near
+    folder, wide = shared_folder(spark, "nearest"), within(rest, widen)
+    wide.write.parquet(folder)
+    wide = spark.read.schema(wide.schema).parquet(folder)
+    last = least(placed.join(rest.join(wide, [*point, *group], "left_anti").drop("_pitch"), group))
+    return near.unionByName(wide).unionByName(last.select(*point, *group, F.col("_best._cell").alias("cell")))
+
+
+def extract_series(sites: DataFrame, cells: DataFrame, reach: int = 0, quals: list[int] | None = None, per_pixel: bool = False, step: float | None = None) -> DataFrame:
     """site, granule, wse, qual, n: the level at each site in every granule that covers it.
 
     The value is that of the nearest pixel, or with ``reach`` the mean over the square of pixels within it;
     ``quals`` are allowed qualities of the nearest pixel (a null quality is none), with ``per_pixel`` of all
     averaged ones, too. Rows without a value are dropped.
     """
-    picked = nearest(covering(sites, granule_boxes(cells)), cells, ["site"], ["granule"], ["iy", "ix"], step)
+    pixels = cells.select("granule", "iy", "ix", "lon", "lat", "qual", "wse")
+    picked = nearest(covering(sites, granule_boxes(cells)), pixels, ["site"], ["granule"], ["iy", "ix"], step)
     picked = picked.select("site", "granule", "cell.iy", "cell.ix", "cell.qual", "cell.wse")
     if quals is not None:
         picked = picked.where(F.col("qual").isin(*quals))
@@ -71,7 +98,7 @@ def extract_series(sites: DataFrame, cells: DataFrame, reach: int = 0, quals: li
     return mean.where("wse IS NOT NULL").select("site", "granule", "wse", "qual", "n")
 
 
-def extract_quality(sites: DataFrame, cells: DataFrame, reach: int = 0, step: float = 0.05) -> DataFrame:
+def extract_quality(sites: DataFrame, cells: DataFrame, reach: int = 0, step: float | None = None) -> DataFrame:
     """site, granule, quality: that of the nearest pixel, or the mean within ``reach``; nothing is filtered."""
     as_value = cells.withColumn("wse", F.col("qual").cast("double"))
     return extract_series(sites, as_value, reach, None, step=step).select("site", "granule", F.col("wse").alias("quality"))

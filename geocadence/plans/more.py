@@ -33,6 +33,13 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
+def _stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, as cells of granules would be; the projections behind them run once."""
+    folder = shared_folder(spark, "table")
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 # Extraction
 
 _NEAREST = """b AS (SELECT granule, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM cells GROUP BY granule),
@@ -43,17 +50,17 @@ q AS (SELECT * FROM r WHERE n = 1) """
 
 @query("WITH " + _NEAREST + "SELECT site, granule, round(wse, 6) AS wse, qual FROM q WHERE qual IN (0, 1) AND wse IS NOT NULL")
 def extract_nearest(spark, d):
-    return extraction.extract_series(table(spark, d, "places"), table(spark, d, "cells"), 0, [0, 1]).select("site", "granule", r6("wse"), "qual")
+    return extraction.extract_series(table(spark, d, "places"), _stored(spark, table(spark, d, "cells")), 0, [0, 1]).select("site", "granule", r6("wse"), "qual")
 
 
 @query("WITH " + _NEAREST + "SELECT q.site, q.granule, round(avg(c.wse), 6) AS wse, count(c.wse) AS n FROM q JOIN cells c ON c.granule = q.granule AND abs(c.iy - q.iy) <= 2 AND abs(c.ix - q.ix) <= 2 WHERE q.qual IN (0, 1) GROUP BY q.site, q.granule HAVING count(c.wse) > 0")
 def extract_mean(spark, d):
-    return extraction.extract_series(table(spark, d, "places"), table(spark, d, "cells"), 2, [0, 1]).select("site", "granule", r6("wse"), "n")
+    return extraction.extract_series(table(spark, d, "places"), _stored(spark, table(spark, d, "cells")), 2, [0, 1]).select("site", "granule", r6("wse"), "n")
 
 
 @query("WITH " + _NEAREST + "SELECT site, granule, qual * 1e0 AS quality FROM q")
 def extract_quality(spark, d):
-    return extraction.extract_quality(table(spark, d, "places"), table(spark, d, "cells"))
+    return extraction.extract_quality(table(spark, d, "places"), _stored(spark, table(spark, d, "cells")))
 
 
 @query("SELECT s.site, t.z AS terrain FROM spots s LEFT JOIN terrain t ON t.r = floor((5000e0 - s.y) / 10e0) AND t.c = floor((s.x - 1000e0) / 10e0)")
@@ -555,9 +562,7 @@ SELECT day, round(sum(a) / 1e6, 3) AS area_km2, round(sqrt(sum(CASE WHEN k > 0 T
 def stream_daily_area(spark, d):
     """Every scene is cut in three, and a part of the cells comes first with other values, which are corrected later."""
     cells = table(spark, d, "cells").withColumn("mask", raster.water_mask(F.col("water_frac"), F.col("qual")))
-    folder = shared_folder(spark, "cells")
-    cells.write.parquet(folder)
-    cells, third = spark.read.schema(cells.schema).parquet(folder), (F.col("iy") * 5 + F.col("ix")) % 3
+    cells, third = _stored(spark, cells), (F.col("iy") * 5 + F.col("ix")) % 3
     wrong = cells.where((third == 1) & (F.col("ix") % 4 == 0)).withColumn("water_area", F.col("water_area") + 7).withColumn("mask", ~F.col("mask"))
     stream = _deliveries(spark, cells.where(third == 0).unionByName(wrong), cells.where(third == 1), cells.where(third == 2))
     return archive.stream_daily_area(stream, shared_folder(spark, "checkpoint"), shared_folder(spark, "areas"), 576)
