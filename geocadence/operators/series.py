@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _with(df: DataFrame, stats: DataFrame, group: list[str]) -> DataFrame:
@@ -24,9 +25,53 @@ def bounds_filter(df: DataFrame, group: list[str], lo: float = -16.0, hi: float
     return _with(df, counts, group).where((F.col("_n") < least) | F.col("wse").between(lo, hi)).drop("_n")
 
 
+def _narrowed(known: DataFrame, ranks: DataFrame, group: list[str], ranges: int) -> DataFrame:
+    """``ranks`` (group, _rank, _lo, _hi, _before) with the smallest and largest value of that of ``ranges`` equal parts of
+    _lo.._hi that holds the rank, and the count of values below it."""
+    spans = ranks.select(*group, "_lo", "_hi").distinct()
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges), F.lit(ranges - 1))).otherwise(0)
+    inside = _with(known, spans, group).where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    counts = inside.groupBy(*group, "_lo", "_hi", part.alias("_part")).agg(F.count("*").alias("_c"), F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+    below = F.sum("_c").over(Window.partitionBy(*group, "_lo", "_hi").orderBy("_part")) - F.col("_c")  # at most ``ranges`` rows
+    counts = counts.withColumn("_below", below)
+    return _holding(ranks, counts, group).select(*group, "_rank", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), (F.col("_before") + F.col("_below")).alias("_before"))
+
+
+def _holding(ranks: DataFrame, counts: DataFrame, group: list[str]) -> DataFrame:
+    """Each rank with the row of ``counts`` (group, _lo, _hi, _below, _c) that holds it."""
+    at = F.col("_rank") - F.col("_before")
+    return _with(ranks, counts, [*group, "_lo", "_hi"]).where((at >= F.col("_below")) & (at < F.col("_below") + F.col("_c")))
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, wanted: dict[str, float], ranges: int = 4096) -> DataFrame:
+    """``group`` and, by name, the exact quantiles of ``value`` with linear interpolation, as Spark's ``percentile`` gives
+    them; nulls are left out, groups with nulls in their keys kept.
+
+    No task holds the values of a group: counts in ``ranges`` equal parts tell which one holds a rank, and that
+    again by its own smallest and largest value; within the part of a part then left, equal values are counted
+    together. Each step is an aggregate that is combined before the shuffle, of at most ``ranges`` rows a rank.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_x"))
+    stats = known.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    at = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in wanted.items()}
+    both = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(h), F.ceil(h)) for h in at.values()))))
+    ranks = stats.select(*group, F.explode(both).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_before"))
+    for _ in range(2):
+        ranks = _narrowed(known, ranks, group, ranges)
+    inside = _with(known, ranks.select(*group, "_lo", "_hi").distinct(), group).where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    counts = inside.groupBy(*group, "_lo", "_hi", "_x").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_below", F.sum("_c").over(Window.partitionBy(*group, "_lo", "_hi").orderBy("_x")) - F.col("_c"))
+    found = _holding(ranks, counts, group).groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_v"))  # two ranks a quantile
+    out = _with(stats, found, group)
+    lo, hi = (lambda h: F.col("_v")[F.floor(h)]), (lambda h: F.col("_v")[F.ceil(h)])
+    between = lambda h: F.when(F.floor(h) == F.ceil(h), lo(h)).otherwise((F.ceil(h) - h) * lo(h) + (h - F.floor(h)) * hi(h))
+    return out.select(*group, *(between(h).alias(name) for name, h in at.items()))
+
+
 def iqr_filter(df: DataFrame, group: list[str], least: int = 4, whisker: float = 1.5) -> DataFrame:
     """Keeps values within ``whisker`` interquartile ranges of the quartiles, in groups of ``least`` or more."""
-    q = df.groupBy(*group).agg(F.count("*").alias("_n"), F.percentile("wse", F.lit(0.25)).alias("_a"), F.percentile("wse", F.lit(0.75)).alias("_b"))
+    counts = df.groupBy(*group).agg(F.count("*").alias("_n"))
+    q = _with(counts, quantiles(df, group, "wse", {"_a": 0.25, "_b": 0.75}), group)
     room = whisker * (F.col("_b") - F.col("_a"))
     return _with(df, q, group).where((F.col("_n") < least) | F.col("wse").between(F.col("_a") - room, F.col("_b") + room)).drop("_n", "_a", "_b")
 

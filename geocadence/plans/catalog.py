@@ -297,8 +297,9 @@ def rotate_vectors(spark, d):
 
 @query("""SELECT layer, round(quantile_cont(sqrt(u * u + v * v), 0.99), 6) AS p99, round(max(sqrt(u * u + v * v)), 6) AS zmax, count_if(u <> 0 OR v <> 0) AS n_wet FROM fields GROUP BY layer""")
 def layer_bounds(spark, d):
-    z = F.sqrt(F.col("u") ** 2 + F.col("v") ** 2)
-    return table(spark, d, "fields").groupBy("layer").agg(F.round(F.percentile(z, F.lit(0.99)), 6).alias("p99"), F.round(F.max(z), 6).alias("zmax"), F.count_if((F.col("u") != 0) | (F.col("v") != 0)).alias("n_wet"))
+    speed = table(spark, d, "fields").select("layer", F.sqrt(F.col("u") ** 2 + F.col("v") ** 2).alias("z"), ((F.col("u") != 0) | (F.col("v") != 0)).alias("wet"))
+    top = speed.groupBy("layer").agg(F.round(F.max("z"), 6).alias("zmax"), F.count_if("wet").alias("n_wet"))
+    return top.join(series.quantiles(speed, ["layer"], "z", {"p99": 0.99}), "layer").select("layer", F.round("p99", 6).alias("p99"), "zmax", "n_wet")
 
 
 @query("""SELECT layer, count(*) AS n, CAST(count_if(abs(round_even(big / 0.1, 0)) > 32767) AS BIGINT) AS clipped, CAST(sum(greatest(least(round_even(big / 0.1, 0), 32767), -32767)) AS BIGINT) AS packed_sum FROM fields GROUP BY layer""")

@@ -71,3 +71,16 @@ def test_match_equals_all_pairs(spark):
                 near += [(round(sum(x * x for x in delta) ** 0.5, 9), k) for k in (j, 1000 + j)]
             want |= {(i, n + 1): (k, round(dist, 3)) for n, (dist, k) in enumerate(sorted(near)[:5])}
         assert got.keys() == want.keys() and all(abs(got[x][1] - want[x][1]) <= 0.0011 for x in want)
+
+
+def test_quantiles_equal_percentile(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", float(x)) for x in rng.normal(0, 1, 3000)] + [("b", 1.0)] * 50 + [("c", None), ("d", 3.5), (None, 2.0), (None, 4.0), (None, None)]
+    rows += [("e", float(x)) for x in 10.0 ** rng.uniform(-12, 12, 999)] + [("f", float(x)) for x in rng.integers(-3, 3, 400)] + [("g", x) for x in (1e300, -1e300, 0.0, 5e-324)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    wanted = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q99": 0.99, "q1": 1.0}
+    for ranges in (4096, 3):
+        got = {r.k: tuple(r)[1:] for r in series.quantiles(df, ["k"], "x", wanted, ranges).collect()}
+        want = {r.k: tuple(r)[1:] for r in df.where("x IS NOT NULL").groupBy("k").agg(*(F.percentile("x", F.lit(p)).alias(n) for n, p in wanted.items())).collect()}
+        assert got == want
+    assert series.quantiles(df.limit(0), ["k"], "x", wanted).collect() == []
