@@ -461,3 +461,19 @@ def test_nearest_with_repeated_ids(spark):
     got = sorted((r.rank, r.vec_id, round(r.score, 9)) for r in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect())
     assert got == sorted([(1, 1, 1.0), (2, 2, 0.1), (3, 2, 0.1), (1, 2, 1.0), (2, 2, 1.0), (3, 1, 0.1)])
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_recall_of_blocks_that_are_not_verified_whole():
+    """Random directions of 64 dimensions, in which all other vectors lie about as far away."""
+    rng = np.random.default_rng(1)
+    for n in (2000, 8192):
+        x = rng.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        block, found, seen = nearest.Block(np.arange(n), np.arange(n), x, 64), [], 0
+        for q, (ids, _) in enumerate(block.search(x[:60], list(range(60)), 20, 0.7, 0.3, 1.33, 1.06)):
+            scores = x @ x[q]
+            scores[q] = -9
+            found.append(len(set(ids) & set(np.argsort(-scores)[:20].tolist())) / 20)
+        for _, scores in block.search(x[:5], list(range(5)), n, 0.7, 0.3, 1.33, 1.06):
+            seen += len(scores)
+        assert np.mean(found) >= 0.95 and min(found) >= 0.8 and seen / 5 >= 20
