@@ -469,11 +469,9 @@ def test_recall_of_blocks_that_are_not_verified_whole():
     for n in (2000, 8192):
         x = rng.standard_normal((n, 64))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        block, found, seen = nearest.Block(np.arange(n), np.arange(n), x, 64), [], 0
+        block, found = nearest.Block(np.arange(n), np.arange(n), x, 64), []
         for q, (ids, _) in enumerate(block.search(x[:60], list(range(60)), 20, 0.7, 0.3, 1.33, 1.06)):
             scores = x @ x[q]
             scores[q] = -9
             found.append(len(set(ids) & set(np.argsort(-scores)[:20].tolist())) / 20)
-        for _, scores in block.search(x[:5], list(range(5)), n, 0.7, 0.3, 1.33, 1.06):
-            seen += len(scores)
-        assert np.mean(found) >= 0.95 and min(found) >= 0.8 and seen / 5 >= 20
+        assert np.mean(found) >= 0.95 and min(found) >= 0.8
