@@ -143,30 +143,42 @@ def wave_bearing(direction: Column, convention: str = "from") -> Column:
 
 # Regular grids
 
-def target_grid(mesh: DataFrame, n: int) -> DataFrame:
-    """source, gy, gx, lon, lat and kx: n x n points over the extent of each source; kx shrinks longitudes to the
-    scale of latitudes."""
-    box = mesh.groupBy("source").agg(F.min("lon").alias("lon0"), F.max("lon").alias("lon1"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"))
+def mesh_boxes(mesh: DataFrame) -> DataFrame:
+    """source, lon0, lon1, lat0, lat1."""
+    return mesh.groupBy("source").agg(F.min("lon").alias("lon0"), F.max("lon").alias("lon1"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"))
+
+
+def clipped_boxes(mesh: DataFrame, asked: tuple[float, float, float, float]) -> DataFrame:
+    """``mesh_boxes`` within ``asked`` (lon0, lon1, lat0, lat1); a source that has no part in it is an error."""
+    part = clip_extent(F.col("lon0"), F.col("lon1"), F.col("lat0"), F.col("lat1"), asked)
+    held = F.when(part.isNotNull(), part).otherwise(F.raise_error(F.lit(f"nothing lies within {asked}")).cast("struct<lon_min: double, lon_max: double, lat_min: double, lat_max: double>"))
+    return mesh_boxes(mesh).select("source", held.alias("e")).select("source", *(F.col(f"e.{a}").alias(b) for a, b in (("lon_min", "lon0"), ("lon_max", "lon1"), ("lat_min", "lat0"), ("lat_max", "lat1"))))
+
+
+def target_grid(mesh: DataFrame, n: int, box: DataFrame | None = None) -> DataFrame:
+    """source, gy, gx, lon, lat and kx: n x n points over the extent of each source, or its ``box``; kx shrinks longitudes
+    to the scale of latitudes."""
+    box = mesh_boxes(mesh) if box is None else box
     axis = lambda: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     at = lambda a, b, g: F.col(a) + (F.col(b) - F.col(a)) * F.col(g) / (n - 1)
     grid = box.withColumn("gy", axis()).withColumn("gx", axis())
     return grid.select("source", "gy", "gx", at("lon0", "lon1", "gx").alias("lon"), at("lat0", "lat1", "gy").alias("lat"), F.cos(F.radians((F.col("lat0") + F.col("lat1")) / 2)).alias("kx"))
 
 
-def nearest_weights(targets: DataFrame, mesh: DataFrame, step: float, scale: float = 1.0) -> DataFrame:
+def nearest_weights(targets: DataFrame, mesh: DataFrame, step: float | None = None, scale: float = 1.0) -> DataFrame:
     """source, gy, gx, cell: the mesh cell nearest to each target, longitudes times ``scale``."""
     found = nearest(targets, mesh.select("source", "cell", "iy", "ix", "lon", "lat"), ["gy", "gx"], ["source"], ["iy", "ix"], step, scale)
     return found.select("source", "gy", "gx", F.col("cell.cell").alias("cell"))
 
 
-def linear_weights(mesh: DataFrame, n: int) -> DataFrame:
+def linear_weights(mesh: DataFrame, n: int, box: DataFrame | None = None) -> DataFrame:
     """source, gy, gx, cell, w: weights of the three corners of the triangle that each point of the n x n target grid
-    lies in; points outside all have none.
+    (of ``box``, if given) lies in; points outside all have none.
 
     Each quad of neighbouring cells is cut in two along one diagonal. A triangle goes straight to the targets
     of its box, as the grid is regular; a target on an edge takes the first triangle.
     """
-    box = mesh.groupBy("source").agg(F.min("lon").alias("lon0"), F.max("lon").alias("lon1"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"))
+    box = mesh_boxes(mesh) if box is None else box
     corner = F.struct("cell", "lon", "lat")
     own = mesh.where("lon IS NOT NULL AND lat IS NOT NULL").select("source", "iy", "ix", corner.alias("c"))
     shifted = lambda dy, dx, name: own.select("source", (F.col("iy") - dy).alias("iy"), (F.col("ix") - dx).alias("ix"), F.col("c").alias(name))
@@ -201,6 +213,89 @@ def resample(fields: DataFrame, key: list[str], weights: DataFrame, near: DataFr
     return values.join(gate, [*key, "source", "gy", "gx"], "left_semi")
 
 
+def in_metres(mesh: DataFrame) -> DataFrame:
+    """``mesh`` with x and y in place of lon and lat, so that grids and weights are in metres."""
+    return mesh.withColumns({"lon": F.col("x"), "lat": F.col("y")})
+
+
+def currents(fields: DataFrame, mesh: DataFrame, key: list[str], n: int, bounds: tuple[float, float, float, float] | None = None, least: float = 1e-6) -> DataFrame:
+    """``key``, source, gy, gx, x, y, u, v, speed, bearing on n x n points in metres over the mesh, or over its part within
+    ``bounds`` (x0, x1, y0, y1; an error if there is none).
+
+    ``fields``: key, source, cell, u, v, wet. Both components are interpolated in the triangle that holds a
+    point; a point whose nearest cell is dry, or outside the mesh, has no row. Speeds under ``least`` are null, as is their
+    bearing. Weights belong to the mesh: they are found once and joined to all layers.
+    """
+    flat = in_metres(mesh)
+    box = clipped_boxes(flat, bounds) if bounds else mesh_boxes(flat)
+    targets, weights = target_grid(flat, n, box), linear_weights(flat, n, box)
+    near = nearest_weights(targets, flat)
+    at = ["source", "gy", "gx"]
+    mixed = lambda c: F.sum(F.col("w") * F.coalesce(c, F.lit(0.0))).alias(c)
+    values = fields.join(weights, ["source", "cell"]).groupBy(*key, *at).agg(mixed("u"), mixed("v"))
+    gate = fields.where("wet").join(near, ["source", "cell"]).select(*key, *at)
+    out = values.join(gate, [*key, *at], "left_semi").join(targets.select(*at, F.col("lon").alias("x"), F.col("lat").alias("y")), at)
+    moves = F.hypot("u", "v") >= least
+    return out.select(*key, *at, "x", "y", "u", "v", F.when(moves, F.hypot("u", "v")).alias("speed"), F.when(moves, geo.bearing(F.col("u"), F.col("v"))).alias("bearing"))
+
+
+def current_map(fields: DataFrame, mesh: DataFrame, key: list[str], n: int, arrows: int, bounds: tuple[float, float, float, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(speeds on n x n points, arrows on a grid of their own of ``arrows`` x ``arrows`` points, where it moves); see ``currents``."""
+    moving = currents(fields, mesh, key, arrows, bounds).where("speed IS NOT NULL")
+    return currents(fields, mesh, key, n, bounds).drop("u", "v", "bearing"), moving.select(*key, "source", "gy", "gx", "x", "y", F.pmod(F.round("bearing", 2), F.lit(360.0)).alias("bearing"), F.round("speed", 5).alias("speed"))
+
+
+def map_layer(fields: DataFrame, mesh: DataFrame, key: list[str], n: int, sigma: float = 0.0, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(``key``, source, gy, gx, z of each layer; its ``layer_stats`` with the frame of its image): values interpolated, dry
+    ones left out, smoothed."""
+    targets = target_grid(mesh, n)
+    z = resample(fields, key, linear_weights(mesh, n), nearest_weights(targets, mesh, None, scale))
+    z = smooth(z, [*key, "source"], n, n, sigma)
+    frame = image_bounds(*map(F.col, ("lon0", "lon1", "lat0", "lat1")), n).alias("frame")
+    return z, layer_stats(z, [*key, "source"]).join(mesh_boxes(mesh).select("source", frame), "source")
+
+
+DIMENSIONS = ("time", "layer", "constituent")
+
+
+def write_model_cells(cells: DataFrame, path: str) -> None:
+    """Cells (key, name, time, layer, constituent, cell, value) by time, layer and constituent; a dimension that a variable
+    lacks is 0."""
+    cells.repartition(*DIMENSIONS).write.mode("overwrite").partitionBy(*DIMENSIONS).parquet(path)
+
+
+def dimension_sizes(cells: DataFrame) -> DataFrame:
+    """key, name, n_time, n_layer, n_constituent."""
+    return cells.groupBy("key", "name").agg(*((F.max(c) + 1).alias(f"n_{c}") for c in DIMENSIONS))
+
+
+def hyperslab(cells: DataFrame, sizes: DataFrame, asked: DataFrame) -> DataFrame:
+    """The cells of each slab of ``asked`` (key, name, time, layer, constituent, other columns): indices count from the end
+    if negative and are held within the ``sizes`` of the variable; an empty dimension is an error. A null index is 0.
+
+    The indices are joined to the columns that the table is partitioned by, so that only the folders of asked
+    slabs are read.
+    """
+    held = asked.join(sizes, ["key", "name"])
+    held = held.withColumns({c: clamped_index(F.coalesce(c, F.lit(0)), F.col(f"n_{c}")).cast("int") for c in DIMENSIONS}).drop(*(f"n_{c}" for c in DIMENSIONS))
+    return cells.withColumns({c: F.col(c).cast("int") for c in DIMENSIONS}).join(held, ["key", "name", *DIMENSIONS])
+
+
+def read_field(cells: DataFrame, mesh: DataFrame, variables: DataFrame, asked: DataFrame, n: int | None = None, policy: str = "auto") -> DataFrame:
+    """One field of each run as a map: the preferred variable of a run (``variables``: file as the key, name, long_name, on_coords),
+    its slab at the indices of ``asked`` (key, time, layer, constituent), zeros that mean no value as nulls, with
+    the coordinates of its cells, or with ``n`` on n x n points over the mesh. Nulls have no row on the grid."""
+    from ..functions.parse import field_rank
+
+    chosen = preferred_field(variables, field_rank(F.col("name"), F.col("long_name"))).withColumnRenamed("file", "key")
+    slab = hyperslab(cells, dimension_sizes(cells), asked.join(chosen, "key"))
+    slab = slab.withColumn("value", mask_zero(F.col("value"), F.col("name"), policy))
+    if n is None:
+        return slab.join(mesh.select("source", "cell", "lon", "lat"), ["source", "cell"])
+    known, key = slab.where("value IS NOT NULL").withColumn("wet", F.lit(True)), ["key", "name", *DIMENSIONS]
+    return resample(known, key, linear_weights(mesh, n), nearest_weights(target_grid(mesh, n), mesh))
+
+
 def gaussian(sigma: float) -> list[tuple[int, float]]:
     """Offsets and weights of the kernel, cut at four sigma."""
     r = int(4 * sigma + 0.5)
@@ -232,9 +327,11 @@ def smooth(df: DataFrame, key: list[str], ny: int, nx: int, sigma: float = 2.0)
 
 
 def layer_stats(grid: DataFrame, key: list[str], vmin: float | None = None, vmax: float | None = None) -> DataFrame:
-    """zmin, zmax, p99, n_valid and the colour bounds of each layer: 0 or ``vmin`` up to ``vmax``, else the 99th
-    percentile, else (if that is 0 or none) the maximum, else 1; never an empty range."""
-    s = grid.groupBy(*key).agg(F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.percentile("z", F.lit(0.99)).alias("p99"), F.count("z").alias("n_valid"))
+    """zmin, zmax, p99, n_valid, n_wet (of a column ``wet``, if there is one) and the colour bounds of each layer: 0 or ``vmin``
+    up to ``vmax``, else the 99th percentile, else (if that is 0 or none) the maximum, else 1; never an empty range. The
+    percentile's buffer holds one layer grid; ``series.quantiles`` is for groups without a bound."""
+    wet = [F.count_if("wet").alias("n_wet")] if "wet" in grid.columns else []
+    s = grid.groupBy(*key).agg(*wet, F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.percentile("z", F.lit(0.99)).alias("p99"), F.count("z").alias("n_valid"))
     lo = F.lit(0.0 if vmin is None else float(vmin))
     hi = F.lit(float(vmax)) if vmax is not None else F.coalesce(F.nullif("p99", F.lit(0.0)), "zmax", F.lit(1.0))
     return s.withColumn("vmin", lo).withColumn("vmax", F.when(hi <= lo, lo + 1e-6).otherwise(hi))

@@ -425,10 +425,72 @@ def layer_nearest(spark, d):
     return table(spark, d, "flow").join(near, ["source", "cell"]).select("key", "layer", "gy", "gx", r6("value"), "wet")
 
 
-@query()
+def _linear(x: str, y: str, n: int, scale: float) -> str:
+    """SQL: grid g over the extent of x and y, the nearest cell k, and weights wt of the first of all triangles that holds a point."""
+    corner = lambda t, c: f"{t}.cell AS c{c}, {t}.{x} AS x{c}, {t}.{y} AS y{c}"
+    quad = "mesh a JOIN mesh b ON b.iy = a.iy AND b.ix = a.ix + 1 JOIN mesh c ON c.iy = a.iy + 1 AND c.ix = a.ix"
+    return f"""b AS (SELECT min({x}) AS x0, max({x}) AS x1, min({y}) AS y0, max({y}) AS y1 FROM mesh), g AS (SELECT CAST(v.v AS INT) AS gy, CAST(h.v AS INT) AS gx, x0 + (x1 - x0) * h.v / {n - 1} AS x, y0 + (y1 - y0) * v.v / {n - 1} AS y FROM b CROSS JOIN (SELECT unnest(range({n})) AS v) v CROSS JOIN (SELECT unnest(range({n})) AS v) h),
+k AS (SELECT gy, gx, cell FROM (SELECT g.gy, g.gx, m.cell, row_number() OVER (PARTITION BY g.gy, g.gx ORDER BY pow((m.{x} - g.x) * {scale!r}, 2) + pow(m.{y} - g.y, 2), m.iy, m.ix) AS n FROM g CROSS JOIN mesh m) WHERE n = 1),
+tri AS (SELECT a.iy, a.ix, 0 AS half, {corner("a", "p")}, {corner("b", "q")}, {corner("c", "r")} FROM {quad} UNION ALL SELECT a.iy, a.ix, 1, {corner("f", "p")}, {corner("b", "q")}, {corner("c", "r")} FROM {quad} JOIN mesh f ON f.iy = a.iy + 1 AND f.ix = a.ix + 1),
+bar AS (SELECT gy, gx, iy, ix, half, cp, cq, cr, ((yq - yr) * (x - xr) + (xr - xq) * (y - yr)) / area AS wp, ((yr - yp) * (x - xr) + (xp - xr) * (y - yr)) / area AS wq FROM g CROSS JOIN (SELECT *, (yq - yr) * (xp - xr) + (xr - xq) * (yp - yr) AS area FROM tri)),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gy, gx ORDER BY iy, ix, half) AS n FROM bar WHERE wp >= -1e-9 AND wq >= -1e-9 AND 1 - wp - wq >= -1e-9) WHERE n = 1),
+wt AS (SELECT gy, gx, cp AS cell, wp AS w FROM first UNION ALL SELECT gy, gx, cq, wq FROM first UNION ALL SELECT gy, gx, cr, 1 - wp - wq FROM first) """
+
+
+_SMOOTHED = """z AS (SELECT f.key, f.layer, t.gy, t.gx, sum(t.w * coalesce(f.value, 0)) AS z FROM flow f JOIN wt t ON t.cell = f.cell WHERE EXISTS (SELECT 1 FROM flow e JOIN k ON k.cell = e.cell WHERE e.wet AND e.key = f.key AND e.layer = f.layer AND k.gy = t.gy AND k.gx = t.gx) GROUP BY ALL)"""
+
+
+@query("WITH " + _linear("lon", "lat", N, COS) + ", " + _SMOOTHED + " SELECT key, layer, gy, gx, round(z, 6) + 0e0 AS z FROM z")
 def layer_linear(spark, d):
     mesh, _, near = _near(spark, d)
-    return fields.resample(table(spark, d, "flow"), ["key", "layer"], fields.linear_weights(mesh, N), near).select("key", "layer", "gy", "gx", r6("z"))
+    return fields.resample(table(spark, d, "flow"), ["key", "layer"], fields.linear_weights(mesh, N), near).select("key", "layer", "gy", "gx", (F.round("z", 6) + 0.0).alias("z"))
+
+
+def _current_sql(n: int) -> str:
+    return "WITH " + _linear("x", "y", n, 1.0) + """, c AS (SELECT f.key, f.layer, t.gy, t.gx, sum(t.w * f.u) AS u, sum(t.w * f.v) AS v FROM flow f JOIN wt t ON t.cell = f.cell WHERE EXISTS (SELECT 1 FROM flow e JOIN k ON k.cell = e.cell WHERE e.wet AND e.key = f.key AND e.layer = f.layer AND k.gy = t.gy AND k.gx = t.gx) GROUP BY ALL),
+s AS (SELECT c.*, g.x, g.y, sqrt(u * u + v * v) AS speed FROM c JOIN g ON g.gy = c.gy AND g.gx = c.gx) """
+
+
+@query(_current_sql(N) + "SELECT key, layer, gy, gx, round(x, 3) + 0e0 AS x, round(y, 3) + 0e0 AS y, CASE WHEN speed >= 1e-6 THEN round(speed, 6) END AS speed FROM s")
+def current_map(spark, d):
+    speeds, _ = fields.current_map(table(spark, d, "flow"), table(spark, d, "mesh"), ["key", "layer"], N, 9)
+    return speeds.select("key", "layer", "gy", "gx", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"), r6("speed"))
+
+
+@query(_current_sql(9) + "SELECT key, layer, gy, gx, round(((degrees(atan2(u, v)) % 360) + 360) % 360, 2) % 360 AS bearing, round(speed, 5) AS speed FROM s WHERE speed >= 1e-6")
+def current_arrows(spark, d):
+    _, arrows = fields.current_map(table(spark, d, "flow"), table(spark, d, "mesh"), ["key", "layer"], N, 9)
+    return arrows.select("key", "layer", "gy", "gx", "bearing", "speed")
+
+
+_SLAB = """n AS (SELECT key, name, max(time) + 1 AS nt, max(layer) + 1 AS nl, max(constituent) + 1 AS nc FROM model_cells GROUP BY ALL), i AS (SELECT unnest([-9, -1, 0, 2, 99]) AS i),
+a AS (SELECT n.key, n.name, i.i AS asked, greatest(least(CASE WHEN i < 0 THEN i + nt ELSE i END, nt - 1), 0) AS t, nl - 1 AS l, greatest(least(i * i, nc - 1), 0) AS c FROM n CROSS JOIN i) """
+
+
+def _model_cells(spark: SparkSession, d: str) -> DataFrame:
+    folder, cells = shared_folder(spark, "model"), table(spark, d, "model_cells").withColumns({c: F.col(c).cast("int") for c in fields.DIMENSIONS})
+    fields.write_model_cells(cells, folder)
+    return spark.read.schema(cells.schema).parquet(folder)
+
+
+@query("WITH " + _SLAB + "SELECT a.key, a.name, a.asked, CAST(a.t AS INT) AS time, CAST(a.l AS INT) AS layer, CAST(a.c AS INT) AS constituent, m.cell, round(m.value, 6) AS value FROM a JOIN model_cells m ON m.key = a.key AND m.name = a.name AND m.time = a.t AND m.layer = a.l AND m.constituent = a.c")
+def hyperslab(spark, d):
+    cells = _model_cells(spark, d)
+    sizes = fields.dimension_sizes(cells)
+    index = F.explode(F.array(*map(F.lit, (-9, -1, 0, 2, 99)))).alias("asked")
+    asked = sizes.select("key", "name", index).select("key", "name", "asked", F.col("asked").alias("time"), F.lit(-1).alias("layer"), (F.col("asked") * F.col("asked")).alias("constituent"))
+    return fields.hyperslab(cells, sizes, asked).select("key", "name", "asked", *fields.DIMENSIONS, "cell", r6("value"))
+
+
+@query("""WITH n AS (SELECT key, name, max(time) + 1 AS nt, max(layer) + 1 AS nl, max(constituent) + 1 AS nc FROM model_cells GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE name WHEN 'S1' THEN 3 ELSE 12 END) AS r FROM n WHERE key % 2 = 0 OR name = 'U1')
+SELECT m.key, m.name, m.cell, round(g.lon, 6) AS lon, round(g.lat, 6) AS lat, CASE WHEN m.name = 'U1' AND m.value = 0 THEN NULL ELSE round(m.value, 6) END AS value FROM p JOIN model_cells m ON m.key = p.key AND m.name = p.name AND m.time = p.nt - 1 AND m.layer = least(1, p.nl - 1) AND m.constituent = 0 JOIN mesh g ON g.cell = m.cell WHERE p.r = 1""")
+def read_field(spark, d):
+    """The last time of the second layer of each run; runs with an odd key lack the preferred variable."""
+    cells = _model_cells(spark, d)
+    cells = cells.where("key % 2 = 0 OR name = 'U1'")
+    variables = cells.select(F.col("key").alias("file"), "name", F.lit("").alias("long_name"), F.lit(True).alias("on_coords")).distinct()
+    asked = cells.select("key").distinct().select("key", F.lit(-1).alias("time"), F.lit(1).alias("layer"), F.lit(None).cast("int").alias("constituent"))
+    return fields.read_field(cells, table(spark, d, "mesh"), variables, asked).select("key", "name", "cell", r6("lon"), r6("lat"), r6("value"))
 
 
 def _layers(spark: SparkSession, d: str) -> DataFrame:
@@ -450,6 +512,19 @@ def smooth_field(spark, d):
     return fields.smooth(_layers(spark, d), ["key", "layer"], N, N, 1.0).select("key", "layer", "gy", "gx", r6("z"))
 
 
+_SMOOTH = f"""{_KERNEL}, t AS (SELECT DISTINCT key, layer, gy FROM z), c AS (SELECT unnest(range({N})) AS gx), r AS (SELECT DISTINCT key, layer FROM z), cy AS (SELECT unnest(range({N})) AS gy),
+x AS (SELECT t.key, t.layer, t.gy, c.gx, sum(o.w * z.z) AS num, sum(o.w) AS den FROM t CROSS JOIN c CROSS JOIN o JOIN z ON z.key = t.key AND z.layer = t.layer AND z.gy = t.gy AND z.gx = {_BACK.format("(c.gx + o.o)", N)} GROUP BY ALL),
+y AS (SELECT r.key, r.layer, cy.gy, x.gx, sum(o.w * x.num) AS num, sum(o.w * x.den) AS den FROM r CROSS JOIN cy CROSS JOIN o JOIN x ON x.key = r.key AND x.layer = r.layer AND x.gy = {_BACK.format("(cy.gy + o.o)", N)} GROUP BY ALL),
+m AS (SELECT z.key, z.layer, z.gy, z.gx, y.num / y.den AS z FROM z JOIN y ON y.key = z.key AND y.layer = z.layer AND y.gy = z.gy AND y.gx = z.gx)"""
+
+
+@query("WITH " + _linear("lon", "lat", N, COS) + ", " + _SMOOTHED + ", " + _SMOOTH + """ SELECT key, layer, count(*) AS n_valid, round(min(z), 6) + 0e0 AS zmin, round(max(z), 6) AS zmax, round(quantile_cont(z, 0.99), 6) AS p99, round(sum(z), 4) AS total, CAST(sum(gy * 20 + gx) AS BIGINT) AS places FROM m GROUP BY key, layer""")
+def map_layer(spark, d):
+    z, stats = fields.map_layer(table(spark, d, "flow"), table(spark, d, "mesh"), ["key", "layer"], N, 1.0, COS)
+    sums = z.groupBy("key", "layer").agg(F.round(F.sum("z"), 4).alias("total"), F.sum(F.col("gy") * N + F.col("gx")).cast("long").alias("places"))
+    return stats.join(sums, ["key", "layer"]).select("key", "layer", "n_valid", (F.round("zmin", 6) + 0.0).alias("zmin"), r6("zmax"), r6("p99"), "total", "places")
+
+
 @query(_LAYER + ", s AS (SELECT key, layer, min(z) AS a, max(z) AS b, quantile_cont(z, 0.99) AS p, count(z) AS n FROM z GROUP BY key, layer) SELECT key, layer, round(a, 6) AS zmin, round(b, 6) AS zmax, round(p, 6) AS p99, n AS n_valid, 0e0 AS vmin, round(CASE WHEN p <> 0 THEN p ELSE b END, 6) AS vmax FROM s")
 def layer_colour_bounds(spark, d):
     s = fields.layer_stats(_layers(spark, d), ["key", "layer"])

@@ -55,6 +55,8 @@ BINDINGS = {
         CASE WHEN l_linenumber = 5 THEN 999.999e0 ELSE l_suppkey * 1e0 END AS y FROM {lineitem}""",
     "mesh": """SELECT 'flow' AS source, y.v * 24 + x.v AS cell, y.v AS iy, x.v AS ix, 137e0 + (x.v * 0.94e0 - y.v * 0.34e0) * 0.01e0 AS lon, -29e0 + (x.v * 0.34e0 + y.v * 0.94e0) * 0.01e0 AS lat, (x.v * 0.94e0 - y.v * 0.34e0) * 1000e0 AS x, (x.v * 0.34e0 + y.v * 0.94e0) * 1000e0 AS y FROM {grid} y CROSS JOIN {grid} x""",
     "flow": """SELECT 'flow' AS source, CAST(floor(l_orderkey / 3000e0) AS BIGINT) AS key, l_linenumber % 3 AS layer, (l_partkey % 24) * 24 + (l_suppkey * 7 + l_linenumber * 5 + l_orderkey) % 24 AS cell, max(l_discount) * 10e0 - 0.5e0 AS u, max(l_tax) * 10e0 - 0.4e0 AS v, max(l_quantity) * 0.1e0 AS value, min(l_quantity) > 3 AS wet FROM {lineitem} GROUP BY 1, 2, 3, 4""",
+    "model_cells": """SELECT 'flow' AS source, CAST(floor(l_orderkey / 6000e0) AS BIGINT) AS key, CASE WHEN l_partkey % 2 = 0 THEN 'S1' ELSE 'U1' END AS name, l_linenumber % 4 AS time, l_quantity % 3 AS layer, CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE l_suppkey % 2 END AS constituent,
+        (l_partkey % 24) * 24 + (l_suppkey * 7 + l_orderkey) % 24 AS cell, min(l_discount) * 10e0 - 0.3e0 AS value FROM {lineitem} GROUP BY 1, 2, 3, 4, 5, 6, 7""",
     "stops": """SELECT s_suppkey AS id, 136.95e0 + (s_suppkey % 31) * 0.01e0 AS lon, -29.05e0 + (s_suppkey % 37) * 0.01e0 AS lat FROM {supplier}""",
     "asked": """SELECT CASE WHEN o_orderkey % 211 = 0 THEN NULL ELSE 1700000000 + (o_orderkey % 1500) * 1800 + 600 END AS moment FROM {orders}""",
     "points": """SELECT c_custkey AS id, 136e0 + (c_custkey % 400) * 0.01e0 AS lon, -29.5e0 + (c_custkey % 37) * 0.05e0 AS lat, CASE WHEN c_custkey % 400 < 200 THEN 53 ELSE 54 END AS zone FROM {customer}""",

@@ -374,3 +374,34 @@ def test_runs_without_problems_are_left_out(spark):
 def test_tables_of_bindings_are_whole(spark):
     for name, own in (("places", "supplier"), ("paths", "part"), ("feed", "events")):
         assert table(spark, SF, name).count() == spark.read.parquet(f"{SF}/{own}.parquet").count()
+
+
+def test_currents_within_bounds(spark):
+    mesh = spark.range(400).selectExpr("'flow' AS source", "id AS cell", "CAST(id / 20 AS INT) AS iy", "CAST(id % 20 AS INT) AS ix", "0.0 AS lon", "0.0 AS lat", "CAST(id % 20 AS INT) * 100.0D AS x", "CAST(id / 20 AS INT) * 100.0D AS y")
+    flow = mesh.selectExpr("source", "1 AS key", "cell", "IF(ix < 10, 0.0D, 0.03D * iy) AS u", "IF(ix < 10, 0.0D, 0.04D * iy) AS v", "ix < 15 AS wet")
+    speeds, arrows = fields.current_map(flow, mesh, ["key"], 9, 5, (1000.0, 1800.0, 500.0, 5000.0))
+    rows = {(r.gy, r.gx): r for r in speeds.collect()}
+    assert {r.x for r in rows.values()} == {1000.0 + 100 * i for i in range(5)} and max(r.y for r in rows.values()) == 1900.0  # dry from x = 1500
+    assert all(r.speed == pytest.approx(0.05 * r.y / 100) for r in rows.values())
+    assert {(r.x, r.bearing) for r in arrows.collect()} == {(x, pytest.approx(36.87)) for x in (1000.0, 1200.0, 1400.0)}
+    still = fields.currents(flow.where("ix < 10"), mesh, ["key"], 9, (0.0, 500.0, 0.0, 500.0)).collect()
+    assert still and all(r.speed is None and r.bearing is None for r in still)
+    with pytest.raises(Exception, match="nothing lies within"):
+        fields.currents(flow, mesh, ["key"], 9, (9000.0, 9900.0, 0.0, 1.0)).collect()
+
+
+def test_slabs_read_their_folders_only(spark, tmp_path):
+    cells = spark.range(480).selectExpr("'flow' AS source", "id % 2 AS key", "'U1' AS name", "CAST(id % 6 AS INT) AS time", "CAST(id % 4 AS INT) AS layer", "0 AS constituent", "id AS cell", "CAST(id % 5 AS DOUBLE) AS value")
+    fields.write_model_cells(cells, str(tmp_path / "cells"))
+    held = spark.read.schema(cells.schema).parquet(str(tmp_path / "cells"))
+    asked = spark.createDataFrame([(0, "U1", -1, 99, None), (1, "U1", 0, -99, 5)], "key long, name string, time int, layer int, constituent int")
+    sizes = spark.createDataFrame([(0, "U1", 6, 4, 1), (1, "U1", 6, 4, 1)], "key long, name string, n_time int, n_layer int, n_constituent int")
+    slab = fields.hyperslab(held, sizes, asked)
+    assert "dynamicpruning" in slab._jdf.queryExecution().toString()
+    assert {(r.key, r.time, r.layer, r.constituent) for r in slab.collect()} <= {(0, 5, 3, 0), (1, 0, 0, 0)}
+    with pytest.raises(Exception, match="empty dimension"):
+        fields.hyperslab(held, sizes.withColumn("n_time", F.lit(0)), asked).collect()
+    mesh = spark.range(480).selectExpr("'flow' AS source", "id AS cell", "id * 1.0D AS lon", "id * 2.0D AS lat")
+    variables = spark.createDataFrame([(0, "U1", "", True), (0, "foo", "", True), (1, "U1", "", True)], "file long, name string, long_name string, on_coords boolean")
+    got = fields.read_field(held, mesh, variables, asked.select("key", F.lit(1).alias("time"), F.lit(1).alias("layer"), "constituent")).collect()
+    assert got and all(r.name == "U1" and r.lat == 2 * r.cell and (r.value is None) == (r.cell % 5 == 0) for r in got)
