@@ -273,14 +273,18 @@ def hyperslab(cells: DataFrame, sizes: DataFrame, asked: DataFrame, small: int =
     """The cells of each slab of ``asked`` (key, name, time, layer, constituent, other columns): indices count from the end
     if negative and are held within the ``sizes`` of the variable; an empty dimension is an error. A null index is 0.
 
-    The indices are joined to the columns that the table is partitioned by. Up to ``small`` asked slabs are broadcast, and then
-    only their folders are read.
+    The indices are joined to the columns that the table is partitioned by. If up to ``small`` slabs are asked for, only the
+    folders of their times, layers and constituents are read, and the slabs broadcast.
     """
     held = asked.join(sizes, ["key", "name"])
     held = held.withColumns({c: clamped_index(F.coalesce(c, F.lit(0)), F.col(f"n_{c}")).cast("int") for c in DIMENSIONS}).drop(*(f"n_{c}" for c in DIMENSIONS))
-    held = held.where(" AND ".join(f"{c} >= 0" for c in DIMENSIONS))  # always so; partitions are pruned by sides with a filter only
-    few = asked.limit(small + 1).count() <= small
-    return cells.withColumns({c: F.col(c).cast("int") for c in DIMENSIONS}).join(F.broadcast(held) if few else held, ["key", "name", *DIMENSIONS])
+    cells = cells.withColumns({c: F.col(c).cast("int") for c in DIMENSIONS})
+    if asked.limit(small + 1).count() > small:
+        return cells.join(held, ["key", "name", *DIMENSIONS])
+    wanted = held.agg(*(F.collect_set(c).alias(c) for c in DIMENSIONS)).first()  # of up to ``small`` slabs
+    for c in DIMENSIONS:
+        cells = cells.where(F.col(c).isin(wanted[c]))
+    return cells.join(F.broadcast(held), ["key", "name", *DIMENSIONS])
 
 
 def read_field(cells: DataFrame, mesh: DataFrame, variables: DataFrame, asked: DataFrame, n: int | None = None, policy: str = "auto") -> DataFrame:
