@@ -12,8 +12,9 @@ first, few others share it.
    its keys.
 3. Documents that share a gram of their prefixes form a bucket. Its members meet one centre first; once
    the links found so far are joined, only buckets that still span several components go on, with another
-   centre for as long as this halves what is left, then in pairs of blocks of bounded bytes. So no bucket is
-   cut short and the pairs within one are not emitted.
+   centre for as long as this halves what is left. Then small buckets name their pairs of different components, and
+   large ones are settled in pairs of blocks of bounded bytes: no bucket is cut short, and no large one emits
+   its pairs.
 4. A pair goes through the filters on keys, then the overlap of its keys; what is left is verified on the sets of
    words themselves, once, as both ends belong to one component then.
 """
@@ -40,6 +41,8 @@ _SETS = "node long, doc_id long, text_hash long, n_shingles long, cls binary, pr
 #: Keys are the octave of a gram's count (5 bits) before the upper 58 bits of its hash, so they sort rare-first. Two grams
 #: of one key only let more pairs through the filters.
 _OCTAVES, _CUT = 31, 6
+#: Members of a bucket whose pairs are named; larger ones are settled in blocks.
+SMALL = 32
 
 
 @lru_cache
@@ -223,6 +226,15 @@ def _settled(members: DataFrame, buckets: DataFrame, percent: int, width: int, b
         roots = joined(_filtered(stars, members, percent), roots)
         open_, rows, rest, pairs = _unsettled(spark, open_.where("node != hub").select("gram", "node", "weight"), roots)
         discard(done)
+    if not rows:
+        return roots
+    # A small bucket gives its pairs, so that long documents are not copied for each gram of their prefixes: under SMALL / 2 a row.
+    few, done = open_.where(F.col("members") <= SMALL).select("gram", "node", "root", "major"), open_
+    others = few.select("gram", F.col("node").alias("v"), F.col("root").alias("other"))
+    pairs = few.where("root != major").join(others, "gram").where("root != other").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
+    roots = joined(_filtered(pairs.distinct(), members, percent), roots)
+    open_, rows, rest, pairs = _unsettled(spark, done.where(F.col("members") > SMALL).select("gram", "node", "weight"), roots)
+    discard(done)
     if not rows:
         return roots
     held = open_.join(members.select("node", "n", "keys"), "node")

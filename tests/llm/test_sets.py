@@ -63,10 +63,11 @@ def test_ngram_join_on_odd_rows(docs, empty, width, percent):
     assert ngram_join.ngram_join(empty).collect() == []
 
 
-@pytest.mark.parametrize(("width", "percent", "block_bytes"), [(3, 90, 4 << 20), (2, 60, 2_000), (3, 80, 400)])
-def test_ngram_join_equals_brute_force(spark, width, percent, block_bytes):
+@pytest.mark.parametrize(("width", "percent", "block_bytes", "small"), [(3, 90, 4 << 20, 32), (2, 60, 2_000, 2), (3, 80, 400, 0)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, width, percent, block_bytes, small):
     """Families of near copies, texts of common passages that are not similar, and small vocabularies, so that buckets are
     large and blocks are met."""
+    monkeypatch.setattr(ngram_join, "SMALL", small)
     rng = np.random.default_rng(width)
     passages = [[f"p{k}-{i}" for i in range(12)] for k in range(8)]
     texts = []
