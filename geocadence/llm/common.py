@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOCAL: list[str] = []
@@ -49,6 +50,17 @@ def discard(*frames: DataFrame) -> None:
             fs.delete_dir(place)
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """The columns of these names, whatever is in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def numbered(schema: T.StructType) -> tuple[list[str], T.StructType]:
+    """Plain names for columns of any name, and the schema with them."""
+    names = [f"c{i}" for i in range(len(schema))]
+    return names, T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, schema, strict=True)])
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """``names``, each with as many underscores behind it as make it differ from all ``columns``."""
     taken, out = {c.lower() for c in columns}, []

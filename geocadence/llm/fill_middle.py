@@ -16,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import small_batches, unused
+from .common import numbered, small_batches, unused
 
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 _WORD = np.ones(256, bool)
@@ -100,12 +99,6 @@ def _undo(batches: Iterator[pa.RecordBatch], output: str, form: str) -> Iterator
         yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "restored"])
 
 
-def _numbered(schema: T.StructType) -> tuple[list[str], T.StructType]:
-    """Plain names for columns of any name, and the schema with them."""
-    names = [f"c{i}" for i in range(len(schema))]
-    return names, T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, schema, strict=True)])
-
-
 def _draw(digest: Column, i: int) -> Column:
     return F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long")
 
@@ -125,7 +118,7 @@ def transform(docs: DataFrame, seed: int = 42, percent: int = 50, spm_percent: i
     keyed = docs.withColumn(d, F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"), 256))
     kind = F.when(F.coalesce(_draw(F.col(d), 2) % 100 >= percent, F.lit(True)), "plain").when(_draw(F.col(d), 3) % 100 < spm_percent, "spm").otherwise("psm")
     keyed = keyed.withColumn(form, kind).withColumn(one, _draw(F.col(d), 0)).withColumn(two, _draw(F.col(d), 1)).drop(d)
-    names, schema = _numbered(docs.schema)
+    names, schema = numbered(docs.schema)
     for name, t in zip(("units", "form", "prefix", "middle", "out"), ("long", "string", "long", "long", "string"), strict=True):
         schema.add(name, t)
     how = partial(_transform, text=names[columns.index("text")], kind="kind", draws=("one", "two"))
@@ -134,6 +127,6 @@ def transform(docs: DataFrame, seed: int = 42, percent: int = 50, spm_percent: i
 
 def restore(transformed: DataFrame, output: str = "fim_text", form: str = "fim_form", restored: str = "fim_restored") -> DataFrame:
     """``transformed`` with the exact text rebuilt from ``output`` and ``form`` alone."""
-    names, schema = _numbered(transformed.schema)
+    names, schema = numbered(transformed.schema)
     how = partial(_undo, output=names[transformed.columns.index(output)], form=names[transformed.columns.index(form)])
     return transformed.toDF(*names).mapInArrow(how, schema.add("restored", "string")).toDF(*transformed.columns, restored)

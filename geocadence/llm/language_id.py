@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, remainder, small_batches, staged
+from .common import discard, numbered, remainder, small_batches, staged
 
 #: Buckets of the lexicon and of n-gram weights, words that forward-backward takes in one stretch, and
 #: letters of an item: a longer run of letters is several items of the chain, one after the other.
@@ -293,10 +293,10 @@ def _predict(batches: Iterator[pa.RecordBatch], field: Field | None) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, found)], [x.split()[0] for x in _OUT.split(", ")])
 
 
-def _accepted(batches: Iterator[pa.RecordBatch], field: Field | None, least: float) -> Iterator[pa.RecordBatch]:
+def _accepted(batches: Iterator[pa.RecordBatch], field: Field | None, least: float, text: str) -> Iterator[pa.RecordBatch]:
     field = Field(field.langs, field.lexicon, field.flat) if field else None
-    for batch in small_batches(batches, "text", 2 << 20):
-        pred, score, _, _ = _predicted(batch.column("text"), field)
+    for batch in small_batches(batches, text, 2 << 20):
+        pred, score, _, _ = _predicted(batch.column(text), field)
         yield batch.filter(pa.array((np.array(pred) != "und") & (score >= least)))
 
 
@@ -341,4 +341,6 @@ def accepted(docs: DataFrame, least: float = 0.5, folds: int = 5, held: int = 0,
     each judged. Columns may have any names; an empty table gives no rows.
     """
     field = train(docs.where(remainder(F.col("doc_id"), folds) != held), **fit)
-    return docs.mapInArrow(partial(_accepted, field=field, least=least), docs.schema)
+    names, schema = numbered(docs.schema)
+    how = partial(_accepted, field=field, least=least, text=names[docs.columns.index("text")])
+    return docs.toDF(*names).mapInArrow(how, schema).toDF(*docs.columns)

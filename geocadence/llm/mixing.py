@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, spread_join, staged, unused
+from .common import discard, quoted, spread_join, staged, unused
 
 #: Exponents that one pass over the sources tries, and passes of a search: 64^6 steps of the interval.
 TRIED, PASSES = 64, 6
@@ -134,4 +134,4 @@ def mix_sources(docs: DataFrame, target: float = 0.97, most: float = 2.0, budget
     taken = taken.withColumn(repetition, F.explode(F.sequence(F.lit(0), F.col(kept) - 1)))
     reach = F.greatest(of["_full"] + of["_room"] / F.greatest(of["_tokens"], F.lit(1)), F.lit(1e-9))
     spot = (F.col(repetition) + order_of(F.col(s), F.col(repetition), F.col(block)) / F.lit(_SPAN)) / reach
-    return taken.select(*docs.columns, repetition, block, F.least(F.lit(1.0), spot).alias(position), words.alias(n_tokens))
+    return taken.select(*quoted(docs.columns), repetition, block, F.least(F.lit(1.0), spot).alias(position), words.alias(n_tokens))

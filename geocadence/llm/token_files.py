@@ -16,11 +16,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_fs, shards, small_batches, staged
+from .common import discard, shared_fs, shards, small_batches, staged
 from .encode import encoder, vocabulary
 
 _PLACED = "doc_id long, shard int, file string, ordinal long, start_in_shard long, n_tokens long, offset long, size int"
@@ -42,15 +42,18 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, s
     """(a zstandard dictionary fitted on the ids of ``sample`` whole documents of up to ``longest`` characters,
     bytes of all texts).
 
-    The sample takes the smallest hashes of the text, so it is the same at every run. Too few documents
+    The sample takes the texts with the smallest hashes, each once, so it is the same at every run. Too few documents
     for training give a plain content dictionary, no documents an empty one.
     """
     import zstandard
 
-    seen = Observation()
-    picked = docs.observe(seen, F.sum(F.octet_length("text")).alias("bytes")).where(F.length("text") <= longest).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample).select("text")
+    slim = staged(docs.sparkSession, docs.select(F.xxhash64("text").alias("h"), F.octet_length("text").alias("bytes"), (F.length("text") <= longest).alias("short")), "token-sizes")
+    smallest = slim.where("short").select("h").distinct().orderBy("h").limit(sample)  # copies count once
+    held = docs.where(F.length("text") <= longest).select("text", F.xxhash64("text").alias("h"))
+    picked = held.join(F.broadcast(smallest), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").select("text")  # of ``sample`` rows
     samples = [bytes(r.ids) for r in picked.mapInArrow(partial(_samples, tokenizer=tokenizer, end_id=end_id, width=width), "ids binary").collect()]
-    whole, plain = seen.get["bytes"] or 0, b"".join(samples)[-size:]
+    whole, plain = slim.agg(F.sum("bytes")).first()[0] or 0, b"".join(samples)[-size:]
+    discard(slim)
     if sum(map(len, samples)) < 100 * 256:
         return plain, whole
     try:

@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from geocadence.llm import common, components, encode, exact_dedup, language_id, language_model, licenses, mixing, near_dedup, nearest, packing, token_files, toxicity
@@ -65,6 +66,17 @@ def test_token_files_round_trip(spark, docs, empty):
     assert token_files.read_token_files(spark, store).count() == 0
 
 
+def test_dictionary_is_not_trained_on_copies(spark, monkeypatch):
+    texts = [f"text {i} of many " * 20 for i in range(300)]
+    first = min(texts, key=lambda t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0])
+    df = spark.createDataFrame([(t,) for t in texts + [first] * 2000 + ["x" * 9000, None]], "text string")
+    seen, train = [], zstandard.train_dictionary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples: seen.append(samples) or train(size, samples))
+    dictionary, whole = token_files.train_dictionary(df, BPE, 2, 4, sample=200)
+    assert dictionary and whole == sum(map(len, texts)) + 2000 * len(first) + 9000
+    assert len(seen[0]) == len(set(seen[0])) == 200
+
+
 def test_packing_covers_every_id_once(docs, empty):
     rows = packing.pack(docs, BPE).collect()
     by, own = {}, {}
@@ -390,7 +402,7 @@ def test_mixing_realises_the_weights(spark, rows_per_block):
 def test_mixing_long_documents_and_odd_columns(spark, docs, empty):
     df = spark.createDataFrame([(1, "w " * 300_000, "long"), (2, "a b c d e f", "short")], "doc_id long, text string, source string")
     assert {(r.doc_id, r.repetition) for r in mixing.mix_sources(df).collect()} == {(1, 0), (2, 0), (2, 1)}
-    names = ["_s", "_d", "_n", "_q", "_h", "_g", "_t", "_sha", "_kept", "_key", "_rows", "_plan", "_salt", "_hot", "_tokens", "_block", "block", "Position", "repetition", "n_tokens", "digest", "node"]
+    names = ["_s", "_d", "_n", "_q", "_h", "_g", "_t", "_sha", "_kept", "_key", "_rows", "_plan", "_salt", "_hot", "_tokens", "_block", "block", "Position", "repetition", "n_tokens", "digest", "node", "a.b", "x y"]
     odd = docs.select("doc_id", "text", "lang", "source", *(F.lit(i).alias(n) for i, n in enumerate(names)))
     for out in (mixing.mix_sources(odd), exact_dedup.unique_documents(odd), near_dedup.representatives(odd), language_id.accepted(odd)):
         assert out.columns[: len(odd.columns)] == odd.columns
