@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from geocadence.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from geocadence.llm.common import staged
+from geocadence.llm.common import quoted, staged
 from geocadence.llm.queries import BPE
 
 
@@ -30,7 +30,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at tempered weights; documents come as often as their source's quota takes them."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mix_sources(docs).select(*quoted(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
