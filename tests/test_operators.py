@@ -1,6 +1,7 @@
 """Small exact cases."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from geocadence.functions import geo
@@ -52,14 +53,15 @@ def test_all_customers_and_suppliers_are_targets_and_sites(spark):
         assert table(spark, d, name).count() == spark.read.parquet(f"{d}/{own}.parquet").count()
 
 
-def test_match_equals_all_pairs(spark):
+@pytest.mark.parametrize(("most", "caps"), [(64, (False, True)), (2, (True,))])
+def test_match_equals_all_pairs(spark, most, caps):
     rng = np.random.default_rng(3)
     pick = lambda values, p=0.1: None if rng.random() < p else float(rng.choice(values))
     rows = lambda n, p: [(i, pick(rng.normal(20, 9, 40).round(1), p), pick(np.arange(-360, 720, 7.5), p), pick(np.arange(-14, -6, 0.5), p), pick([0, 50, 100], p)) for i in range(n)]
     names, scales = "wind_speed double, wind_dir double, wlvl double, salinity double", {"wind_speed": 10.0, "wind_dir": 180.0, "wlvl": 4.0, "salinity": 100.0}
     s, t = rows(300, 0.05), [*rows(60, 0.1), (60, 20.0, 10.0, -15.0, None)]
-    for cap in (False, True):
-        df = scenarios.match(spark.createDataFrame(t, "target long, " + names), spark.createDataFrame(s + [(1000 + r[0], *r[1:]) for r in s], "key long, " + names), scales, cap_level=cap)
+    for cap in caps:
+        df = scenarios.match(spark.createDataFrame(t, "target long, " + names), spark.createDataFrame(s + [(1000 + r[0], *r[1:]) for r in s], "key long, " + names), scales, cap_level=cap, most=most)
         got = {(r.target, r.rank): (r.key, r.dist) for r in df.collect()}
         want = {}
         for i, *a in t:
