@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,3 +114,17 @@ def check_runs(runs: DataFrame, required: dict[str, list[str]], sources: tuple[s
 def first(df: DataFrame, order: list[str | Column], n: int | None) -> DataFrame:
     """The first ``n`` rows in order, or all."""
     return df if n is None else df.orderBy(*order).limit(n)
+
+
+def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of the rows with one ``key`` (nulls are equal) the first in ``order``, which should tell them apart; null sorts first.
+    Aggregated before the shuffle, so a key with many rows is no hot one."""
+    rest = [c for c in df.columns if c not in key]
+    one = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return one.select(*(F.col("_first")[c].alias(c) if c in rest else F.col(c) for c in df.columns))
+
+
+def distinct_names(*listings: DataFrame) -> DataFrame:
+    """The names of all ``listings`` (name, other columns), each once."""
+    names = [listing.select("name") for listing in listings]
+    return reduce(DataFrame.unionByName, names).distinct()

@@ -142,7 +142,14 @@ def remote_new(spark, d):
 
 @query("SELECT name FROM remote UNION SELECT name FROM locals")
 def all_names(spark, d):
-    return table(spark, d, "remote").select("name").union(table(spark, d, "locals")).distinct()
+    return catalogue.distinct_names(table(spark, d, "remote"), table(spark, d, "locals"))
+
+
+@query("""WITH k AS (SELECT id, name, regexp_replace(regexp_replace(name, '^wave_', ''), '[.]nc$', '') AS key, CASE WHEN starts_with(name, 'wave_') THEN 'wave' ELSE 'flow' END AS source FROM names)
+SELECT id, name, key, source FROM (SELECT *, row_number() OVER (PARTITION BY key, source ORDER BY id) AS r FROM k) WHERE r = 1""")
+def unique_scenarios(spark, d):
+    parsed = scenarios.parse_name(table(spark, d, "names"), strict=False).select("id", "name", "key", "source")
+    return catalogue.keep_first(parsed, ["key", "source"], ["id"])
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geocadence.functions import geo
-from geocadence.operators import raster, scenarios, series, temporal, weather
+from geocadence.operators import catalogue, raster, scenarios, series, temporal, weather
 from geocadence.sources.bindings import table
 
 
@@ -86,3 +86,10 @@ def test_quantiles_equal_percentile(spark):
         want = {r.k: tuple(r)[1:] for r in df.where("x IS NOT NULL").groupBy("k").agg(*(F.percentile("x", F.lit(p)).alias(n) for n, p in wanted.items())).collect()}
         assert got == want
     assert series.quantiles(df.limit(0), ["k"], "x", wanted).collect() == []
+
+
+def test_first_rows_and_names_of_listings(spark):
+    df = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("a", 1, "x"), (None, 5, None), (None, 4, "n"), ("b", None, "q"), ("b", 0, "z")], "k string, i long, name string")
+    assert sorted(map(tuple, catalogue.keep_first(df, ["k"], ["i"]).collect()), key=str) == [("a", 1, "x"), ("b", None, "q"), (None, 4, "n")]
+    assert catalogue.keep_first(df.limit(0), ["k"], ["i"]).collect() == []
+    assert {r.name for r in catalogue.distinct_names(df, df.select("name").where("name > 'x'")).collect()} == {"x", "y", "z", "n", "q", None}
