@@ -7,6 +7,7 @@ target points are found once for each source and joined to all of its fields.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -309,14 +310,37 @@ def gaussian(sigma: float) -> list[tuple[int, float]]:
     return [(i - r, w / sum(raw)) for i, w in enumerate(raw)]
 
 
+def _convolved(value: Callable[[Column], Column], n: int, kernel: list[tuple[int, float]]) -> Column:
+    """The array of the values at 0 to n - 1 by the kernel, the line reflected at both ends, as often as the kernel is longer
+    than it. ``value`` gives that at a place."""
+    r, half = kernel[-1][0], [w for o, w in kernel if o >= 0]
+
+    def mirrored(i: Column) -> Column:
+        turn = F.pmod(i, F.lit(2 * n))
+        return value(F.least(turn, 2 * n - 1 - turn))
+
+    def at(wide: Column) -> Column:
+        def target(i: Column) -> Column:  # the kernel is the same on both sides
+            out = F.get(wide, i) * half[0]
+            for o in range(1, r + 1):
+                out = out + (F.get(wide, i - o) + F.get(wide, i + o)) * half[o]
+            return out
+
+        return F.transform(F.sequence(F.lit(r), F.lit(n - 1 + r)), target)
+
+    wide = F.transform(F.sequence(F.lit(-r), F.lit(n - 1 + r)), mirrored)
+    return F.get(F.transform(F.array(wide), at), F.lit(0))  # an array of one, so that ``wide`` is made once and not for each place
+
+
 def _blur(df: DataFrame, line: list[str], along: str, n: int, sigma: float, sums: list[str]) -> DataFrame:
-    """Each cell spreads its sums over the cells that the kernel reaches from it, reflected at both ends."""
+    """Each line as one row of arrays, convolved there. One shuffle, by the line, serves both aggregates."""
     kernel = gaussian(sigma)
-    turns = -(-kernel[-1][0] // n)
-    spread = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in kernel))
-    images = F.flatten(F.array(*(F.array(F.col(along) + 2 * n * m, 2 * n * m - 1 - F.col(along)) for m in range(-turns, turns + 1))))
-    out = df.withColumn("_k", F.explode(spread)).withColumn("_image", F.explode(images)).withColumn("_to", F.col("_image") - F.col("_k.o")).where((F.col("_to") >= 0) & (F.col("_to") < n))
-    return out.groupBy(*line, F.col("_to").alias(along)).agg(*(F.sum(F.col("_k.w") * F.col(s)).alias(s) for s in sums))
+    cells = df.repartition(*line).groupBy(*line, along).agg(*(F.sum(s).alias(s) for s in sums))
+    lines = cells.groupBy(*line).agg(F.map_from_entries(F.collect_list(F.struct(along, F.struct(*sums)))).alias("_cells"))
+    held = lambda s: lambda i: F.coalesce(F.try_element_at("_cells", i)[s], F.lit(0.0))
+    arrays = lines.select(*line, *(_convolved(held(s), n, kernel).alias(s) for s in sums))
+    out = arrays.select(*line, F.posexplode(F.arrays_zip(*sums)).alias(along, "_v"))
+    return out.select(*line, along, *(F.col("_v")[s].alias(s) for s in sums))
 
 
 def smooth(df: DataFrame, key: list[str], ny: int, nx: int, sigma: float = 2.0) -> DataFrame:
@@ -326,7 +350,7 @@ def smooth(df: DataFrame, key: list[str], ny: int, nx: int, sigma: float = 2.0)
     """
     if not sigma:
         return df
-    known = df.where("z IS NOT NULL").select(*key, "gy", "gx", F.col("z").alias("num"), F.lit(1.0).alias("den"))
+    known = df.where("z IS NOT NULL").select(*key, F.col("gy").cast("int").alias("gy"), F.col("gx").cast("int").alias("gx"), F.col("z").alias("num"), F.lit(1.0).alias("den"))
     out = _blur(_blur(known, [*key, "gy"], "gx", nx, sigma, ["num", "den"]), [*key, "gx"], "gy", ny, sigma, ["num", "den"])
     means = out.where("den > 0").select(*key, F.col("gy").cast("int").alias("gy"), F.col("gx").cast("int").alias("gx"), (F.col("num") / F.col("den")).alias("_z"))
     return df.join(means, [*key, "gy", "gx"], "left").withColumn("z", F.when(F.col("z").isNotNull(), F.col("_z"))).drop("_z")

@@ -574,6 +574,32 @@ def hover_lookup(spark, d):
     return fields.grid_lookup(table(spark, d, "stops"), one, (136.95, 137.2, -29.0, -28.75), N, N).select("id", r6("z"))
 
 
+_ARROWS = "a AS (WITH " + _linear("lon", "lat", 9, COS) + """, v AS (SELECT f.key, f.layer, t.gy, t.gx, sum(t.w * coalesce(f.value, 0)) AS value FROM flow f JOIN wt t ON t.cell = f.cell GROUP BY ALL)
+SELECT f.key, f.layer, k.gy * 9 + k.gx AS i, round(CAST(round(((degrees(atan2(f.u, f.v)) % 360) + 360) % 360, 2) % 360 AS DECIMAL(18, 2)), 1) AS b, round(CAST(round(v.value, 5) AS DECIMAL(18, 5)), 4) AS v
+FROM flow f JOIN k ON k.cell = f.cell JOIN v ON v.key = f.key AND v.layer = f.layer AND v.gy = k.gy AND v.gx = k.gx WHERE f.wet AND sqrt(f.u * f.u + f.v * f.v) > 0) """
+_COARSE = "c AS (SELECT key, layer, CAST(round_even(gy * 6 / 19e0, 0) AS BIGINT) * 7 + CAST(round_even(gx * 6 / 19e0, 0) AS BIGINT) AS i, round(z, 4) AS z FROM z WHERE gy IN (0, 3, 6, 10, 13, 16, 19) AND gx IN (0, 3, 6, 10, 13, 16, 19))"
+
+
+@query(_LAYER + ", " + _ARROWS + ", " + _COARSE + """, s AS (SELECT key, layer, min(z) AS zmin, max(z) AS zmax, quantile_cont(z, 0.99) AS p, count(z) AS n FROM z WHERE key IN (SELECT key FROM scenarios) GROUP BY key, layer),
+aa AS (SELECT key, layer, count(*) AS n, sum(i) AS i, sum(b) AS b, sum(v) AS v FROM a GROUP BY key, layer), cc AS (SELECT key, layer, count(*) AS n, sum(i) AS i, sum(z) AS z FROM c GROUP BY key, layer)
+SELECT s.key, s.layer, e.wind_speed, e.salinity, round(s.zmin, 6) AS zmin, round(s.zmax, 6) AS zmax, s.n AS n_valid, 0e0 AS vmin, round(CASE WHEN s.p <> 0 THEN s.p ELSE s.zmax END, 6) AS vmax, coalesce(aa.n, 0) AS n_arrows, CAST(coalesce(aa.i, 0) AS BIGINT) AS arrow_places, round(coalesce(CAST(aa.b AS DOUBLE), 0), 1) AS bearings, round(coalesce(CAST(aa.v AS DOUBLE), 0), 3) AS arrow_values,
+coalesce(cc.n, 0) AS n_coarse, CAST(coalesce(cc.i, 0) AS BIGINT) AS coarse_places, round(coalesce(cc.z, 0), 3) AS coarse_total, (SELECT count(DISTINCT key) FROM s) AS n_scenarios, (SELECT count(*) FROM scenarios) - (SELECT count(DISTINCT key) FROM s) AS n_missing, round((SELECT x0 - (x1 - x0) / 38 FROM b), 6) AS west, round((SELECT y1 + (y1 - y0) / 38 FROM b), 6) AS north
+FROM s JOIN scenarios e ON e.key = s.key LEFT JOIN aa ON aa.key = s.key AND aa.layer = s.layer LEFT JOIN cc ON cc.key = s.key AND cc.layer = s.layer""")
+def export_layers(spark, d):
+    """All layers of all scenarios written and read back: grids of 20 x 20 points, arrows on 9 x 9, values for reading on 7 x 7."""
+    mesh, flow, key = table(spark, d, "mesh"), table(spark, d, "flow"), ["key", "layer"]
+    targets = fields.target_grid(mesh, 9)
+    rows = fields.arrows(flow.withColumns({"ue": F.col("u"), "vn": F.col("v")}), key, targets, fields.linear_weights(mesh, 9), fields.nearest_weights(targets, mesh, None, COS))
+    path = shared_folder(spark, "export")
+    sinks.export_layers(_layers(spark, d).withColumn("source", F.lit("flow")), rows, mesh, table(spark, d, "scenarios"), ["wind_speed", "wind_dir", "wlvl", "salinity"], path, N, N, 9, 7)
+    about, docs, index = sinks.read_export(spark, path)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    places = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    frame, zone = about["frames"][0], docs.join(index, "key")
+    return zone.select("key", "layer", "wind_speed", "salinity", r6("zmin"), r6("zmax"), "n_valid", "vmin", r6("vmax"), F.size("i").cast("long").alias("n_arrows"), places("i").alias("arrow_places"), F.round(total("b"), 1).alias("bearings"), F.round(total("v"), 3).alias("arrow_values"),
+        F.size("ci").cast("long").alias("n_coarse"), places("ci").alias("coarse_places"), F.round(total("cz"), 3).alias("coarse_total"), F.lit(about["n_scenarios"]).alias("n_scenarios"), F.lit(about["n_missing"]).alias("n_missing"), F.round(F.lit(frame["west"]), 6).alias("west"), F.round(F.lit(frame["north"]), 6).alias("north"))
+
+
 @query("SELECT key, layer, cell, CASE WHEN t <= 0.5 THEN -1 ELSE CAST(floor(CASE WHEN t <= 0.63e0 THEN 27 + (98 - 27) * (t - 0.5e0) / 0.13e0 WHEN t <= 0.75e0 THEN 98 + (210 - 98) * (t - 0.63e0) / 0.12e0 WHEN t <= 0.88e0 THEN 210 + (254 - 210) * (t - 0.75e0) / 0.13e0 WHEN t <= 0.96e0 THEN 254 + (234 - 254) * (t - 0.88e0) / 0.08e0 ELSE 234 + (122 - 234) * (t - 0.96e0) / 0.04e0 END + 1e-9) AS INT) END AS red, 205 AS alpha FROM (SELECT *, value / 5e0 AS t FROM flow)")
 def colour_ramp(spark, d):
     t = F.col("value") / 5.0
@@ -666,6 +692,14 @@ def stream_sessions(spark, d):
     return archive.stream_sessions(_thirds(spark, rows, "t"), shared_folder(spark, "checkpoint"), shared_folder(spark, "sessions"), late="1 hour")
 
 
+@query("""WITH o AS (SELECT station || '-' || CAST(id % 97 AS VARCHAR) AS station, id, t, CASE WHEN id % 13 <> 0 THEN air_temp END AS air_temp FROM obs), k AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY t DESC, id DESC) AS n FROM o WHERE air_temp IS NOT NULL)
+SELECT k.station, k.t, k.air_temp, k.t < (SELECT max(o.t) FROM o WHERE o.station = k.station) OR k.t + 86407 < (SELECT max(t) FROM o) - 3600 AS stale FROM k WHERE n = 1""")
+def stream_last_known(spark, d):
+    """97 sensors at each station, each thirteenth reading failed; a value is stale after a day."""
+    rows = table(spark, d, "obs").select(F.concat("station", F.lit("-"), (F.col("id") % 97).cast("string")).alias("station"), "id", "t", F.timestamp_seconds("t").alias("ts"), F.when(F.col("id") % 13 != 0, F.col("air_temp")).alias("air_temp"))
+    return archive.last_known(_thirds(spark, rows, "t"), shared_folder(spark, "checkpoint"), shared_folder(spark, "known"), patience=86407)
+
+
 @query("""WITH f AS (SELECT file, t, wse, site, CASE WHEN file % 7 = 0 THEN file % 1000 + 5 ELSE file % 1000 END AS size FROM levels WHERE wse IS NOT NULL)
 SELECT r.reach, site, file, size, round(wse + r.reach + size / 1000e0, 6) AS wse FROM f CROSS JOIN (SELECT unnest([0, 2]) AS reach) r""")
 def extract_changed(spark, d):

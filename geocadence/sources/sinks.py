@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo, parse
+from ..operators import fields as maps
 from ..operators.fields import clamped_index
 
 
@@ -74,6 +78,67 @@ def write_layers(arrows: DataFrame, bounds: DataFrame, path: str) -> None:
     bounds.write.mode("overwrite").json(f"{path}/manifest")
 
 
+_EXPORTS = "seq long, export string, schema string, n_scenarios long, n_missing long, ny int, nx int, n_arrows int, n_coarse int, scales array<struct<layer: int, vmin: double, vmax: double>>, frames array<struct<source: string, west: double, east: double, south: double, north: double>>"
+
+
+def layer_documents(grid: DataFrame, arrows: DataFrame, ny: int, nx: int, n_arrows: int, n_coarse: int = 48, fixed: DataFrame | None = None) -> DataFrame:
+    """key, layer, source, zmin, zmax, n_valid, the colour bounds used (vmin, vmax; those of ``fixed`` (layer, vmin, vmax), if
+    given), packed arrows (i, b, v) and a coarse grid (ci: gy * width + gx, cz to four decimals; dry points left out).
+
+    ``grid``: key, source, layer, gy, gx, z of ``ny`` x ``nx`` points. A layer without any arrow or coarse point has empty
+    arrays; one without any value has no document. All arrays are bounded by their grids.
+    """
+    key = ["key", "layer"]
+    docs = maps.layer_stats(grid, [*key, "source"]).where("n_valid > 0").drop("p99", "n_wet")
+    if fixed is not None:
+        docs = docs.drop("vmin", "vmax").join(F.broadcast(fixed), "layer")  # a row for each layer
+    point = F.struct((F.col("gy") * min(n_coarse, nx) + F.col("gx")).cast("int").alias("i"), F.round("z", 4).alias("z"))
+    coarse = maps.coarse_grid(grid.where("z IS NOT NULL AND NOT isnan(z)"), ny, nx, n_coarse).groupBy(*key).agg(F.array_sort(F.collect_list(point)).alias("_c"))
+    packed = maps.pack_arrows(arrows, key, n_arrows).withColumn("i", F.col("i").cast("array<int>"))
+    out = docs.join(packed, key, "left").join(coarse, key, "left")
+    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
+    return out.withColumns({"i": none("i", "int"), "b": none("b", "double"), "v": none("v", "double"), "ci": none(F.col("_c.i"), "int"), "cz": none(F.col("_c.z"), "double")}).drop("_c")
+
+
+def export_layers(grid: DataFrame, arrows: DataFrame, mesh: DataFrame, scenarios: DataFrame, parameters: list[str], path: str, ny: int, nx: int, n_arrows: int, n_coarse: int = 48, fixed: bool = False, sample: int = 40, configured: dict[str, tuple[float, float]] | None = None) -> str:
+    """The layers of all ``scenarios`` (key, ``parameters``) for a site that only reads files; gives the export's name.
+
+    A folder of its own holds the documents of ``layer_documents``, partitioned by layer, the slim index of the scenarios that
+    have any, and the colour bounds common to all scenarios; with ``fixed`` documents are coloured by these. The
+    manifest gets its row when all of that is written, so readers never see a part of an export and, until then, see
+    the one before. It counts the scenarios without any layer. A name serves one export; what broke off is left behind
+    unread.
+    """
+    spark = grid.sparkSession
+    seq = _known(spark, f"{path}/manifest", _EXPORTS).agg(F.max("seq")).first()[0]
+    name = uuid.uuid4().hex[:16]
+    place, asked = f"{path}/export={name}", slim_index(scenarios, parameters)
+    here = grid.join(asked.select("key"), "key", "left_semi")
+    maxima = here.groupBy("key", "layer").agg(F.max("z").alias("zmax"))
+    maps.common_bounds(maxima, sample, configured).select(F.col("layer").cast("int").alias("layer"), "vmin", "vmax").write.parquet(f"{place}/scales")
+    scales = spark.read.parquet(f"{place}/scales")
+    docs = layer_documents(here, arrows, ny, nx, n_arrows, n_coarse, scales if fixed else None)
+    docs.repartition("layer", "key").write.partitionBy("layer").option("compression", "zstd").parquet(f"{place}/layers")
+    held = spark.read.schema(docs.schema).parquet(f"{place}/layers").select("key").distinct()
+    asked.join(held, "key", "left_semi").write.parquet(f"{place}/index")
+    frames = maps.mesh_boxes(mesh).select("source", maps.image_bounds(*map(F.col, ("lon0", "lon1", "lat0", "lat1")), max(ny, nx)).alias("f")).select("source", "f.*")
+    n, most = spark.read.parquet(f"{place}/index").count(), scenarios.count()
+    about = ((seq or 0) + 1, name, docs.schema.json(), n, most - n, ny, nx, n_arrows, n_coarse, sorted(map(tuple, scales.collect())), sorted(map(tuple, frames.collect())))  # a row for each layer and source
+    spark.createDataFrame([about], _EXPORTS).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return name
+
+
+def read_export(spark: SparkSession, path: str, layer: int | None = None) -> tuple[dict, DataFrame, DataFrame]:
+    """(manifest, layer documents, index) of the newest whole export, or of one of its layers, of which only the folder is
+    read; an error if there is none."""
+    about = _known(spark, f"{path}/manifest", _EXPORTS).orderBy(F.desc("seq")).first()
+    if about is None:
+        raise ValueError("no export")
+    place = f"{path}/export={about['export']}"
+    docs = spark.read.schema(T.StructType.fromJson(json.loads(about["schema"]))).parquet(f"{place}/layers")  # there may be no file
+    return about.asDict(), docs if layer is None else docs.where(F.col("layer") == layer), spark.read.parquet(f"{place}/index")
+
+
 # Packed store
 
 def packed_fields(fields: DataFrame, scales: dict[str, float]) -> DataFrame:

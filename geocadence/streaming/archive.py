@@ -149,39 +149,72 @@ def stream_extract(listings: DataFrame, extract: Callable[[DataFrame], DataFrame
 
 
 class LastKnown(StatefulProcessor):
-    """Keeps the last reading of a station and gives it again, marked stale, once none has come for ``patience_ms``."""
+    """Keeps the last reading of a station and gives it again, marked stale, once none has come for ``patience_ms``. With
+    ``event``, time is that of the readings, and one without a value tells that its station failed."""
 
-    def __init__(self, patience_ms: int):
-        self.patience_ms = patience_ms
+    def __init__(self, patience_ms: int, event: bool = False):
+        self.patience_ms, self.event = patience_ms, event
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "t long, air_temp double")
+        self.handle, self.last = handle, handle.getValueState("last", "t long, id long, air_temp double, tried long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        best = self.last.get() if self.last.exists() else None
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        t, number, temp, tried = self.last.get() if self.last.exists() else (None, None, None, None)
+        before = t
         for frame in rows:
             frame = frame.dropna(subset=["t"])
+            if self.event and len(frame):
+                tried = int(frame["t"].max()) if tried is None else max(tried, int(frame["t"].max()))
+                frame = frame.dropna(subset=["air_temp"])
             if len(frame):
-                new = frame.loc[frame["t"].idxmax()]
-                if best is None or new["t"] >= best[0]:
-                    best = (int(new["t"]), float(new["air_temp"]))
-        if best is not None:
-            self.last.update(best)
+                new = frame.sort_values(["t", "id"] if self.event else ["t"], kind="stable").iloc[-1]
+                at = (int(new["t"]), int(new["id"]) if self.event else 0)
+                if t is None or at >= (t, number):
+                    t, number, temp = *at, float(new["air_temp"])
+        if t is None and tried is None:
+            return
+        self.last.update((t, number, temp, tried))
+        if t is None:
+            return  # it never had a value to keep
+        if not self.event or t != before:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.patience_ms)
-            yield pd.DataFrame({"station": [key[0]], "t": [best[0]], "air_temp": [best[1]], "stale": [False]})
+            self.handle.registerTimer((t * 1000 if self.event else timerValues.getCurrentProcessingTimeInMs()) + self.patience_ms)
+        yield self._row(key, t, temp, tried is not None and tried > t)
 
-    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if self.last.exists():
-            t, temp = self.last.get()
-            yield pd.DataFrame({"station": [key[0]], "t": [t], "air_temp": [temp], "stale": [True]})
+            t, _, temp, _ = self.last.get()
+            yield self._row(key, t, temp, True)
+
+    @staticmethod
+    def _row(key: tuple, t: int, temp: float, stale: bool) -> pd.DataFrame:
+        return pd.DataFrame({"station": [key[0]], "t": [t], "air_temp": [temp], "stale": [stale]})
 
     def close(self) -> None:
         pass
 
 
+KNOWN = "station string, t long, air_temp double, stale boolean"
+
+
 def stream_last_known(obs: DataFrame, patience_ms: int = 3_600_000) -> DataFrame:
     """station, t, air_temp, stale of a stream (station, t, air_temp), station by station: one that fails does not hold
     up the others. Needs the RocksDB state store; ``run`` it with ``idle`` off."""
-    return obs.groupBy("station").transformWithStateInPandas(LastKnown(patience_ms), "station string, t long, air_temp double, stale boolean", "Update", "ProcessingTime")
+    return obs.groupBy("station").transformWithStateInPandas(LastKnown(patience_ms), KNOWN, "Update", "ProcessingTime")
+
+
+def last_known(obs: DataFrame, checkpoint: str, path: str, patience: int = 3600, late: str = "1 hour") -> DataFrame:
+    """station, t, air_temp, stale of each station of a stream (station, id, t, ts, air_temp) that ever had a value: its last
+    one, of equal times that of the largest id. It is stale if a later reading failed (has no value), or once the watermark, ``late`` behind the
+    newest reading of all stations, is over ``patience`` seconds past it. Time is event time: the same deliveries give the same rows.
+    Readings behind the watermark are passed over, as are those without a time."""
+    spark, key = obs.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    known = obs.withWatermark("ts", late).groupBy("station").transformWithStateInPandas(LastKnown(patience * 1000, event=True), KNOWN, "Update", "EventTime")
+    log, before = Log(spark, path, T.StructType.fromDDL(KNOWN)), spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run(known, checkpoint, log.write, "update")
+    finally:
+        spark.conf.set(key, before)
+    return newest(log.read(), ["station"], "t", "stale").drop("batch")

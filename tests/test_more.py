@@ -406,3 +406,61 @@ def test_slabs_read_their_folders_only(spark, tmp_path):
     variables = spark.createDataFrame([(0, "U1", "", True), (0, "foo", "", True), (1, "U1", "", True)], "file long, name string, long_name string, on_coords boolean")
     got = fields.read_field(held, mesh, variables, asked.select("key", F.lit(1).alias("time"), F.lit(1).alias("layer"), "constituent")).collect()
     assert got and all(r.name == "U1" and r.lat == 2 * r.cell and (r.value is None) == (r.cell % 5 == 0) for r in got)
+
+
+def test_last_known_in_event_time(spark):
+    """Failed readings, silence, ties, rows behind the watermark, and a second call from the same checkpoint."""
+    schema = "station string, id long, t long, air_temp double"
+    folder, check, log, out = (shared_folder(spark, n) for n in ("in", "check", "log", "out"))
+
+    def put(*rows):
+        spark.createDataFrame(list(rows), schema).withColumn("ts", F.timestamp_seconds("t")).coalesce(1).write.mode("append").parquet(folder)
+
+    def got():
+        stream = spark.readStream.schema(schema + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+        return {r.station: (r.t, r.air_temp, r.stale) for r in archive.last_known(stream, check, log, patience=100, late="10 seconds").collect()}
+
+    put(("a", 1, 1000, 5.0), ("a", 3, 1000, 7.0), ("a", 2, 1000, 6.0), ("b", 4, 1000, 1.0), ("b", 5, 1001, None), ("c", 6, 1000, None), ("d", 7, None, 2.0))
+    assert got() == {"a": (1000, 7.0, False), "b": (1000, 1.0, True)}
+    put(("b", 8, 1050, 2.0), ("e", 9, 1200, 3.0))
+    assert got() == {"a": (1000, 7.0, True), "b": (1050, 2.0, True), "e": (1200, 3.0, False)}
+    put(("a", 10, 1195, 8.0), ("b", 11, 1100, 9.0))  # the second lies behind the watermark
+    assert got() == {"a": (1195, 8.0, False), "b": (1050, 2.0, True), "e": (1200, 3.0, False)} == got()
+
+
+def test_export_of_layers(spark, tmp_path):
+    """A second export takes the place of the first; what broke off before its manifest is not read; empty ones."""
+    path = str(tmp_path / "export")
+    with pytest.raises(ValueError, match="no export"):
+        sinks.read_export(spark, path)
+    mesh = spark.createDataFrame([("s", i, i // 3, i % 3, float(i % 3), float(i // 3)) for i in range(9)], "source string, cell int, iy int, ix int, lon double, lat double")
+    grid = spark.createDataFrame([(k, "s", layer, y, x, None if k == "dry" else 1.0 + y * 4 + x) for k in ("k", "dry", "other") for layer in (0, 1) for y in range(4) for x in range(4)], "key string, source string, layer int, gy int, gx int, z double")
+    arrows = spark.createDataFrame([("k", 0, 1, 1, 90.04, 2.00004), ("other", 0, 0, 0, 1.0, 1.0)], "key string, layer int, gy int, gx int, bearing double, value double")
+    scenarios = spark.createDataFrame([("k", 3.0, "/a"), ("dry", 4.0, "/b")], "key string, wind_speed double, path string")
+    first = sinks.export_layers(grid, arrows, mesh, scenarios, ["wind_speed"], path, 4, 4, 2, 2, fixed=True, configured={1: (2.0, 3.0)})
+    about, docs, index = sinks.read_export(spark, path)
+    assert (about["export"], about["n_scenarios"], about["n_missing"], index.columns) == (first, 1, 1, ["key", "wind_speed"])
+    assert about["frames"][0].asDict() == {"source": "s", "west": pytest.approx(-1 / 3), "east": pytest.approx(7 / 3), "south": pytest.approx(-1 / 3), "north": pytest.approx(7 / 3)}
+    rows = {r.layer: r for r in docs.collect()}
+    assert (rows[0].key, rows[0].i, rows[0].b, rows[0].v, rows[0].ci, rows[0].cz) == ("k", [3], [90.0], [2.0], [0, 1, 2, 3], [1.0, 4.0, 13.0, 16.0])
+    assert (rows[1].i, rows[1].vmin, rows[1].vmax, rows[0].vmin, rows[0].vmax, rows[0].n_valid) == ([], 2.0, 3.0, 0.0, 16.0, 16)
+    with pytest.raises(Exception, match="no_such"):
+        sinks.export_layers(grid, arrows, mesh, scenarios, ["no_such"], path, 4, 4, 2, 2)
+    docs.limit(0).drop("layer").write.parquet(f"{path}/export=broken/layers")
+    assert sinks.read_export(spark, path)[0]["export"] == first
+    second = sinks.export_layers(grid.where("layer = 0"), arrows, mesh, scenarios, ["wind_speed"], path, 4, 4, 2, 2)
+    about, docs, _ = sinks.read_export(spark, path, layer=0)
+    assert second != first and about["seq"] == 2 and [(r.layer, r.vmin, round(r.vmax, 2)) for r in docs.collect()] == [(0, 0.0, 15.85)]
+    sinks.export_layers(grid.limit(0), arrows.limit(0), mesh, scenarios, ["wind_speed"], path, 4, 4, 2, 2)
+    about, docs, index = sinks.read_export(spark, path)
+    assert (about["n_scenarios"], about["n_missing"]) == (0, 2) and docs.isEmpty() and index.isEmpty()
+
+
+def test_smoothing_of_odd_lines(spark):
+    """Lines of one point, a lone value, a layer without any value, an empty table."""
+    schema = "key string, gy int, gx int, z double"
+    one = spark.createDataFrame([("k", 0, 0, 5.0), ("n", 0, 0, None)], schema)
+    assert {r.key: r.z for r in fields.smooth(one, ["key"], 1, 1, 2.0).collect()} == {"k": pytest.approx(5.0), "n": None}
+    lone = fields.smooth(spark.createDataFrame([("k", 0, 3, 5.0), ("k", 2, 2, None)], schema), ["key"], 6, 6, 0.7)
+    assert {(r.gy, r.gx): r.z for r in lone.collect()} == {(0, 3): pytest.approx(5.0), (2, 2): None}
+    assert fields.smooth(one.limit(0), ["key"], 5, 5, 1.0).isEmpty()
