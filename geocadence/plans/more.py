@@ -545,13 +545,12 @@ def common_bounds(spark, d):
     return fields.common_bounds(top, 5, {2: (1.0, 3.0)}).select("layer", "vmin", r6("vmax"))
 
 
-@query("WITH " + _GRID + ", a AS (SELECT f.key, f.layer, k.gy, k.gx, f.u, f.v FROM flow f JOIN k ON k.cell = f.cell WHERE f.wet AND sqrt(f.u * f.u + f.v * f.v) > 0) SELECT key, layer, count(*) AS n, CAST(sum(gy * 20 + gx) AS BIGINT) AS places FROM a GROUP BY key, layer")
+@query("WITH " + _GRID + "SELECT f.key, f.layer, k.gy, k.gx, round(((degrees(atan2(f.u, f.v)) % 360) + 360) % 360, 1) AS bearing, round(f.value, 4) AS value FROM flow f JOIN k ON k.cell = f.cell WHERE f.wet AND sqrt(f.u * f.u + f.v * f.v) > 0")
 def arrow_pack(spark, d):
     near = _near(spark, d)[2]
     rows = table(spark, d, "flow").where("wet AND sqrt(u * u + v * v) > 0").join(near, ["source", "cell"]).withColumn("bearing", geo.bearing(F.col("u"), F.col("v")))
     packed = fields.pack_arrows(rows, ["key", "layer"], N)
-    back = fields.unpack_arrows(packed, ["key", "layer"], N)
-    return back.groupBy("key", "layer").agg(F.count("*").alias("n"), F.sum(F.col("gy") * N + F.col("gx")).cast("long").alias("places"))
+    return fields.unpack_arrows(packed, ["key", "layer"], N).select("key", "layer", "gy", "gx", "bearing", "value")
 
 
 @query(_LAYER + "SELECT key, layer, CAST(round_even(gy * 6 / 19e0, 0) AS BIGINT) AS gy, CAST(round_even(gx * 6 / 19e0, 0) AS BIGINT) AS gx, round(z, 6) AS z FROM z WHERE gy IN (0, 3, 6, 10, 13, 16, 19) AND gx IN (0, 3, 6, 10, 13, 16, 19)")
@@ -600,11 +599,17 @@ def export_layers(spark, d):
         F.size("ci").cast("long").alias("n_coarse"), places("ci").alias("coarse_places"), F.round(total("cz"), 3).alias("coarse_total"), F.lit(about["n_scenarios"]).alias("n_scenarios"), F.lit(about["n_missing"]).alias("n_missing"), F.round(F.lit(frame["west"]), 6).alias("west"), F.round(F.lit(frame["north"]), 6).alias("north"))
 
 
-@query("SELECT key, layer, cell, CASE WHEN t <= 0.5 THEN -1 ELSE CAST(floor(CASE WHEN t <= 0.63e0 THEN 27 + (98 - 27) * (t - 0.5e0) / 0.13e0 WHEN t <= 0.75e0 THEN 98 + (210 - 98) * (t - 0.63e0) / 0.12e0 WHEN t <= 0.88e0 THEN 210 + (254 - 210) * (t - 0.75e0) / 0.13e0 WHEN t <= 0.96e0 THEN 254 + (234 - 254) * (t - 0.88e0) / 0.08e0 ELSE 234 + (122 - 234) * (t - 0.96e0) / 0.04e0 END + 1e-9) AS INT) END AS red, 205 AS alpha FROM (SELECT *, value / 5e0 AS t FROM flow)")
+def _ramp_sql(k: int) -> str:
+    """SQL: one channel of the fixed colours at t, straight between neighbours."""
+    parts = [f"WHEN t <= {b[0]!r}e0 THEN {a[k]} + ({b[k]} - {a[k]}) * (t - {a[0]!r}e0) / {b[0] - a[0]!r}e0" for a, b in zip(fields.RAMP, fields.RAMP[1:], strict=False)]
+    return f"CAST(floor(CASE {' '.join(parts)} ELSE {fields.RAMP[-1][k]} END + 1e-9) AS INT)"
+
+
+@query(f"SELECT key, layer, cell, CAST({_ramp_sql(1)} AS INT) AS red, {_ramp_sql(2)} AS green, {_ramp_sql(3)} AS blue, CASE WHEN gap THEN 0 ELSE 205 END AS alpha FROM (SELECT key, layer, cell, cell % 11 = 0 AS gap, greatest(least(CASE WHEN cell % 11 = 0 THEN 0e0 ELSE value / 4e0 - 0.1e0 END, 1e0), 0e0) AS t FROM flow)")
 def colour_ramp(spark, d):
-    t = F.col("value") / 5.0
-    rgb = fields.ramp(t)
-    return table(spark, d, "flow").select("key", "layer", "cell", F.when(t <= 0.5, -1).otherwise(rgb["red"]).alias("red"), rgb["alpha"].alias("alpha"))
+    """All channels, with values under and over the ramp, and without a value."""
+    rgb = fields.ramp(F.when(F.col("cell") % 11 != 0, F.col("value") / 4.0 - 0.1))
+    return table(spark, d, "flow").select("key", "layer", "cell", *(rgb[c].alias(c) for c in ("red", "green", "blue", "alpha")))
 
 
 @query("SELECT key, layer, count(*) AS n, round(max(abs(u - round_even(u / 1e-4, 0) * 1e-4)), 9) <= 3e-4 AS good, round(sum(round_even(u / 1e-4, 0) * 1e-4), 4) AS total FROM flow GROUP BY key, layer")
