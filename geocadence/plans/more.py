@@ -204,10 +204,10 @@ def size_estimate(spark, d):
     return catalogue.size_estimate(table(spark, d, "flow"), table(spark, d, "mesh"), {"flow": 3})
 
 
-@query("SELECT (SELECT count(*) FROM granules) AS n_granules, (SELECT count(DISTINCT file) FROM levels WHERE file % 5 = 0) AS new_this_run")
+@query("SELECT (SELECT count(*) FROM granules) AS n_granules, (SELECT CAST(epoch(max(strptime(regexp_extract(name, '[0-9]{8}T[0-9]{6}'), '%Y%m%dT%H%M%S'))) AS BIGINT) FROM granules) AS last_granule, (SELECT count(DISTINCT file) FROM levels WHERE file % 5 = 0) AS new_this_run")
 def freshness(spark, d):
     g = catalogue.parsed_granules(table(spark, d, "granules"))
-    return catalogue.freshness(g, table(spark, d, "levels").where("file % 5 = 0")).select("n_granules", "new_this_run")
+    return catalogue.freshness(g, table(spark, d, "levels").where("file % 5 = 0")).select("n_granules", F.unix_timestamp("last_granule").alias("last_granule"), "new_this_run")
 
 
 # Conditions and matches
@@ -217,13 +217,13 @@ i AS (SELECT DISTINCT moment FROM asked), l AS (SELECT t, max(file) AS f FROM le
 b AS (SELECT i.moment, o.t FROM i ASOF LEFT JOIN o ON i.moment >= o.t), a AS (SELECT i.moment, o.t FROM i ASOF LEFT JOIN o ON i.moment < o.t), n AS (SELECT i.moment, b.t AS bt, a.t AS ft FROM i LEFT JOIN b ON b.moment = i.moment LEFT JOIN a ON a.moment = i.moment),
 p AS (SELECT moment, CASE WHEN moment IS NULL OR (bt IS NULL AND ft IS NULL) THEN (SELECT max(t) FROM o) WHEN bt IS NULL OR ft - moment < moment - bt THEN coalesce(ft, bt) ELSE bt END AS ot FROM n),
 w AS (SELECT i.moment, lv.t AS lt FROM i ASOF LEFT JOIN lv ON i.moment >= lv.t), z AS (SELECT p.moment, p.ot, coalesce(w.lt, (SELECT max(t) FROM lv)) AS lt FROM p LEFT JOIN w ON w.moment = p.moment)
-SELECT z.moment, round(o.s / 3.6e0, 2) AS wind_speed, (o.w + 180) % 360 AS wind_dir, round(lv.wse + 0.25e0, 3) AS wlvl, z.ot AS obs_t, z.lt AS level_t FROM z JOIN o ON o.t = z.ot JOIN lv ON lv.t = z.lt"""
+SELECT z.moment, round(o.s / 3.6e0, 2) AS wind_speed, (o.w + 180) % 360 AS wind_dir, round(lv.wse + 0.25e0, 3) AS wlvl, z.ot AS obs_t, z.lt AS level_t, (SELECT min(station) FROM obs) AS station, CAST(1 AS BIGINT) AS site, coalesce(CAST(round((z.moment - z.ot) / 60e0) AS BIGINT), 0) AS offset_min FROM z JOIN o ON o.t = z.ot JOIN lv ON lv.t = z.lt"""
 
 
 @query(_ASKED)
 def conditions_at(spark, d):
     found = temporal.conditions_at(table(spark, d, "asked").withColumnRenamed("moment", "at"), table(spark, d, "obs"), table(spark, d, "levels"), "nowhere", 1, 0.25, "to")
-    return found.select(F.col("at").alias("moment"), "wind_speed", "wind_dir", "wlvl", "obs_t", "level_t")
+    return found.select(F.col("at").alias("moment"), "wind_speed", "wind_dir", "wlvl", "obs_t", "level_t", "station", "site", "offset_min")
 
 
 _SPAN = "WITH l AS (SELECT min(wlvl) AS lo, max(wlvl) AS hi, max(wind_speed) - min(wind_speed) AS ws, max(wlvl) - min(wlvl) AS wl, max(salinity) - min(salinity) AS sl, min(wind_speed) AS w0, max(wind_speed) AS w1, min(salinity) AS s0, max(salinity) AS s1 FROM scenarios), "
