@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import raster, scenarios, series, temporal, weather
+from ..operators import extraction, raster, scenarios, series, temporal, weather
 from ..sources.bindings import table, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,7 +91,7 @@ def extract_window(spark, d):
 
 @query("""SELECT day, round(100.0e0 * count_if(qual = 0) / count(*), 6) AS q0, round(100.0e0 * count_if(qual = 1) / count(*), 6) AS q1, round(100.0e0 * count_if(qual = 2) / count(*), 6) AS q2, round(100.0e0 * count_if(qual = 3) / count(*), 6) AS q3 FROM cells GROUP BY day""")
 def quality_percentages(spark, d):
-    return table(spark, d, "cells").groupBy("day").agg(*(F.round(100.0 * F.count_if(F.col("qual") == q) / F.count("*"), 6).alias(f"q{q}") for q in range(4)))
+    return extraction.quality_shares(table(spark, d, "cells"), "day")
 
 
 # Areas
@@ -204,12 +204,12 @@ def last_day_run(spark, d):
 
 @query("SELECT DISTINCT t FROM obs WHERE wind_spd_kmh IS NOT NULL")
 def timeline(spark, d):
-    return table(spark, d, "obs").where("wind_spd_kmh IS NOT NULL").select("t").distinct()
+    return temporal.timeline(table(spark, d, "obs"))
 
 
 @query("SELECT (max(t) - min(t)) / 3600e0 AS hours FROM obs")
 def archive_span(spark, d):
-    return table(spark, d, "obs").agg(((F.max("t") - F.min("t")) / 3600.0).alias("hours"))
+    return temporal.archive_span(table(spark, d, "obs"))
 
 
 # Conditions as of instants
