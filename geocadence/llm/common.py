@@ -98,6 +98,27 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, by: lis
     return left.join(right.withColumn(salt, F.explode(all_salts)), [key, salt]).drop(salt)
 
 
+def mark_possible(left: DataFrame, right: DataFrame, by: list[str], flag: str, places: int = 8, most: int = 1 << 28) -> DataFrame:
+    """``left`` with the boolean ``flag``, false only where no row of ``right`` has its values in the columns ``by``.
+
+    One bit is set for the hash of each row of ``right``, among ``places`` bits a row; the bits, ``most`` of them (32 MB)
+    however many rows there are, are broadcast as chunks of 512 words. A row without a partner is marked by chance in an
+    eighth of the cases, more often once ``most`` is reached: this thins what the join after it shuffles, and only that
+    join decides.
+    """
+    spark = left.sparkSession
+    bits = 1 << 15
+    bits *= max(1, math.ceil(min(right.count() * places, most) / bits))
+    place, chunk, words = unused(left.columns, "_place", "_chunk", "_words")
+    place_of, bit = F.pmod(F.xxhash64(*quoted(by)), F.lit(bits)), F.col(place).bitwiseAND(63).cast("int")
+    held = right.select(place_of.alias(place)).select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
+    held = held.unionByName(spark.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    chunks = held.groupBy(F.shiftright("word", 9).alias(chunk)).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias(words))
+    placed = left.withColumn(place, place_of).withColumn(chunk, F.shiftright(place, 15)).join(F.broadcast(chunks), chunk)
+    word = F.get(F.col(words), F.shiftright(place, 6).bitwiseAND(511).cast("int"))
+    return placed.withColumn(flag, F.call_function("shiftrightunsigned", word, bit).bitwiseAND(1) == 1).drop(place, chunk, words)
+
+
 def shared_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI in the shared folder, for tasks that keep their own file format."""
     return pafs.FileSystem.from_uri(uri)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, spread_join, staged
+from .common import discard, mark_possible, small_batches, spread_join, staged
 from .components import components
 from .near_dedup import _similar, shingle_hashes
 from .words import mix, word_hashes
@@ -249,13 +249,21 @@ def _settled(members: DataFrame, buckets: DataFrame, percent: int, width: int, b
 
 
 def _partners(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """node of the representatives that share enough parts with others; where a partner may share empty parts only, all stay."""
+    """node of the representatives that share enough parts with others; where a partner may share empty parts only, all stay.
+    Only sets that may have copies are joined to find their representative, and only parts that may be shared are shuffled
+    to find their sharers: most sets have neither."""
     spark = signed.sparkSession
-    probes = signed.join(classes.select("node"), "node").select("node", F.posexplode("probes").alias("c", "p"))
+    sets = mark_possible(signed.where("n_shingles > 0").select("node", "cls", "probes"), classes.where("size > 1"), ["cls"], "copied")
+    alone = sets.where("NOT copied").select("node", "probes")
+    first = sets.where("copied").select("node", "probes").join(classes.select("node"), "node")
+    probes = alone.unionByName(first).select("node", F.posexplode("probes").alias("c", "p"))
     parts = probes.where("p.need > 0").select("node", "c", "p.need", F.explode("p.parts").alias("part"))
     shared = staged(spark, parts.groupBy("part").agg(F.count("*").alias("times")).where("times > 1"), "shared")
+    parts = mark_possible(parts, shared, ["part"], "possible").where("possible").drop("possible")
     hits = spread_join(parts, shared, "part", "times", ["node"]).groupBy("node", "c", "need").agg(F.count("*").alias("hits"))
-    return hits.where("hits >= need").select("node").unionByName(probes.where("p.need <= 0").select("node")).distinct()
+    out = staged(spark, hits.where("hits >= need").select("node").unionByName(probes.where("p.need <= 0").select("node")).distinct(), "partners")
+    discard(shared)
+    return out
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, block_bytes: int = 4 << 20) -> DataFrame:
@@ -272,11 +280,15 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, block_bytes:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = staged(spark, docs.withColumn("node", F.monotonically_increasing_id()).mapInArrow(partial(_sets, width=width, percent=percent), _SETS), "sets")
     classes = staged(spark, signed.where("n_shingles > 0").groupBy("cls").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes")
-    wanted = signed.select("node", "doc_id", "text_hash").join(_partners(signed, classes), "node")
-    found = wanted.join(docs.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "text"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("node", "text")
+    partners = _partners(signed, classes)
+    wanted = staged(spark, signed.select("node", F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).join(partners, "node"), "wanted")
+    given = mark_possible(docs.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "text"), wanted, ["d", "h"], "possible").where("possible")  # few texts are shuffled
+    found = wanted.alias("w").join(given.alias("g"), F.col("w.d").eqNullSafe(F.col("g.d")) & (F.col("w.h") == F.col("g.h"))).select("node", "text")
     if not signed.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         found = found.dropDuplicates(["node"])
     texts = staged(spark, found, "texts")
+    own = staged(spark, signed.select("doc_id", "n_shingles", "cls", "node"), "own")
+    discard(signed, partners, wanted)
     grams = staged(spark, texts.mapInArrow(partial(_grams, width=width), "node long, grams array<long>"), "grams")
     each = grams.select("node", F.explode("grams").alias("gram"))
     counts = staged(spark, each.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "counts")
@@ -293,7 +305,6 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, block_bytes:
     lowest = staged(spark, rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "lowest")
     joined = staged(spark, spread_join(rooted, lowest, "root", "n", ["node"]).select("cls", "component_id", "size"), "class-components")
     discard(members, buckets, rooted, lowest, classes)
-    own = signed.select("doc_id", "n_shingles", "cls", "node").where("n_shingles > 0")
-    some = spread_join(own, joined, "cls", "size", ["node"])
-    none = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    some = spread_join(own.where("n_shingles > 0"), joined, "cls", "size", ["node"])
+    none = own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.select("doc_id", "n_shingles", "component_id").unionByName(none)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from geocadence.llm import centroids, fill_middle, ngram_join
+from geocadence.llm.common import mark_possible
 from geocadence.llm.near_dedup import shingle_set
 
 COLUMNS = "doc_id long, text string, node long, keys string, `a.b` int, fim_text string, _digest string"
@@ -225,3 +227,49 @@ def test_similar_sets_share_the_parts_they_must(n, percent, seed):
         others = {x for _, parts in ngram_join.part_probes(other, percent) for x in parts.tolist()}
         probes = ngram_join.part_probes(own, percent)
         assert any(need <= 0 or len(others & set(parts.tolist())) >= need for need, parts in probes)
+
+
+@pytest.mark.parametrize(("places", "most"), [(8, 1 << 28), (1, 1 << 28), (8, 1)])
+def test_marks_never_miss_a_partner(spark, places, most):
+    """Values in common are always marked, nulls too; others seldom, unless the bits are too few."""
+    left = spark.range(90_000).select((F.col("id") % 3).alias("_place"), F.when(F.col("id") > 0, F.col("id")).alias("a"), F.lit("x").alias("b c"))
+    right = left.where("a IS NULL OR a < 30000")
+    out = mark_possible(left, right, ["a", "b c"], "marked", places, most)
+    assert out.columns == [*left.columns, "marked"] and out.count() == 90_000
+    assert out.where("(a IS NULL OR a < 30000) AND NOT marked").isEmpty()
+    share = out.where("a >= 30000").agg(F.avg(F.col("marked").cast("int"))).first()[0]
+    assert share < 0.15 if (places, most) == (8, 1 << 28) else share < 0.8
+    assert mark_possible(left, right.limit(0), ["a", "b c"], "marked", places, most).where("marked").isEmpty()
+
+
+def test_ngram_join_with_marks_by_chance(spark, monkeypatch):
+    """Rows that are marked without a partner change nothing."""
+    monkeypatch.setattr(ngram_join, "mark_possible", lambda left, right, by, flag: left.withColumn(flag, F.lit(True)))
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 500, 80)) for _ in range(40)]
+    texts = [*texts, *texts[:25], *(t.replace("w1", "y", 1) for t in texts[10:30]), None, "one", "ONE"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 3, 90)
+    assert found(ngram_join.ngram_join(df, 3, 90)) == want
+    monkeypatch.setattr(ngram_join, "mark_possible", partial(mark_possible, places=1))
+    assert found(ngram_join.ngram_join(df, 3, 90)) == want
+
+
+def test_ngram_join_shuffles_no_text_without_partner(spark, tmp_path):
+    """Of texts that nearly all stand alone, neither the texts nor the digests of their parts cross the shuffle whole."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{i:x}" for i in rng.integers(0, 1 << 60, 400)) for _ in range(1500)]
+    rows = [*enumerate(texts), *((2000 + i, texts[i] + " end") for i in range(0, 100, 10))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        out = ngram_join.ngram_join(spark.read.parquet(str(tmp_path / "docs")), 3, 90).collect()
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted(r.component_id for r in out if r.doc_id >= 2000) == list(range(0, 100, 10))
+    assert moved < 0.35 * sum(len(t) for _, t in rows)
