@@ -1,7 +1,9 @@
 """A training corpus from ``documents``: language ID, exact and near deduplication, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns the
-columns of documents; the last one returns pieces of packed sequences.
+columns of documents; the last one returns pieces of packed sequences. Stages share the executors' memory, and
+Python workers and direct memory keep what an earlier one took at its peak: those with Python limit the session's
+Arrow batches, so that what they hold at once is no whole partition.
 """
 
 from __future__ import annotations
@@ -9,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from geocadence.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from geocadence.llm.common import quoted, staged
+from geocadence.llm.common import limit_arrow, quoted, staged
 from geocadence.llm.queries import BPE
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents mostly in one known language; those without letters or of no clear language go."""
+    limit_arrow(spark, "1m")
     return language_id.accepted(docs, least=0.5)
 
 
@@ -25,6 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 on five-word shingles."""
+    limit_arrow(spark, "512k")
     return near_dedup.representatives(docs, width=5, percent=80)
 
 
@@ -35,6 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 ids."""
+    limit_arrow(spark, "1m")
     return packing.pack(docs, BPE, end_id=0)
 
 

@@ -139,6 +139,13 @@ def shards(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def limit_arrow(spark: SparkSession, most: str) -> None:
+    """Arrow batches of about ``most`` bytes go to Python workers, a row at least: from now on in this session,
+    as Spark takes the limit when a frame runs, not when it is made. By default it is 64 MB and 10,000 rows, so a
+    batch holds a whole partition of texts, once in the JVM's direct memory and once in the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of the string column at most; a row is never split."""
     for batch in batches:

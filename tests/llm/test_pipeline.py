@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from geocadence.llm import near_dedup
+from geocadence.llm import language_id, near_dedup, packing
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, node long, block string"
 LETTERS = {"en": "etaoinshrdlu", "de": "äöüßenistrd"}
@@ -76,3 +76,26 @@ def test_run(spark, sf_dir, tmp_path):
     assert rows and max(size.values()) <= 1024 and all(0 <= r.ids_crc32 <= zlib.crc32(b"") + 0xFFFFFFFF for r in rows)
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("stage, module, task, most", [("language_id", language_id, "_accepted", 1 << 20), ("near_dedup", near_dedup, "_sign", 1 << 19), ("packing", packing, "_pack", 1 << 20)])
+def test_tasks_get_small_batches(spark, tmp_path, monkeypatch, stage, module, task, most):
+    rng, pool = np.random.default_rng(3), [prose(np.random.default_rng(4), "en", 1) + str(i) for i in range(2000)]
+    rows = [(i, " ".join(pool[j] for j in rng.integers(0, 2000, 1500)), "en", "a", 0, i, None) for i in range(250)]
+    spark.createDataFrame(rows, COLUMNS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plain_task, row = getattr(module, task), max(len(r[1]) for r in rows)
+
+    def watched(batches, **how):
+        def small():
+            for batch in batches:
+                assert batch.nbytes <= most + 2 * row, f"a batch of {batch.nbytes} bytes"
+                yield batch
+
+        return plain_task(small(), **how)
+
+    assert sum(len(r[1]) for r in rows) > 1.5 * most
+    monkeypatch.setattr(module, task, watched)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in found.select("doc_id").collect()} == set(range(250))
