@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns the
 columns of documents; the last one returns pieces of packed sequences. Stages share the executors' memory, and
 Python workers and direct memory keep what an earlier one took at its peak: those with Python limit the session's
-Arrow batches, so that what they hold at once is no whole partition.
+Arrow batches, so that what they hold at once is no whole partition. The first one limits the rows that scans hold, too.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from geocadence.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from geocadence.llm.common import limit_arrow, quoted, staged
+from geocadence.llm.common import limit_arrow, limit_scans, quoted, staged
 from geocadence.llm.queries import BPE
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents mostly in one known language; those without letters or of no clear language go."""
     limit_arrow(spark, "1m")
+    limit_scans(spark, 512)
     return language_id.accepted(docs, least=0.5)
 
 
@@ -40,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 ids."""
     limit_arrow(spark, "1m")
-    return packing.pack(docs, BPE, end_id=0)
+    return packing.pack(docs, BPE, end_id=0, cache=50_000)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]

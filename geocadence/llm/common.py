@@ -146,6 +146,12 @@ def limit_arrow(spark: SparkSession, most: str) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+def limit_scans(spark: SparkSession, rows: int) -> None:
+    """Scans of Parquet files hold ``rows`` rows of a task at once: from now on in this session. By default it is 4,096, whose
+    texts lie in one array."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", rows)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of the string column at most; a row is never split."""
     for batch in batches:

@@ -295,7 +295,7 @@ def _predict(batches: Iterator[pa.RecordBatch], field: Field | None) -> Iterator
 
 def _accepted(batches: Iterator[pa.RecordBatch], field: Field | None, least: float, text: str) -> Iterator[pa.RecordBatch]:
     field = Field(field.langs, field.lexicon, field.flat) if field else None
-    for batch in small_batches(batches, text, 2 << 20):
+    for batch in small_batches(batches, text, 512 << 10):
         pred, score, _, _ = _predicted(batch.column(text), field)
         yield batch.filter(pa.array((np.array(pred) != "und") & (score >= least)))
 

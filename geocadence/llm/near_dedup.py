@@ -31,6 +31,8 @@ from .components import components
 from .words import mix, word_hashes, words
 
 ROWS, BANDS, STEP, MISS = 8, 56, 32, 1e-6
+#: Sets of words that a task keeps while it verifies pairs, and shingles in all of them.
+SETS, SHINGLES = 64, 1 << 16
 _SIGNED = "node long, doc_id long, text_hash long, n_shingles long, cls binary, signature binary, bands array<long>"
 
 
@@ -119,13 +121,17 @@ def shingle_set(text: str, width: int) -> frozenset:
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Iterator[pa.RecordBatch]:
     kept: OrderedDict[int, frozenset] = OrderedDict()  # a few sets of this task; stars meet the same one again
+    held = 0
 
     def own(node: int, text: str) -> frozenset:
-        if node not in kept:
-            kept[node] = shingle_set(text, width)
-            if len(kept) > 64:
-                kept.popitem(last=False)
-        return kept[node]
+        nonlocal held
+        if node in kept:
+            return kept[node]
+        found = kept[node] = shingle_set(text, width)
+        held += len(found)
+        while kept and (len(kept) > SETS or held > SHINGLES):
+            held -= len(kept.popitem(last=False)[1])
+        return found
 
     for batch in batches:
         keep = []

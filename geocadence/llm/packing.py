@@ -88,11 +88,11 @@ class Packer:
         self.space, self.held = [], {}
 
 
-def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int, windows: int, least_gap: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int, windows: int, least_gap: int, cache: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    # A small cache: in a pipeline the worker keeps it while other stages need the memory.
-    enc, packer, rows = encoder(tokenizer, 200_000), Packer(capacity, windows, least_gap), []
+    # In a pipeline the worker keeps the cache while other stages need the memory.
+    enc, packer, rows = encoder(tokenizer, cache), Packer(capacity, windows, least_gap), []
     first = sequence = TaskContext.get().partitionId() << 32
 
     def put(pieces: list[tuple], sid: int) -> None:
@@ -138,17 +138,17 @@ def _merge(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return group[_NAMES]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, windows: int = 32, least_gap: int = 8, merged: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, windows: int = 32, least_gap: int = 8, merged: int = 1024, cache: int = 200_000) -> DataFrame:
     """Packs ``doc_id, text`` into sequences of at most ``capacity`` ids; one row per piece.
 
     Null texts count as empty: the end id alone. Repeated rows are packed each for itself, null doc_ids
     stay null, an empty table gives no rows, other columns are ignored. Returns doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset; pieces lie in their sequence without gaps from 0. Merging
-    takes the short windows of up to ``merged`` partitions at a time; theirs are negative sequence_ids.
+    takes the short windows of up to ``merged`` partitions at a time; theirs are negative sequence_ids. A Python worker caches the ids of about ``cache`` pieces of text.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = staged(spark, docs.mapInArrow(partial(_pack, tokenizer=tokenizer, end_id=end_id, capacity=capacity, windows=windows, least_gap=least_gap), _PIECE), "packed")
+    placed = staged(spark, docs.mapInArrow(partial(_pack, tokenizer=tokenizer, end_id=end_id, capacity=capacity, windows=windows, least_gap=least_gap, cache=cache), _PIECE), "packed")
     open_, done = placed.where("sequence_id < 0"), placed.where("sequence_id >= 0")
     group = F.floor((-1 - F.col("sequence_id")) / F.lit(float(merged * 2**32)))
 

@@ -1,14 +1,16 @@
 """The corpus pipeline, stage by stage and whole, on a small table with odd rows."""
 
+import weakref
 import zlib
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from geocadence.llm import language_id, near_dedup, packing
+from geocadence.llm import exact_dedup, language_id, near_dedup, packing
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, node long, block string"
 LETTERS = {"en": "etaoinshrdlu", "de": "äöüßenistrd"}
@@ -99,3 +101,56 @@ def test_tasks_get_small_batches(spark, tmp_path, monkeypatch, stage, module, ta
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     found = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
     assert {r.doc_id for r in found.select("doc_id").collect()} == set(range(250))
+
+
+def test_state_stores_leave_no_threads_of_their_own(spark, tmp_path):
+    schema = "doc_id long, digest string, locator string"
+    spark.createDataFrame([(i, f"d{i // 2}", "x") for i in range(400)], schema).write.parquet(f"{tmp_path}/keys")
+    was, beans = spark.conf.get("spark.sql.shuffle.partitions"), spark._jvm.java.lang.management.ManagementFactory.getThreadMXBean()
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    before = beans.getThreadCount()
+    try:
+        state = exact_dedup.advance(spark, f"{tmp_path}/keys", schema, f"{tmp_path}/state")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert beans.getThreadCount() - before < 150, "threads for each partition's state"
+    assert state.count() == 200
+
+
+def test_languages_are_predicted_in_small_parts(monkeypatch):
+    texts, plain = ["some words " * 2000] * 100, language_id._predicted
+    monkeypatch.setattr(language_id, "_predicted", lambda x, field: plain(x, field) if x.nbytes <= (512 << 10) + 2 * len(texts[0]) else pytest.fail(f"{x.nbytes} bytes at once"))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert sum(b.num_rows for b in language_id._accepted(iter([batch]), None, 0.0, "text")) == 0
+
+
+def test_verification_keeps_few_shingles(monkeypatch):
+    alive, most, plain = weakref.WeakSet(), [0], near_dedup.shingle_set
+
+    class Held(frozenset):
+        __hash__ = object.__hash__
+        __eq__ = object.__eq__
+
+    def watched(text, width):
+        out = Held(plain(text, width))
+        alive.add(out)
+        most[0] = max(most[0], sum(map(len, alive)))
+        return out
+
+    monkeypatch.setattr(near_dedup, "shingle_set", watched)
+    texts = [" ".join(f"w{i}x{j}" for j in range(10_000)) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 40), pa.array(range(40)), pa.array([texts[0]] * 40), pa.array(texts)], ["u", "v", "ta", "tb"])
+    out = pa.Table.from_batches(near_dedup._verified(iter([batch]), 80, 5))
+    assert out["v"].to_pylist() == [0] and most[0] <= (1 << 16) + 4 * 10_000
+
+
+def test_pipeline_packs_with_a_small_cache(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a b", "en", "a", 3, 1, None)], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = packing._pack
+
+    def watched(batches, **how):
+        assert how["cache"] <= 50_000
+        return plain(batches, **how)
+
+    monkeypatch.setattr(packing, "_pack", watched)
+    assert dict(corpus_pipeline.STAGES)["packing"](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count() == 1
