@@ -76,26 +76,98 @@ def nearest(points: DataFrame, cells: DataFrame, point: list[str], group: list[s
     return near.unionByName(wide).unionByName(last.select(*point, *group, F.col("_best._cell").alias("cell")))
 
 
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    folder = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def few_or_merged(rows: DataFrame, count: int, most: int = 200_000) -> DataFrame:
+    """``rows``, to be broadcast in a join if their ``count`` is ``most`` at most; more are never broadcast, whatever their size is taken for."""
+    return F.broadcast(rows) if count <= most else rows.hint("merge")
+
+
+def to_sites(values: DataFrame, asked: DataFrame, key: list[str], block: int = 1024) -> DataFrame:
+    """Each of ``values`` (``key``, ``granule``) with every site of ``asked`` (``site``, ``key``) that has its key.
+
+    Each result row is made once, where it is written: only values and sites cross a shuffle. The sites of a key are
+    cut into blocks of about ``block``, so no task holds more of them, and the few that a value meets in turn come in
+    the same order, which files keep small; keys of few blocks are spread over more tasks by their granules.
+    """
+    blocks = _kept(asked.groupBy(*key).agg(F.ceil(F.count("*") / block).alias("_blocks")), "blocks")
+    keys, total = blocks.agg(F.count("*"), F.coalesce(F.sum("_blocks"), F.lit(1))).first()
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread, blocks = max(1, min(64, -(-8 * parts // total))), few_or_merged(blocks, keys)
+    own = values.join(blocks, key).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).withColumn("_part", F.pmod(F.xxhash64("granule"), F.lit(spread).cast("long"))).drop("_blocks")
+    sites = asked.join(blocks, key).withColumn("_block", F.pmod(F.xxhash64("site"), F.col("_blocks"))).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))).drop("_blocks")
+    on = [*key, "_block", "_part"]
+    return own.repartition(parts, *on).join(sites.hint("merge"), on).drop(*on)
+
+
+def grids(cells: DataFrame) -> DataFrame:
+    """granule, grid and box: granules with the same pixels (``iy``, ``ix``, ``lon``, ``lat``) have the least of them as ``grid``.
+
+    The same are those with equal counts, boxes and sums of two 64-bit hashes over their pixels.
+    """
+    pixel = [x for c in ("iy", "ix", "lon", "lat") for x in (F.col(c), F.isnull(c))]  # a hash passes over nulls
+    halves = {f"_h{i}": (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))) for i, h in enumerate((F.xxhash64(F.lit(1), *pixel), F.xxhash64(F.lit(2), *pixel)))}
+    sums = [F.sum(x).alias(f"{name}{k}") for name, pair in halves.items() for k, x in enumerate(pair)]
+    box = [f(c).alias(f"{c}_{n}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max))]
+    own = cells.groupBy("granule").agg(F.count("*").alias("_count"), *sums, *box)
+    same = ["_count", "_h00", "_h01", "_h10", "_h11"]
+    first = own.groupBy(*same).agg(F.min("granule").alias("grid"))
+    return own.join(first, same).select("granule", "grid", "lon_min", "lon_max", "lat_min", "lat_max")
+
+
+def nearest_pixels(sites: DataFrame, cells: DataFrame, granules: DataFrame, step: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """``pixel``, grid, iy, ix, clon, clat, copies of the pixels that are nearest to a site, and ``site``, ``pixel``.
+
+    Pixels are sought once for each grid (``granules`` as of ``grids``) and once for all sites at the same places.
+    """
+    at = F.sort_array(F.collect_set(F.struct("lon", "lat"))).alias("_at")
+    placed = sites.where("lon IS NOT NULL AND lat IS NOT NULL").groupBy("site").agg(at)
+    spots = _kept(placed.select("_at").distinct().withColumn("spot", F.monotonically_increasing_id()), "spots")
+    own = granules.where("granule = grid")
+    pixels = cells.where("lon IS NOT NULL AND lat IS NOT NULL").join(own.select("granule", "grid"), "granule").groupBy("grid", "iy", "ix", "lon", "lat").agg(F.count("*").alias("copies"))
+    pixels = _kept(pixels.withColumns({"clon": F.col("lon"), "clat": F.col("lat")}), "pixels")
+    points = covering(spots.select("spot", F.inline("_at")), own, 1.0).withColumnRenamed("granule", "grid")
+    picked = _kept(nearest(points, pixels, ["spot"], ["grid"], ["iy", "ix"], step).select("spot", "grid", "cell.*"), "picked")
+    found = _kept(picked.drop("spot").distinct().withColumn("pixel", F.monotonically_increasing_id()), "found")
+    a, b = picked.alias("a"), found.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("grid", "iy", "ix", "clon", "clat")]
+    by_spot = a.join(b, same).select("a.spot", "b.pixel")
+    return found, _kept(placed.join(spots, "_at").join(by_spot, "spot").select("site", "pixel"), "asked")
+
+
 def extract_series(sites: DataFrame, cells: DataFrame, reach: int = 0, quals: list[int] | None = None, per_pixel: bool = False, step: float | None = None) -> DataFrame:
     """site, granule, wse, qual, n: the level at each site in every granule that covers it.
 
     The value is that of the nearest pixel, or with ``reach`` the mean over the square of pixels within it;
     ``quals`` are allowed qualities of the nearest pixel (a null quality is none), with ``per_pixel`` of all
-    averaged ones, too. Rows without a value are dropped.
+    averaged ones, too. Rows without a value are dropped. Of a pixel that a granule lists twice at the same place
+    the least quality counts, then the least value.
     """
-    pixels = cells.select("granule", "iy", "ix", "lon", "lat", "qual", "wse")
-    picked = nearest(covering(sites, granule_boxes(cells)), pixels, ["site"], ["granule"], ["iy", "ix"], step)
-    picked = picked.select("site", "granule", "cell.iy", "cell.ix", "cell.qual", "cell.wse")
-    if quals is not None:
-        picked = picked.where(F.col("qual").isin(*quals))
+    granules = _kept(grids(cells), "grids")
+    pixels, asked = nearest_pixels(sites, cells.select("granule", "iy", "ix", "lon", "lat"), granules, step)
+    count, parts = pixels.count(), int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cells.select("granule", "iy", "ix", "lon", "lat", "qual", "wse").join(granules.select("granule", "grid"), "granule")
+    allowed = F.lit(True) if quals is None else F.col("qual").isin(*quals)
     if not reach:
-        return picked.where("wse IS NOT NULL").select("site", "granule", "wse", "qual", F.lit(1).cast("long").alias("n"))
+        a, b = placed.alias("a"), few_or_merged(pixels, count).alias("b")
+        same = [F.col(f"a.{x}").eqNullSafe(F.col(f"b.{y}")) for x, y in (("grid", "grid"), ("iy", "iy"), ("ix", "ix"), ("lon", "clon"), ("lat", "clat"))]
+        values = a.join(b, same).select("a.granule", "b.pixel", "a.qual", "a.wse")
+        if not pixels.where("copies > 1").isEmpty():
+            least = F.min(F.struct(F.isnull("qual"), "qual", F.isnull("wse"), "wse"))
+            values = values.groupBy("granule", "pixel").agg(least.alias("_v")).select("granule", "pixel", "_v.qual", "_v.wse")
+        return to_sites(values.where(allowed & F.col("wse").isNotNull()), asked, ["pixel"]).select("site", "granule", "wse", "qual", F.lit(1).cast("long").alias("n"))
     steps = F.sequence(F.lit(-reach), F.lit(reach))
-    around = picked.select("site", "granule", "qual", F.col("iy").alias("_cy"), F.col("ix").alias("_cx")).withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
-    around = around.select("site", "granule", "qual", (F.col("_cy") + F.col("_dy")).alias("iy"), (F.col("_cx") + F.col("_dx")).alias("ix"))
-    values = cells.where(F.col("qual").isin(*quals)) if per_pixel and quals is not None else cells
-    mean = around.join(values.select("granule", "iy", "ix", "wse"), ["granule", "iy", "ix"]).groupBy("site", "granule").agg(F.avg("wse").alias("wse"), F.first("qual").alias("qual"), F.count("wse").alias("n"))
-    return mean.where("wse IS NOT NULL").select("site", "granule", "wse", "qual", "n")
+    around = pixels.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps)).withColumn("_mid", (F.col("_dy") == 0) & (F.col("_dx") == 0))
+    around = around.select("grid", (F.col("iy") + F.col("_dy")).alias("iy"), (F.col("ix") + F.col("_dx")).alias("ix"), "pixel", *(F.when(F.col("_mid"), F.col(c)).alias(c) for c in ("clon", "clat")))
+    own = placed.repartition(parts, "granule").join(few_or_merged(around, count * (2 * reach + 1) ** 2), ["grid", "iy", "ix"])
+    value = F.when(allowed, F.col("wse")) if per_pixel else F.col("wse")
+    qual = F.min(F.when((F.col("lon") == F.col("clon")) & (F.col("lat") == F.col("clat")), F.col("qual")))
+    mean = own.groupBy("granule", "pixel").agg(F.avg(value).alias("wse"), qual.alias("qual"), F.count(value).alias("n"))
+    return to_sites(mean.where(allowed & F.col("wse").isNotNull()), asked, ["pixel"]).select("site", "granule", "wse", "qual", "n")
 
 
 def extract_quality(sites: DataFrame, cells: DataFrame, reach: int = 0, step: float | None = None) -> DataFrame:

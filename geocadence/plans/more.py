@@ -46,21 +46,22 @@ _NEAREST = """b AS (SELECT granule, min(lon) AS x0, max(lon) AS x1, min(lat) AS
 h AS (SELECT p.*, b.granule FROM places p JOIN b ON p.lon BETWEEN x0 AND x1 AND p.lat BETWEEN y0 AND y1),
 r AS (SELECT h.site, h.granule, c.iy, c.ix, c.qual, c.wse, row_number() OVER (PARTITION BY h.site, h.granule ORDER BY pow(c.lon - h.lon, 2) + pow(c.lat - h.lat, 2), c.iy, c.ix) AS n FROM h JOIN cells c ON c.granule = h.granule AND abs(c.lon - h.lon) < 0.02 AND abs(c.lat - h.lat) < 0.02),
 q AS (SELECT * FROM r WHERE n = 1) """
+_PIXEL = ("granule", "iy", "ix", "lon", "lat", "qual")
 
 
 @query("WITH " + _NEAREST + "SELECT site, granule, round(wse, 6) AS wse, qual FROM q WHERE qual IN (0, 1) AND wse IS NOT NULL")
 def extract_nearest(spark, d):
-    return extraction.extract_series(table(spark, d, "places"), _stored(spark, table(spark, d, "cells")), 0, [0, 1]).select("site", "granule", r6("wse"), "qual")
+    return extraction.extract_series(table(spark, d, "places"), _stored(spark, table(spark, d, "cells").select(*_PIXEL, "wse")), 0, [0, 1]).select("site", "granule", r6("wse"), "qual")
 
 
 @query("WITH " + _NEAREST + "SELECT q.site, q.granule, round(avg(c.wse), 6) AS wse, count(c.wse) AS n FROM q JOIN cells c ON c.granule = q.granule AND abs(c.iy - q.iy) <= 2 AND abs(c.ix - q.ix) <= 2 WHERE q.qual IN (0, 1) GROUP BY q.site, q.granule HAVING count(c.wse) > 0")
 def extract_mean(spark, d):
-    return extraction.extract_series(table(spark, d, "places"), _stored(spark, table(spark, d, "cells")), 2, [0, 1]).select("site", "granule", r6("wse"), "n")
+    return extraction.extract_series(table(spark, d, "places"), _stored(spark, table(spark, d, "cells").select(*_PIXEL, "wse")), 2, [0, 1]).select("site", "granule", r6("wse"), "n")
 
 
 @query("WITH " + _NEAREST + "SELECT site, granule, qual * 1e0 AS quality FROM q")
 def extract_quality(spark, d):
-    return extraction.extract_quality(table(spark, d, "places"), _stored(spark, table(spark, d, "cells")))
+    return extraction.extract_quality(table(spark, d, "places"), _stored(spark, table(spark, d, "cells").select(*_PIXEL)))
 
 
 @query("SELECT s.site, t.z AS terrain FROM spots s LEFT JOIN terrain t ON t.r = floor((5000e0 - s.y) / 10e0) AND t.c = floor((s.x - 1000e0) / 10e0)")

@@ -237,6 +237,76 @@ def test_extraction_falls_back_to_far_pixels(spark):
     assert extraction.extract_series(sites, cells.limit(0)).count() == 0
 
 
+def _pixel_table(spark):
+    """Granules 1 to 4 on one grid, 5 on a shifted one; a pixel that is listed twice, and gaps of quality, level and place."""
+    def row(g, y, x):
+        k, shift = g * 31 + y * 7 + x, 0.004 if g == 5 else 0.0
+        return g, y, x, None if (y, x) == (5, 0) else 137.0 + x * 0.01 + shift, -29.0 + y * 0.01 + shift, None if k % 11 == 0 else k % 4, None if k % 7 == 0 else float(k % 13)
+
+    rows = [row(g, y, x) for g in range(1, 6) for y in range(6) for x in range(6)]
+    rows += [(g, 2, 2, 137.02, -28.98, 3 - g % 3, g / 2) for g in range(1, 5)]
+    places = [(137.011, -28.989), (137.019, -28.981), (137.038, -28.962), (137.002, -28.949), (137.0345, -28.9655), (139.0, -29.0), (None, -29.0)]
+    sites = [(i, *places[i % 7]) for i in range(70)] + [(3, 137.011, -28.971), (None, 137.04, -28.99)]
+    return rows, sites, spark.createDataFrame(rows, "granule int, iy int, ix int, lon double, lat double, qual int, wse double"), spark.createDataFrame(sites, "site int, lon double, lat double")
+
+
+def _extracted(rows, sites, reach, quals, per_pixel):
+    """extract_series by plain loops."""
+    out, last = set(), lambda v: (v is None, v)
+    for site in {s[0] for s in sites}:
+        for g in range(1, 6):
+            own = [r for r in rows if r[0] == g]
+            known = [r for r in own if r[3] is not None]
+            lons, lats = [r[3] for r in known], [r[4] for r in own]
+            at = [(x, y) for s, x, y in sites if s == site and x is not None and min(lons) <= x <= max(lons) and min(lats) <= y <= max(lats)]
+            if not at:
+                continue
+            best = min(((r[3] - x) ** 2 + (r[4] - y) ** 2, r[1], r[2], last(r[5]), last(r[6])) for r in known for x, y in at)
+            qual, values = best[3][1], [best[4][1]]
+            if quals and qual not in quals:
+                continue
+            if reach:
+                values = [r[6] for r in own if abs(r[1] - best[1]) <= reach and abs(r[2] - best[2]) <= reach and (not per_pixel or r[5] in quals)]
+            if values := [v for v in values if v is not None]:
+                out.add((site, g, round(sum(values) / len(values), 9), qual, len(values)))
+    return out
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+@pytest.mark.parametrize(("reach", "quals", "per_pixel"), [(0, None, False), (0, [0, 1], False), (1, [0, 1, 2], False), (2, [0, 1], True)])
+def test_extraction_equals_plain_loops(spark, monkeypatch, reach, quals, per_pixel, most):
+    """Shared and own grids, sites at one place, with joins that are broadcast and that aren't."""
+    rows, sites, cells, at = _pixel_table(spark)
+    monkeypatch.setattr(extraction.few_or_merged, "__defaults__", (most,))
+    got = [(r.site, r.granule, round(r.wse, 9), r.qual, r.n) for r in extraction.extract_series(at, cells, reach, quals, per_pixel).collect()]
+    assert len(got) == len(set(got)) and set(got) == _extracted(rows, sites, reach, quals, per_pixel)
+
+
+def test_places_and_grids_are_searched_once(spark, monkeypatch):
+    """Before, each site was sought in each granule, so that pairs of both crossed the shuffles."""
+    _, _, cells, sites = _pixel_table(spark)
+    seen, real = [], extraction.nearest
+
+    def spied(points, pixels, *rest):
+        seen.extend((points.count(), pixels.count()))
+        return real(points, pixels, *rest)
+
+    monkeypatch.setattr(extraction, "nearest", spied)
+    n = extraction.extract_series(sites, cells).count()
+    assert n > 150 and seen[0] <= 14 and seen[1] == 2 * 35  # 7 places by 2 grids
+
+
+def test_sites_of_a_value_in_blocks(spark):
+    """A key with most sites goes to many blocks; each meets each value once."""
+    asked = spark.range(900).selectExpr("CAST(id AS INT) AS site", "CASE WHEN id < 850 THEN 0 ELSE id % 5 END AS k")
+    values = spark.range(60).selectExpr("id % 12 AS granule", "id DIV 12 AS k", "id AS wse")
+    got = extraction.to_sites(values, asked, ["k"], block=16)
+    want = values.join(asked, "k").select("granule", "wse", "site")
+    assert got.count() == want.count() == 12 * 900
+    assert got.select("granule", "wse", "site").exceptAll(want).isEmpty()
+    assert extraction.to_sites(values, asked.limit(0), ["k"]).count() == 0
+
+
 def test_areas(spark):
     cells = spark.createDataFrame([(1, 1, 0.5, None, True), (1, 1, 0.2, None, True), (1, 2, None, None, False)], "day long, granule long, water_frac double, uncert double, mask boolean")
     s = {r.granule: r for r in raster.scene_area(cells, ["day", "granule"], "mask", cell_area=100.0).collect()}
