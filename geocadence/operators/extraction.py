@@ -66,13 +66,14 @@ def nearest(points: DataFrame, cells: DataFrame, point: list[str], group: list[s
     folder, near = shared_folder(spark, "nearest"), within(asked, 1)
     near.write.parquet(folder)
     near = spark.read.schema(near.schema).parquet(folder)
-    rest = asked.join(near, [*point, *group], "left_anti")
+    rest = asked.join(few_or_merged(near.select(*point, *group), near.count()), [*point, *group], "left_anti")
     if rest.isEmpty():
         return near
     folder, wide = shared_folder(spark, "nearest"), within(rest, widen)
     wide.write.parquet(folder)
     wide = spark.read.schema(wide.schema).parquet(folder)
-    last = least(placed.join(rest.join(wide, [*point, *group], "left_anti").drop("_pitch"), group))
+    far_off = rest.join(few_or_merged(wide.select(*point, *group), wide.count()), [*point, *group], "left_anti")
+    last = least(placed.join(far_off.drop("_pitch"), group))
     return near.unionByName(wide).unionByName(last.select(*point, *group, F.col("_best._cell").alias("cell")))
 
 

@@ -296,6 +296,18 @@ def test_places_and_grids_are_searched_once(spark, monkeypatch):
     assert n > 150 and seen[0] <= 14 and seen[1] == 2 * 35  # 7 places by 2 grids
 
 
+def test_what_was_found_is_broadcast_by_its_rows(spark, monkeypatch):
+    """Before, Spark judged by the size of compressed files whether the driver gathers all points that were found."""
+    _, _, cells, sites = _pixel_table(spark)
+    points = sites.where("site IS NOT NULL AND lon IS NOT NULL").dropDuplicates(["site"]).crossJoin(spark.range(1, 6).selectExpr("CAST(id AS INT) AS granule"))
+    asked, real = [], extraction.few_or_merged
+    monkeypatch.setattr(extraction, "few_or_merged", lambda rows, count: asked.append((rows.columns, count)) or real(rows, count, 0))
+    got = extraction.nearest(points, cells.withColumn("at", F.col("lon")), ["site"], ["granule"], ["iy", "ix"])
+    assert [c for c, _ in asked] == [["site", "granule"]] * 2 and sum(n for _, n in asked) <= got.count() == 60 * 5
+    joins = spark.range(9).join(real(spark.range(9), 9, 8), "id", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in joins and "Broadcast" not in joins
+
+
 def test_sites_of_a_value_in_blocks(spark):
     """A key with most sites goes to many blocks; each meets each value once."""
     asked = spark.range(900).selectExpr("CAST(id AS INT) AS site", "CASE WHEN id < 850 THEN 0 ELSE id % 5 END AS k")
