@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geocadence.functions import geo, parse
 from geocadence.operators import catalogue, extraction, fields, raster, scenarios, series, temporal
+from geocadence.plans import more
 from geocadence.plans.catalog import table
 from geocadence.sources import feeds, sinks
 from geocadence.sources.shared import shared_folder
@@ -308,6 +309,19 @@ def test_what_was_found_is_broadcast_by_its_rows(spark, monkeypatch):
     assert "SortMergeJoin" in joins and "Broadcast" not in joins
 
 
+def test_no_pairs_of_sites_and_granules_are_stored(spark, monkeypatch, tmp_path):
+    """Before, the pixel of each site in each granule was written to the shared folder, beside all columns of the cells."""
+    _, _, cells, _ = _pixel_table(spark)
+    sites = spark.range(2000).selectExpr("id AS site", "137.011 + (id % 3) * 0.01 AS lon", "-28.99 + (id % 2) * 0.01 AS lat")
+    for module in (extraction, more):
+        monkeypatch.setattr(module, "shared_folder", lambda spark, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    assert extraction.extract_series(sites, cells).count() > 7000
+    assert max(spark.read.parquet(str(f)).count() for f in tmp_path.iterdir()) <= 2 * 2000
+    more.QUERIES["extract_nearest"](spark, SF).count()
+    stored = [spark.read.parquet(str(f)).columns for f in tmp_path.iterdir() if f.name.startswith("table-")]
+    assert stored == [["granule", "iy", "ix", "lon", "lat", "qual", "wse"]]
+
+
 def test_sites_of_a_value_in_blocks(spark):
     """A key with most sites goes to many blocks; each meets each value once."""
     asked = spark.range(900).selectExpr("CAST(id AS INT) AS site", "CASE WHEN id < 850 THEN 0 ELSE id % 5 END AS k")
