@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geocadence.functions import geo, parse
 from geocadence.operators import catalogue, extraction, fields, raster, scenarios, series, temporal
-from geocadence.plans import more
+from geocadence.plans import catalog, more
 from geocadence.plans.catalog import table
 from geocadence.sources import feeds, sinks
 from geocadence.sources.shared import shared_folder
@@ -322,6 +322,21 @@ def test_no_pairs_of_sites_and_granules_are_stored(spark, monkeypatch, tmp_path)
     assert stored == [["granule", "iy", "ix", "lon", "lat", "qual", "wse"]]
 
 
+@pytest.mark.parametrize("name", ["extract_window"])
+def test_many_sites_make_small_files(spark, tmp_path, name):
+    """Before, the sites of a value came in any length and order of runs, and files took 4 bytes a row."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/lineitem.parquet").symlink_to("/root/testdata/sf0.01/lineitem.parquet")
+    spark.range(20_000).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/in/supplier.parquet")
+    rows = catalog.QUERIES[name](spark, f"{tmp_path}/in")
+    rows.write.parquet(f"{tmp_path}/out")
+    n = spark.read.parquet(f"{tmp_path}/out").count()
+    assert n == 20_000 * 50 if name == "extract_window" else n > 20_000 * 30
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) / n
+    print(name, n, size)
+    assert size < 0.7
+
+
 def test_sites_of_a_value_in_blocks(spark):
     """A key with most sites goes to many blocks; each meets each value once."""
     asked = spark.range(900).selectExpr("CAST(id AS INT) AS site", "CASE WHEN id < 850 THEN 0 ELSE id % 5 END AS k")
