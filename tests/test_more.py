@@ -322,7 +322,7 @@ def test_no_pairs_of_sites_and_granules_are_stored(spark, monkeypatch, tmp_path)
     assert stored == [["granule", "iy", "ix", "lon", "lat", "qual", "wse"]]
 
 
-@pytest.mark.parametrize("name", ["extract_window"])
+@pytest.mark.parametrize("name", ["extract_window", "extract_point"])
 def test_many_sites_make_small_files(spark, tmp_path, name):
     """Before, the sites of a value came in any length and order of runs, and files took 4 bytes a row."""
     (tmp_path / "in").mkdir()
