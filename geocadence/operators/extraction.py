@@ -140,14 +140,15 @@ def nearest_pixels(sites: DataFrame, cells: DataFrame, granules: DataFrame, step
     return found, _kept(placed.join(spots, "_at").join(by_spot, "spot").select("site", "pixel"), "asked")
 
 
-def extract_series(sites: DataFrame, cells: DataFrame, reach: int = 0, quals: list[int] | None = None, per_pixel: bool = False, step: float | None = None) -> DataFrame:
+def extract_series(sites: DataFrame, cells: DataFrame, reach: int = 0, quals: list[int] | None = None, per_pixel: bool = False, step: float | None = None, digits: int | None = None) -> DataFrame:
     """site, granule, wse, qual, n: the level at each site in every granule that covers it.
 
     The value is that of the nearest pixel, or with ``reach`` the mean over the square of pixels within it;
     ``quals`` are allowed qualities of the nearest pixel (a null quality is none), with ``per_pixel`` of all
     averaged ones, too. Rows without a value are dropped. Of a pixel that a granule lists twice at the same place
-    the least quality counts, then the least value.
+    the least quality counts, then the least value. Levels are rounded to ``digits``, if given, before sites share them.
     """
+    level = F.col("wse") if digits is None else F.round("wse", digits)
     granules = _kept(grids(cells), "grids")
     pixels, asked = nearest_pixels(sites, cells.select("granule", "iy", "ix", "lon", "lat"), granules, step)
     count, parts = pixels.count(), int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -160,7 +161,7 @@ def extract_series(sites: DataFrame, cells: DataFrame, reach: int = 0, quals: li
         if not pixels.where("copies > 1").isEmpty():
             least = F.min(F.struct(F.isnull("qual"), "qual", F.isnull("wse"), "wse"))
             values = values.groupBy("granule", "pixel").agg(least.alias("_v")).select("granule", "pixel", "_v.qual", "_v.wse")
-        return to_sites(values.where(allowed & F.col("wse").isNotNull()), asked, ["pixel"]).select("site", "granule", "wse", "qual", F.lit(1).cast("long").alias("n"))
+        return to_sites(values.where(allowed & F.col("wse").isNotNull()).withColumn("wse", level), asked, ["pixel"]).select("site", "granule", "wse", "qual", F.lit(1).cast("long").alias("n"))
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     around = pixels.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps)).withColumn("_mid", (F.col("_dy") == 0) & (F.col("_dx") == 0))
     around = around.select("grid", (F.col("iy") + F.col("_dy")).alias("iy"), (F.col("ix") + F.col("_dx")).alias("ix"), "pixel", *(F.when(F.col("_mid"), F.col(c)).alias(c) for c in ("clon", "clat")))
@@ -168,7 +169,7 @@ def extract_series(sites: DataFrame, cells: DataFrame, reach: int = 0, quals: li
     value = F.when(allowed, F.col("wse")) if per_pixel else F.col("wse")
     qual = F.min(F.when((F.col("lon") == F.col("clon")) & (F.col("lat") == F.col("clat")), F.col("qual")))
     mean = own.groupBy("granule", "pixel").agg(F.avg(value).alias("wse"), qual.alias("qual"), F.count(value).alias("n"))
-    return to_sites(mean.where(allowed & F.col("wse").isNotNull()), asked, ["pixel"]).select("site", "granule", "wse", "qual", "n")
+    return to_sites(mean.where(allowed & F.col("wse").isNotNull()).withColumn("wse", level), asked, ["pixel"]).select("site", "granule", "wse", "qual", "n")
 
 
 def extract_quality(sites: DataFrame, cells: DataFrame, reach: int = 0, step: float | None = None) -> DataFrame:

@@ -51,12 +51,12 @@ _PIXEL = ("granule", "iy", "ix", "lon", "lat", "qual")
 
 @query("WITH " + _NEAREST + "SELECT site, granule, round(wse, 6) AS wse, qual FROM q WHERE qual IN (0, 1) AND wse IS NOT NULL")
 def extract_nearest(spark, d):
-    return extraction.extract_series(table(spark, d, "places"), _stored(spark, table(spark, d, "cells").select(*_PIXEL, "wse")), 0, [0, 1]).select("site", "granule", r6("wse"), "qual")
+    return extraction.extract_series(table(spark, d, "places"), _stored(spark, table(spark, d, "cells").select(*_PIXEL, "wse")), 0, [0, 1], digits=6).select("site", "granule", "wse", "qual")
 
 
 @query("WITH " + _NEAREST + "SELECT q.site, q.granule, round(avg(c.wse), 6) AS wse, count(c.wse) AS n FROM q JOIN cells c ON c.granule = q.granule AND abs(c.iy - q.iy) <= 2 AND abs(c.ix - q.ix) <= 2 WHERE q.qual IN (0, 1) GROUP BY q.site, q.granule HAVING count(c.wse) > 0")
 def extract_mean(spark, d):
-    return extraction.extract_series(table(spark, d, "places"), _stored(spark, table(spark, d, "cells").select(*_PIXEL, "wse")), 2, [0, 1]).select("site", "granule", r6("wse"), "n")
+    return extraction.extract_series(table(spark, d, "places"), _stored(spark, table(spark, d, "cells").select(*_PIXEL, "wse")), 2, [0, 1], digits=6).select("site", "granule", "wse", "n")
 
 
 @query("WITH " + _NEAREST + "SELECT site, granule, qual * 1e0 AS quality FROM q")
